@@ -15,7 +15,30 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(docs, width=3, similarity=90).withColumnRenamed("id", "doc_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE_KINDS, sanitise
+
+    found = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op5_bpe": op5_bpe,
+    "op10_pii": op10_pii,
     "op6_jaccard_join": op6_jaccard_join,
 }
 

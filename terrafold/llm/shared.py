@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,6 +34,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches, column: int = 0, most: int = 1 << 22):
+    """Batches cut so that the strings of a column take at most so many bytes, or one row."""
+    for batch in batches:
+        at = 0
+        if batch.num_rows == 0:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def grouped(batches, keys: list[str]):
     """Yield one pyarrow Table per run of equal keys from batches sorted by keys.
 
