@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import grouped, stored
+from .shared import grouped, pieces, stored
 from .wordhash import mix, shingles
 
 SKETCH_BITS = 26
@@ -37,7 +37,7 @@ CLASSES = 64
 SMALL = 96
 BLOCK = 256
 _SLOT_BITS = SKETCH_BITS - 6
-_FLUSH = 1 << 24
+_FLUSH = 1 << 22
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -67,7 +67,7 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
 
     def count(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for d in _distinct(batch.column(0), width):
                 held.append((d >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
                 size += len(d)
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, width: int, t100: int, sketch) -> DataFrame:
 
     def make(batches):
         table = sketch.value
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n, fp, sigs, toks = [], [], [], []
             for d in _distinct(batch.column(1), width):
                 n.append(len(d))
