@@ -147,39 +147,46 @@ class WordBPE:
         return found
 
     def _last(self, prefix: str, last: list[int], tokens: dict[str, int]) -> int:
-        """The last token of prefix's encoding; last[k]: that of its first k symbols."""
+        """The last token of prefix's encoding; last[k]: that of its first k symbols. At most one
+        token ending here fits, so the order of trial is free; short ones are likelier."""
         n = len(prefix)
-        for j in range(max(0, n - self.longest), n):
+        known = self.compatible_cache
+        for j in range(n - 1, max(0, n - self.longest) - 1, -1):
             t = tokens.get(prefix[j:])
-            if t is not None and (j == 0 or last[j] >= 0 and self.compatible(last[j], t)):
-                return t
+            if t is not None:
+                if j == 0:
+                    return t
+                before = last[j]
+                if before >= 0:
+                    fits = known.get((before, t))
+                    if fits or fits is None and self.compatible(before, t):
+                        return t
         return -1
 
     def learn(self, words: list[str]) -> None:
         """Encode words and keep them in the cache. words are non-empty piece texts."""
         trie: dict = {}
+        table = self.table
         for w in words:
             node = trie
-            for symbol in w.encode("utf-8").decode("latin-1").translate(self.table):
+            for symbol in w.encode("utf-8").decode("latin-1").translate(table):
                 below = node.get(symbol)
                 if below is None:
                     below = node[symbol] = {}
                 node = below
             node[""] = w
         last = [-1]
-        path: list[str] = []
-        stack = [(1, s, below) for s, below in trie.items()]
+        stack = [(s, below) for s, below in trie.items()]
         while stack:
-            depth, symbol, node = stack.pop()
-            del path[depth - 1 :], last[depth:]
-            path.append(symbol)
-            prefix = "".join(path)
-            word = node.get("")
+            prefix, node = stack.pop()
+            del last[len(prefix) :]
+            word = node.pop("", None)
             if word is not None:
                 self._keep(word, prefix, last)
-            if len(node) > (word is not None):
+            if node:
                 last.append(self._last(prefix, last, self.plain))
-                stack.extend((depth + 1, s, below) for s, below in node.items() if s)
+                for s, below in node.items():
+                    stack.append((prefix + s, below))
 
     def _keep(self, word: str, symbols: str, last: list[int]) -> None:
         end = self._last(symbols, last, self.closing if self.suffix else self.plain)

@@ -21,6 +21,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE_KINDS, sanitise
 
@@ -38,6 +52,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op7_mixing": op7_mixing,
+    "op9_quality": op9_quality,
     "op10_pii": op10_pii,
     "op6_jaccard_join": op6_jaccard_join,
 }
