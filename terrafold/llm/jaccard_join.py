@@ -9,7 +9,9 @@
    extended until rare + sum(max(0, n_j - 1)) > tau: killing every signature would take more
    than tau mismatches, so two similar sets share one. Sets below SMALL tokens could run out of
    tokens that way and use single tokens throughout; sets that a small one may match use both.
-   A counter of 1 proves that no other text has the token: such signatures are left out.
+   A counter of 1 proves that no other text has the token: such signatures are left out. A
+   second pass counts the signatures that remain in the same way, and those that one text
+   alone has are left out too; texts without any left cannot be similar to another.
 3. Equal sets are merged first, by a fingerprint. Sets that share a signature are gathered to
    home groups (the least leader of a set's signatures); the distinct pairs of homes that meet
    in a bucket are verified in blocks of BLOCK sets by a sparse-to-dense product, which tests
@@ -62,13 +64,14 @@ def _sketch_rows(indices: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(g, pa.binary()), pa.array(c, pa.binary())], ["slot", "gaps", "counts"])
 
 
-def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Saturating counts (0-255) of distinct shingles per text over all texts, 2^SKETCH_BITS bytes."""
+def sketch_of(texts: DataFrame, hashes) -> np.ndarray:
+    """Saturating counts (0-255) of the hashes of each text over all texts, 2^SKETCH_BITS bytes.
+    hashes: from a text column to one array of distinct hashes a text."""
 
     def count(batches):
         held, size = [], 0
         for batch in pieces(batches):
-            for d in _distinct(batch.column(0), width):
+            for d in hashes(batch.column(0)):
                 held.append((d >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
                 size += len(d)
                 if size >= _FLUSH:
@@ -140,11 +143,24 @@ def _fingerprint(d: np.ndarray) -> int:
     return int(mix(mix(sums * np.array([1, _ONE, _TWO], np.uint64)).sum(keepdims=True)).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, width: int, t100: int, sketch) -> DataFrame:
-    """(id, n, fp, sigs, toks): sigs and toks are null where no other text can be similar."""
+def _place(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - SKETCH_BITS)
+
+
+def _text_signatures(width: int, t100: int, sketch):
+    def make(column):
+        for d in _distinct(column, width):
+            yield signatures(d, sketch.value[_place(d)], t100)
+
+    return make
+
+
+def _sets(docs: DataFrame, width: int, t100: int, sketch, shared) -> DataFrame:
+    """(id, n, fp, sigs, toks): sigs and toks are null where no other text can be similar.
+    shared: bit p is 0 where at most one text has a signature of place p."""
 
     def make(batches):
-        table = sketch.value
+        table, bits = sketch.value, shared.value
         for batch in pieces(batches, 1):
             n, fp, sigs, toks = [], [], [], []
             for d in _distinct(batch.column(1), width):
@@ -153,7 +169,9 @@ def _sets(docs: DataFrame, width: int, t100: int, sketch) -> DataFrame:
                     fp.append(None), sigs.append(None), toks.append(None)
                     continue
                 fp.append(_fingerprint(d))
-                s = signatures(d, table[d >> np.uint64(64 - SKETCH_BITS)], t100)
+                s = signatures(d, table[_place(d)], t100)
+                at = _place(s)
+                s = s[bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0]
                 sigs.append(s.view(np.int64) if len(s) else None)
                 toks.append(d.tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
@@ -243,8 +261,10 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     gives an empty table; columns other than id and text are not read.
     """
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(frequency_sketch(docs, width))
-    sets = stored(_sets(docs, width, similarity, sketch), "sets")
+    sketch = spark.sparkContext.broadcast(sketch_of(docs, lambda column: _distinct(column, width)))
+    twice = sketch_of(docs, _text_signatures(width, similarity, sketch)) > 1
+    shared = spark.sparkContext.broadcast(np.packbits(twice, bitorder="little"))
+    sets = stored(_sets(docs, width, similarity, sketch, shared), "sets")
     nodes = sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first"))
 
     postings = sets.where("sigs is not null").select("fp", F.explode("sigs").alias("sig")).distinct()
