@@ -15,6 +15,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(docs, width=3, similarity=90).withColumnRenamed("id", "doc_id")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_digests, format_chats
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_digests(format_chats(turns))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_texts
 
@@ -51,6 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op5_bpe": op5_bpe,
     "op7_mixing": op7_mixing,
     "op9_quality": op9_quality,
@@ -58,4 +68,22 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(text, '\', '\b'), '<s>', '\ls>'), '</s>', '\l/s>'),
+    '[INST]', '\sINST]'), '[/INST]', '\s/INST]'), '[ROLE]', '\sROLE]'), '[/ROLE]', '\s/ROLE]') AS e
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(e) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+""",
+}

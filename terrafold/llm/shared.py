@@ -58,13 +58,13 @@ def grouped(batches, keys: list[str]):
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
         change = np.zeros(batch.num_rows, bool)
         for c in cols:
-            change[1:] |= c[1:] != c[:-1]
+            change[1:] |= ~pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) & ~pc.and_(c[1:].is_null(), c[:-1].is_null()).to_numpy(zero_copy_only=False)
         cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in cols)
+            key = tuple(c[a].as_py() for c in cols)
             if held and key != last:
                 yield pa.Table.from_batches(held)
                 held = []
