@@ -24,6 +24,13 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return neighbours(vectors, vectors.where("id % 100 = 0")).withColumnRenamed("id", "vec_id")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_texts
 
@@ -61,6 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_ann": op2_ann,
     "op5_bpe": op5_bpe,
     "op7_mixing": op7_mixing,
     "op9_quality": op9_quality,
