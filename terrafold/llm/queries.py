@@ -31,6 +31,23 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(vectors, vectors.where("id % 100 = 0")).withColumnRenamed("id", "vec_id")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jpeg import media_features, store_media
+
+    seen = media_features(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    payload = F.col("thumbnail")
+    return seen.select(
+        "doc_id",
+        "n_bytes",
+        F.length(payload).cast("bigint").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.format_string("%dx%d:%d:%s", "width", "height", "frames", "thumbnail_hash").alias("feature"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_texts
 
@@ -69,6 +86,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_ann": op2_ann,
+    "op4_media": op4_media,
     "op5_bpe": op5_bpe,
     "op7_mixing": op7_mixing,
     "op9_quality": op9_quality,
