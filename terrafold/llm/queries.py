@@ -31,6 +31,13 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(vectors, vectors.where("id % 100 = 0")).withColumnRenamed("id", "vec_id")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score_texts
+
+    scored = score_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return scored.select(F.col("id").alias("doc_id"), "n_tokens", "n_found", F.round("score", 4).alias("score"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jpeg import media_features, store_media
 
@@ -61,6 +68,22 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch date and no list is given, so both derive from the table: a page is
+    fetched on day page_id % 366 of 2024; hosts and host/segment keys whose MD5 falls in some
+    classes are listed, delisted and listed again on days that it gives."""
+    from .url_lists import SEGMENT, host_of, screen
+
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
+    host, segment = host_of(F.col("url")), F.regexp_extract("url", SEGMENT, 1)
+    keys = pages.select(F.lit("hosts").alias("list"), host.alias("key")).union(pages.select(F.lit("paths"), F.concat_ws("/", host, segment))).where("key <> ''").distinct()
+    keys = keys.withColumn("x", F.conv(F.substring(F.md5("key"), 1, 7), 16, 10).cast("bigint")).where("x % 3 = 0")
+    days = F.array(*[F.struct(((F.col("x") % 300) + k).cast("int").alias("day"), F.lit(k != 40).alias("listed")) for k in (0, 40, 90)])
+    entries = keys.select("list", "key", F.inline(days)).select("list", "key", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("dated"), "listed")
+    return screen(captures, entries).select("page_id", "n_active", "lists", F.date_format("since", "yyyy-MM-dd").alias("since"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -86,9 +109,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_ann": op2_ann,
+    "op3_lm": op3_lm,
     "op4_media": op4_media,
     "op5_bpe": op5_bpe,
     "op7_mixing": op7_mixing,
+    "op8_url_lists": op8_url_lists,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
     "op6_jaccard_join": op6_jaccard_join,
@@ -111,5 +136,44 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length(e) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
+""",
+    "op3_lm": r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), pairs AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM words),
+c1 AS (SELECT w, count(*) AS n FROM words GROUP BY w),
+c2 AS (SELECT u, w, count(*) AS n FROM pairs WHERE u IS NOT NULL GROUP BY u, w HAVING count(*) >= 2),
+scored AS (
+  SELECT p.doc_id, p.u IS NULL OR c2.n IS NOT NULL AS found,
+    CASE WHEN c2.n IS NOT NULL THEN ln(c2.n / a.n) ELSE ln(b.n / (SELECT count(*) FROM words)) + CASE WHEN p.u IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM pairs p JOIN c1 b ON b.w = p.w LEFT JOIN c1 a ON a.w = p.u LEFT JOIN c2 ON c2.u = p.u AND c2.w = p.w
+)
+SELECT d.doc_id, count(s.s) AS n_tokens, count(*) FILTER (WHERE found) AS n_found, round(coalesce(sum(s.s), 0), 4) AS score
+FROM documents d LEFT JOIN scored s USING (doc_id) GROUP BY d.doc_id
+""",
+    "op8_url_lists": r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS seg
+  FROM pages
+), listed AS (
+  SELECT DISTINCT 'hosts' AS list, host AS key FROM p WHERE host <> ''
+  UNION SELECT DISTINCT 'paths', host || '/' || seg FROM p
+), x AS (SELECT *, ('0x' || substr(md5(key), 1, 7))::BIGINT AS x FROM listed),
+entries AS (
+  SELECT list, key, DATE '2024-01-01' + (x % 300 + k)::INTEGER AS dated, k <> 40 AS listed FROM x, (VALUES (0), (40), (90)) t(k) WHERE x % 3 = 0
+), valid AS (
+  SELECT * FROM (SELECT *, lead(dated) OVER (PARTITION BY list, key ORDER BY dated) AS until FROM entries) WHERE listed
+), keys AS (
+  SELECT page_id, fetched, array_to_string(string_split(host, '.')[i:], '.') AS key
+  FROM p, generate_series(1, 20) g(i) WHERE host <> '' AND i <= greatest(1, len(string_split(host, '.')) - 1)
+  UNION SELECT page_id, fetched, host || '/' || seg FROM p WHERE host <> '' AND seg <> ''
+), met AS (
+  SELECT k.page_id, v.* FROM keys k JOIN valid v ON v.key = k.key AND k.fetched >= v.dated AND (v.until IS NULL OR k.fetched < v.until)
+)
+SELECT p.page_id, count(m.key) AS n_active, coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists, strftime(max(m.dated), '%Y-%m-%d') AS since
+FROM p LEFT JOIN met m USING (page_id) GROUP BY p.page_id
 """,
 }
