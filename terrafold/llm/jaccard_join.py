@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of word-shingle sets by token-combination prefixes.
 
-1. A pass over all texts counts every shingle in a table of 2^SKETCH_BITS counters. The table
-   only orders tokens (rare first) and splits them into a rare and a frequent class; collisions
-   cost time, never results. Its size is fixed, so its broadcast is bounded.
+1. A pass over all texts counts every shingle in a table of 2^SKETCH_BITS counters of four bits.
+   The table only orders tokens (rare first) and splits them into a rare and a frequent class;
+   collisions cost time, never results. Its size is fixed, so its broadcast is bounded. It
+   orders well while the corpus has no more than about two shingles a counter.
 2. Each set is sorted by (counter, hash). With tau = n - ceil(t n) a set can lose at most tau
    tokens to a similar partner. Rare tokens are indexed singly; frequent ones belong to one of
    CLASSES subclasses by hash, and pairs of tokens within a subclass are indexed. The prefix is
@@ -32,9 +33,10 @@ from .components import connected_components
 from .shared import grouped, pieces, stored
 from .wordhash import mix, shingles
 
-SKETCH_BITS = 26
+SKETCH_BITS = 27
+MOST = 15
 SLOTS = 64
-RARE = 32
+RARE = MOST - 1
 CLASSES = 64
 SMALL = 96
 BLOCK = 256
@@ -53,7 +55,7 @@ def _distinct(column, width):
 
 def _sketch_rows(indices: list[np.ndarray]) -> pa.RecordBatch:
     at, n = np.unique(np.concatenate(indices), return_counts=True)
-    n = np.minimum(n, 255).astype(np.uint8)
+    n = np.minimum(n, MOST).astype(np.uint8)
     slots, cuts = np.arange(SLOTS), np.searchsorted(at, np.arange(SLOTS + 1, dtype=np.uint64) << np.uint64(_SLOT_BITS))
     rows = []
     for s, a, b in zip(slots, cuts, cuts[1:]):
@@ -65,14 +67,14 @@ def _sketch_rows(indices: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def sketch_of(texts: DataFrame, hashes) -> np.ndarray:
-    """Saturating counts (0-255) of the hashes of each text over all texts, 2^SKETCH_BITS bytes.
+    """Counts up to MOST of the hashes of each text over all texts, two counters a byte.
     hashes: from a text column to one array of distinct hashes a text."""
 
     def count(batches):
         held, size = [], 0
         for batch in pieces(batches):
             for d in hashes(batch.column(0)):
-                held.append((d >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+                held.append(_place(d).astype(np.uint32))
                 size += len(d)
                 if size >= _FLUSH:
                     yield _sketch_rows(held)
@@ -87,10 +89,10 @@ def sketch_of(texts: DataFrame, hashes) -> np.ndarray:
                 at = np.cumsum(np.frombuffer(zlib.decompress(g), np.uint32))
                 have = sums.setdefault(s, np.zeros(1 << _SLOT_BITS, np.uint8))
                 more = np.frombuffer(zlib.decompress(c), np.uint8)
-                have[at] = np.where(have[at] > 255 - more, 255, have[at] + more)
+                have[at] = np.minimum(have[at] + more, MOST)
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["slot", "sums"]
+                [pa.array(list(sums), pa.int32()), pa.array([zlib.compress((x[::2] | x[1::2] << 4).tobytes(), 1) for x in sums.values()], pa.binary())], ["slot", "sums"]
             )
 
     parts = (
@@ -99,9 +101,10 @@ def sketch_of(texts: DataFrame, hashes) -> np.ndarray:
         .repartition(SLOTS, "slot")
         .mapInArrow(merge, "slot int, sums binary")
     )
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out = np.zeros(1 << SKETCH_BITS - 1, np.uint8)
+    half = _SLOT_BITS - 1
     for slot, sums in parts.toLocalIterator():  # at most SLOTS rows
-        out[slot << _SLOT_BITS : (slot + 1) << _SLOT_BITS] = np.frombuffer(zlib.decompress(sums), np.uint8)
+        out[slot << half : (slot + 1) << half] = np.frombuffer(zlib.decompress(sums), np.uint8)
     return out
 
 
@@ -147,10 +150,15 @@ def _place(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - SKETCH_BITS)
 
 
+def _counts(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _place(h)
+    return table[at >> np.uint64(1)] >> ((at & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & np.uint8(MOST)
+
+
 def _text_signatures(width: int, t100: int, sketch):
     def make(column):
         for d in _distinct(column, width):
-            yield signatures(d, sketch.value[_place(d)], t100)
+            yield signatures(d, _counts(sketch.value, d), t100)
 
     return make
 
@@ -169,7 +177,7 @@ def _sets(docs: DataFrame, width: int, t100: int, sketch, shared) -> DataFrame:
                     fp.append(None), sigs.append(None), toks.append(None)
                     continue
                 fp.append(_fingerprint(d))
-                s = signatures(d, table[_place(d)], t100)
+                s = signatures(d, _counts(table, d), t100)
                 at = _place(s)
                 s = s[bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0]
                 sigs.append(s.view(np.int64) if len(s) else None)
@@ -262,8 +270,9 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     """
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(sketch_of(docs, lambda column: _distinct(column, width)))
-    twice = sketch_of(docs, _text_signatures(width, similarity, sketch)) > 1
-    shared = spark.sparkContext.broadcast(np.packbits(twice, bitorder="little"))
+    counts = sketch_of(docs, _text_signatures(width, similarity, sketch))
+    twice = np.concatenate([np.packbits(np.stack([c & MOST > 1, c >> 4 > 1], axis=1).ravel(), bitorder="little") for c in counts.reshape(SLOTS, -1)])
+    shared = spark.sparkContext.broadcast(twice)
     sets = stored(_sets(docs, width, similarity, sketch, shared), "sets")
     nodes = sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first"))
 
