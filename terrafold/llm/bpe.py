@@ -1,8 +1,9 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct words of a batch are inserted into a trie over byte symbols. A depth-first walk
-keeps, for every prefix on the path, the last token of that prefix's encoding: it is the one
-vocabulary token ending there that is compatible with the last token of the prefix before it.
+The distinct words of a batch are inserted into a trie over byte symbols, which is laid out as
+its words in order. A depth-first walk keeps, for every prefix on the path, the last token of
+that prefix's encoding: it is the one vocabulary token ending there that is compatible with the
+last token of the prefix before it.
 A prefix shared by many words is thus encoded once; a word's ids follow by stepping back over
 last tokens.
 
@@ -54,7 +55,7 @@ def _byte_symbols() -> list[str]:
 class WordBPE:
     """Encoder and decoder for a tokenizer file with byte-level symbols and word-end suffix."""
 
-    def __init__(self, path: str, cache_words: int = 250_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -66,6 +67,7 @@ class WordBPE:
         self.special_pattern = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.numbers = {i: str(i) for i in self.token}
         # the merge tree
         self.merge: dict[tuple[int, int], int] = {}  # pair -> rank
         self.made: dict[int, tuple[int, int, int]] = {}  # token -> rank, left, right
@@ -95,8 +97,14 @@ class WordBPE:
         self.plain = {"".join(k): i for k, i in self.by_symbols.items() if not k[-1].endswith(self.suffix) or not self.suffix}
         self.closing = {"".join(k)[: -len(self.suffix)]: i for k, i in self.by_symbols.items() if self.suffix and k[-1].endswith(self.suffix)}
         self.width = {i: len(k) for k, i in self.by_symbols.items()}
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.old_cache: dict[str, tuple[int, str, str]] = {}
+        #: The ids and tokens of known words, joined by spaces; special tokens stand under a mark
+        #: that no word can be. The old ones are those of the last turn.
+        self.marks = {f" {t}": str(i) for t, i in self.special.items()}
+        self.ids_of: dict[str, str] = dict(self.marks)
+        self.names_of: dict[str, str] = {m: m[1:] for m in self.marks}
+        self.old_ids: dict[str, str] = {}
+        self.old_names: dict[str, str] = {}
+        self.silent: set[str] = set()  # words without any token
         self.spec, self.library = spec, None
         self.cache_words = cache_words
         self.table = {b: self.symbols[b] for b in range(256)}
@@ -146,60 +154,63 @@ class WordBPE:
             found = self.compatible_cache[key] = not self._clash(a, b, _NEVER)
         return found
 
-    def _last(self, prefix: str, last: list[int], tokens: dict[str, int]) -> int:
-        """The last token of prefix's encoding; last[k]: that of its first k symbols. At most one
-        token ending here fits, so the order of trial is free; short ones are likelier."""
-        n = len(prefix)
-        known = self.compatible_cache
-        for j in range(n - 1, max(0, n - self.longest) - 1, -1):
-            t = tokens.get(prefix[j:])
-            if t is not None:
-                if j == 0:
-                    return t
-                before = last[j]
-                if before >= 0:
-                    fits = known.get((before, t))
-                    if fits or fits is None and self.compatible(before, t):
-                        return t
-        return -1
-
     def learn(self, words: list[str]) -> None:
-        """Encode words and keep them in the cache. words are non-empty piece texts."""
-        trie: dict = {}
+        """Encode words and keep them in the cache. words are non-empty piece texts.
+
+        The trie lies in its words in order: going through them is its depth-first walk, and
+        what a word shares with the one before is the path that both have from the root. last
+        is the stack of last-token states along the path, cut back to the shared part."""
         table = self.table
-        for w in words:
-            node = trie
-            for symbol in w.encode("utf-8").decode("latin-1").translate(table):
-                below = node.get(symbol)
-                if below is None:
-                    below = node[symbol] = {}
-                node = below
-            node[""] = w
-        last = [-1]
-        stack = [(s, below) for s, below in trie.items()]
-        while stack:
-            prefix, node = stack.pop()
-            del last[len(prefix) :]
-            word = node.pop("", None)
-            if word is not None:
-                self._keep(word, prefix, last)
-            if node:
-                last.append(self._last(prefix, last, self.plain))
-                for s, below in node.items():
-                    stack.append((prefix + s, below))
-
-    def _keep(self, word: str, symbols: str, last: list[int]) -> None:
-        end = self._last(symbols, last, self.closing if self.suffix else self.plain)
-        ids, at = [], len(symbols)
-        while at > 0 and end >= 0:
-            ids.append(end)
-            at -= self.width[end]
-            end = last[at] if at else -1
-        if at:  # a symbol outside the vocabulary, which the model leaves out
-            ids = self._plain_merge(symbols)
-        else:
-            ids.reverse()
-        self.cache[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+        plain, closing = self.plain, self.closing if self.suffix else self.plain
+        known, longest, width = self.compatible_cache, self.longest, self.width
+        ids_of, names_of = self.ids_of, self.names_of
+        names, numbers = self.token, self.numbers
+        ordered = sorted([(w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(table), w) for w in words])
+        last, before = [-1], ""
+        for symbols, word in ordered:
+            n = len(symbols)
+            end = closing.get(symbols)
+            if end is not None:
+                ids_of[word], names_of[word] = numbers[end], names[end]
+                continue
+            k, m = 0, min(n, len(before), len(last) - 1)
+            while k < m and symbols[k] == before[k]:
+                k += 1
+            del last[k + 1 :]
+            before = symbols
+            for i in range(k + 1, n + 1):
+                tokens = closing if i == n else plain
+                found = -1
+                for j in range(i - 1, max(0, i - longest) - 1, -1):
+                    t = tokens.get(symbols[j:i])
+                    if t is not None:
+                        if j == 0:
+                            found = t
+                            break
+                        previous = last[j]
+                        if previous >= 0:
+                            fits = known.get((previous, t))
+                            if fits is None:
+                                fits = self.compatible(previous, t)
+                            if fits:
+                                found = t
+                                break
+                if i == n:
+                    end = found
+                else:
+                    last.append(found)
+            ids, at = [], n
+            while at > 0 and end >= 0:
+                ids.append(end)
+                at -= width[end]
+                end = last[at] if at else -1
+            if at:  # a symbol outside the vocabulary, which the model leaves out
+                ids = self._plain_merge(symbols)
+            else:
+                ids.reverse()
+            ids_of[word], names_of[word] = " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])
+            if not ids:
+                self.silent.add(word)
 
     def _plain_merge(self, symbols: str) -> list[int]:
         parts = [self.vocab.get(s) for s in [*symbols[:-1], symbols[-1] + self.suffix]]
@@ -242,41 +253,37 @@ class WordBPE:
     def batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) of each text."""
         parts: list[list[str]] = []
-        fixed: dict[str, tuple[int, str, str]] = {}
         for text in texts:
             if self.special_pattern is not None and "<|" in text and self.special_pattern.search(text):
                 items, at = [], 0
                 for m in self.special_pattern.finditer(text):
                     items += self.split(text[at : m.start()])
-                    mark = f" {m[0]}"  # no word begins with a space
-                    fixed[mark] = (1, str(self.special[m[0]]), m[0])
-                    items.append(mark)
+                    items.append(f" {m[0]}")
                     at = m.end()
                 parts.append(items + self.split(text[at:]))
             else:
                 parts.append(self.split(text))
-        distinct = set().union(*parts) if parts else set()
-        distinct.difference_update(fixed)
-        young, old = self.cache, self.old_cache
+        if len(self.ids_of) > self.cache_words:  # words not met since the last turn go
+            self.old_ids, self.old_names = self.ids_of, self.names_of
+            self.ids_of, self.names_of, self.silent = dict(self.marks), {m: m[1:] for m in self.marks}, set()
+        young, old = self.ids_of, self.old_ids
         new = []
-        for w in distinct:
-            if w not in young:
-                found = old.get(w)
-                if found is None:
-                    new.append(w)
-                else:
-                    young[w] = found
+        for w in set().union(*parts).difference(young):
+            found = old.get(w)
+            if found:
+                young[w], self.names_of[w] = found, self.old_names[w]
+            else:
+                new.append(w)
         if new:
             self.learn(new)
-        here = {w: young[w] for w in distinct} | fixed
-        if len(young) > self.cache_words:  # words not met since the last turn go
-            self.old_cache, self.cache = young, {}
-        counts = {w: x[0] for w, x in here.items()}
-        ids = {w: x[1] for w, x in here.items()}
-        tokens = {w: x[2] for w, x in here.items()}
-        if not all(counts.values()):
-            parts = [[w for w in p if counts[w]] for p in parts]
-        return [(sum(map(counts.__getitem__, p)), " ".join(map(ids.__getitem__, p)), " ".join(map(tokens.__getitem__, p))) for p in parts]
+        if self.silent:
+            parts = [[w for w in p if w not in self.silent] for p in parts]
+        ids, names = young.__getitem__, self.names_of.__getitem__
+        out = []
+        for p in parts:
+            line = " ".join(map(ids, p))
+            out.append((line.count(" ") + 1 if line else 0, line, " ".join(map(names, p))))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.batch([text])[0][1].split()]
@@ -289,7 +296,7 @@ class WordBPE:
 _loaded: dict[tuple[str, int], WordBPE] = {}
 
 
-def loaded(path: str, cache_words: int = 250_000) -> WordBPE:
+def loaded(path: str, cache_words: int = 400_000) -> WordBPE:
     """One encoder a Python worker, so that its words serve all the worker's tasks."""
     key = (path, cache_words)
     if key not in _loaded:
