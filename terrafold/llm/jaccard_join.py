@@ -33,7 +33,7 @@ from .components import connected_components
 from .shared import grouped, pieces, stored
 from .wordhash import mix, shingles
 
-SKETCH_BITS = 27
+SKETCH_BITS = 26
 MOST = 15
 SLOTS = 64
 RARE = MOST - 1
@@ -66,13 +66,14 @@ def _sketch_rows(indices: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(g, pa.binary()), pa.array(c, pa.binary())], ["slot", "gaps", "counts"])
 
 
-def sketch_of(texts: DataFrame, hashes) -> np.ndarray:
-    """Counts up to MOST of the hashes of each text over all texts, two counters a byte.
-    hashes: from a text column to one array of distinct hashes a text."""
+def sketch_of(rows: DataFrame, hashes) -> np.ndarray:
+    """Counts up to MOST of the hashes of all rows, two counters a byte. hashes: from the one
+    column to arrays of hashes, each distinct in itself."""
+    is_text = rows.dtypes[0][1] == "string"
 
     def count(batches):
         held, size = [], 0
-        for batch in pieces(batches):
+        for batch in pieces(batches) if is_text else batches:
             for d in hashes(batch.column(0)):
                 held.append(_place(d).astype(np.uint32))
                 size += len(d)
@@ -96,8 +97,7 @@ def sketch_of(texts: DataFrame, hashes) -> np.ndarray:
             )
 
     parts = (
-        texts.select("text")
-        .mapInArrow(count, "slot int, gaps binary, counts binary")
+        rows.mapInArrow(count, "slot int, gaps binary, counts binary")
         .repartition(SLOTS, "slot")
         .mapInArrow(merge, "slot int, sums binary")
     )
@@ -155,6 +155,16 @@ def _counts(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return table[at >> np.uint64(1)] >> ((at & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & np.uint8(MOST)
 
 
+def _bits(counts: np.ndarray, least: int) -> np.ndarray:
+    """One bit a counter: whether it is at least so much."""
+    return np.concatenate([np.packbits(np.stack([c & MOST >= least, c >> 4 >= least], axis=1).ravel(), bitorder="little") for c in counts.reshape(SLOTS, -1)])
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _place(h)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+
+
 def _text_signatures(width: int, t100: int, sketch):
     def make(column):
         for d in _distinct(column, width):
@@ -178,8 +188,7 @@ def _sets(docs: DataFrame, width: int, t100: int, sketch, shared) -> DataFrame:
                     continue
                 fp.append(_fingerprint(d))
                 s = signatures(d, _counts(table, d), t100)
-                at = _place(s)
-                s = s[bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0]
+                s = s[_has(bits, s)]
                 sigs.append(s.view(np.int64) if len(s) else None)
                 toks.append(d.tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
@@ -268,37 +277,34 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     keeps its row. A null id never names a class unless its class has no other. An empty table
     gives an empty table; columns other than id and text are not read.
     """
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(sketch_of(docs, lambda column: _distinct(column, width)))
-    counts = sketch_of(docs, _text_signatures(width, similarity, sketch))
-    twice = np.concatenate([np.packbits(np.stack([c & MOST > 1, c >> 4 > 1], axis=1).ravel(), bitorder="little") for c in counts.reshape(SLOTS, -1)])
-    shared = spark.sparkContext.broadcast(twice)
+    context = docs.sparkSession.sparkContext
+    texts = docs.select("text")
+    sketch = context.broadcast(sketch_of(texts, lambda column: _distinct(column, width)))
+    shared = context.broadcast(_bits(sketch_of(texts, _text_signatures(width, similarity, sketch)), 2))
     sets = stored(_sets(docs, width, similarity, sketch, shared), "sets")
     nodes = sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first"))
 
-    postings = sets.where("sigs is not null").select("fp", F.explode("sigs").alias("sig")).distinct()
+    # equal sets have equal signatures, so one row a set is exploded
+    one = sets.where("sigs is not null").groupBy("fp").agg(F.first("sigs").alias("sigs"), F.first("n").alias("n"), F.min("id").alias("id"))
     here = Window.partitionBy("sig")
-    postings = postings.withColumns({"leader": F.min("fp").over(here), "mates": F.count("*").over(here)}).where("mates > 1")
-    postings = stored(postings.select("sig", "fp", "leader"), "postings")
-    homes = stored(postings.groupBy("fp").agg(F.min("leader").alias("home")), "homes")
-
-    # one copy of each set that has a mate, with its group and its block in the group
-    one = sets.where("toks is not null").select("fp", "n", "toks").join(homes, "fp")
-    one = one.groupBy("fp").agg(F.first("home").alias("home"), F.first("n").alias("n"), F.first("toks").alias("toks"))
-    sizes = homes.groupBy("home").agg(F.count("*").alias("members"))
+    postings = one.select("fp", "id", "n", F.explode("sigs").alias("sig")).withColumns({"leader": F.min("fp").over(here), "mates": F.count("*").over(here)})
+    postings = stored(postings.where("mates > 1").drop("mates"), "postings")
+    homes = postings.groupBy("fp", "id", "n").agg(F.min("leader").alias("home"))
+    sizes = postings.groupBy("fp").agg(F.min("leader").alias("home")).groupBy("home").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    one = stored(one.join(sizes, "home").withColumn("blk", F.pmod(F.xxhash64("fp"), blocks).cast("int")).drop("members"), "members")
-    groups = one.groupBy("home").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
-    groups = stored(groups.withColumn("nb", blocks), "groups")
+    homes = homes.join(sizes, "home").withColumn("blk", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    homes = stored(homes.withColumn("nb", blocks), "homes")
 
-    met = postings.join(homes, "fp").select("sig", "home").distinct()
+    # which groups meet, and the pairs of blocks to verify: narrow rows only
+    groups = homes.groupBy("home").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("members").alias("members"), F.max("nb").alias("nb"))
+    met = postings.select("sig", "fp").join(homes.select("fp", "home"), "fp").select("sig", "home").distinct()
     other = met.select("sig", F.col("home").alias("other"))
     across = met.join(other, "sig").where("home < other").select("home", "other").distinct()
     left = groups.select("home", F.col("low").alias("la"), F.col("high").alias("ha"), F.col("nb").alias("na"))
-    right = groups.select(F.col("home").alias("other"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("nb").alias("nb"))
+    right = groups.select(F.col("home").alias("other"), F.col("low").alias("lb"), F.col("high").alias("hb"), "nb")
     across = across.join(left, "home").join(right, "other").where(f"ha * 100 >= lb * {similarity} and hb * 100 >= la * {similarity}")
-    within = left.join(groups.where("members > 1").select("home"), "home").select("home", F.col("home").alias("other"), "na", F.col("na").alias("nb"))
-    tasks = across.select("home", "other", "na", "nb").union(within.select("home", "other", "na", "nb"))
+    within = groups.where("members > 1").select("home", F.col("home").alias("other"), F.col("nb").alias("na"), "nb")
+    tasks = across.select("home", "other", "na", "nb").union(within)
     tasks = (
         tasks.withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
         .withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -306,10 +312,24 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
         .select(F.col("home").alias("ga"), F.col("other").alias("gb"), "ba", "bb")
     )
     tasks = stored(tasks, "tasks")
-    a_side = tasks.join(one, (tasks.ga == one.home) & (tasks.ba == one.blk)).select("ga", "gb", "ba", "bb", F.lit(0).alias("side"), "fp", "n", "toks")
-    b_side = tasks.where("ga <> gb or ba <> bb").join(one, (tasks.gb == one.home) & (tasks.bb == one.blk))
-    b_side = b_side.select("ga", "gb", "ba", "bb", F.lit(1).alias("side"), "fp", "n", "toks")
-    both = a_side.union(b_side).repartition("ga", "gb", "ba", "bb").sortWithinPartitions("ga", "gb", "ba", "bb")
+    at = homes.select("fp", "home", "blk")
+    a_side = tasks.join(at, (tasks.ga == at.home) & (tasks.ba == at.blk)).select("ga", "gb", "ba", "bb", F.lit(0).alias("side"), "fp")
+    b_side = tasks.where("ga <> gb or ba <> bb").join(at, (tasks.gb == at.home) & (tasks.bb == at.blk)).select("ga", "gb", "ba", "bb", F.lit(1).alias("side"), "fp")
+
+    # token sets move to their tasks. A bitmap of fixed size names the one row of each set that
+    # has a mate, so that no other row's tokens are shuffled; what it lets by in error, the
+    # join and the aggregate drop. The join is a merge join at every size of input.
+    bits = context.broadcast(_bits(sketch_of(homes.select(F.xxhash64("fp", "id").alias("h")), lambda column: [np.unique(column.to_numpy().view(np.uint64))]), 1))
+
+    def wanted(batches):
+        for batch in batches:
+            keep = _has(bits.value, batch.column(0).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(keep)).drop_columns(["h"])
+
+    toks = sets.where("toks is not null").select(F.xxhash64("fp", "id").alias("h"), "fp", "n", "toks").mapInArrow(wanted, "fp bigint, n bigint, toks binary")
+    toks = toks.groupBy("fp").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
+    both = a_side.union(b_side).join(toks.hint("merge"), "fp").select("ga", "gb", "ba", "bb", "side", "fp", "n", "toks")
+    both = both.repartition("ga", "gb", "ba", "bb").sortWithinPartitions("ga", "gb", "ba", "bb")
     links = stored(both.mapInArrow(_verify(similarity), "a bigint, b bigint"), "links")
 
     labels = connected_components(links)
