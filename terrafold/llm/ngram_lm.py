@@ -42,6 +42,15 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Word numbers by byte planes; frequent words have small numbers, so the planes compress."""
+    return zlib.compress(np.ascontiguousarray(codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack_codes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _ngrams(dictionary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of the n-gram that ends at each word, and whether it lies within one text."""
     w = dictionary[codes]
@@ -61,12 +70,16 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
         def out():
             h = np.concatenate(hashes)
-            dictionary, codes = np.unique(h, return_inverse=True)
+            dictionary, codes, uses = np.unique(h, return_inverse=True, return_counts=True)
+            rank = np.argsort(-uses, kind="stable")
+            place = np.empty(len(rank), np.uint32)
+            place[rank] = np.arange(len(rank))
+            dictionary, codes = dictionary[rank], place[codes]
             id_list = pa.concat_arrays(ids)
             column = pa.ListArray.from_arrays(pa.array([0, len(id_list)], pa.int32()), id_list)
             n = np.concatenate(sizes).astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + k]), column, pa.array([n.tobytes()]), pa.array([len(h)], pa.int64()), pa.array([dictionary.tobytes()]), pa.array([codes.astype(np.uint32).tobytes()])],
+                [pa.array([base + k]), column, pa.array([n.tobytes()]), pa.array([len(h)], pa.int64()), pa.array([dictionary.tobytes()]), pa.array([_pack_codes(codes)])],
                 ["chunk", "ids", "sizes", "total", "dictionary", "codes"],
             )
 
@@ -92,7 +105,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
 
 def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["dictionary"], np.uint64), np.frombuffer(row["codes"], np.uint32), np.frombuffer(row["sizes"], np.int32)
+    return np.frombuffer(row["dictionary"], np.uint64), _unpack_codes(row["codes"]), np.frombuffer(row["sizes"], np.int32)
 
 
 def score_texts(docs: DataFrame, order: int = 2, cutoffs: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -121,7 +134,8 @@ def score_texts(docs: DataFrame, order: int = 2, cutoffs: tuple[int, ...] = (1,
                 dictionary, codes, sizes = _read(row)
                 for n in range(1, order + 1):
                     if n == 1:
-                        at, counts = dictionary, np.bincount(codes, minlength=len(dictionary))
+                        by_hash = np.argsort(dictionary)
+                        at, counts = dictionary[by_hash], np.bincount(codes, minlength=len(dictionary))[by_hash]
                     else:
                         h, inside = _ngrams(dictionary, codes, sizes, n)
                         at, counts = np.unique(h[inside], return_counts=True)
@@ -162,7 +176,9 @@ def score_texts(docs: DataFrame, order: int = 2, cutoffs: tuple[int, ...] = (1,
             dictionary, codes, sizes = _read(rows[0])
             counts = [np.frombuffer(b"".join(zlib.decompress(r["counts"]) for r in rows[1:] if r["part"] // parts == n), np.uint32) for n in range(order)]
             place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            c = [counts[0][codes].astype(np.int64) if len(codes) else np.zeros(0, np.int64)]
+            single = np.empty(len(dictionary), np.int64)
+            single[np.argsort(dictionary)] = counts[0]
+            c = [single[codes]]
             for n in range(2, order + 1):
                 h, inside = _ngrams(dictionary, codes, sizes, n)
                 _, inverse = np.unique(h[inside], return_inverse=True)
