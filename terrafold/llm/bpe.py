@@ -55,7 +55,7 @@ def _byte_symbols() -> list[str]:
 class WordBPE:
     """Encoder and decoder for a tokenizer file with byte-level symbols and word-end suffix."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -149,7 +149,7 @@ class WordBPE:
         key = (a, b)
         found = self.compatible_cache.get(key)
         if found is None:
-            if len(self.compatible_cache) > 2_000_000:
+            if len(self.compatible_cache) > 300_000:
                 self.compatible_cache.clear()
             found = self.compatible_cache[key] = not self._clash(a, b, _NEVER)
         return found
@@ -296,7 +296,7 @@ class WordBPE:
 _loaded: dict[tuple[str, int], WordBPE] = {}
 
 
-def loaded(path: str, cache_words: int = 400_000) -> WordBPE:
+def loaded(path: str, cache_words: int = 150_000) -> WordBPE:
     """One encoder a Python worker, so that its words serve all the worker's tasks."""
     key = (path, cache_words)
     if key not in _loaded:
@@ -304,7 +304,7 @@ def loaded(path: str, cache_words: int = 400_000) -> WordBPE:
     return _loaded[key]
 
 
-def encode_texts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", texts: bool = True, chunk_bytes: int = 1 << 22) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", texts: bool = True, chunk_bytes: int = 1 << 21) -> DataFrame:
     """docs plus ids (array<int>), decoded (string), n_tokens, ids_sha256 and decoded_sha256.
 
     vocabulary: a file's path, or its name in the package of public tokenizers on the workers.
