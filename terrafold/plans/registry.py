@@ -1,6 +1,11 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries with their SQL oracles, gathered from the plan modules."""
 
 from __future__ import annotations
 
+from . import raster_queries, site_queries, table_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (raster_queries, site_queries, table_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
