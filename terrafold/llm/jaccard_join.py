@@ -14,9 +14,10 @@
    second pass counts the signatures that remain in the same way, and those that one text
    alone has are left out too; texts without any left cannot be similar to another.
 3. Equal sets are merged first, by a fingerprint. Sets that share a signature are gathered to
-   home groups (the least leader of a set's signatures); the distinct pairs of homes that meet
-   in a bucket are verified in blocks of BLOCK sets by a sparse-to-dense product, which tests
-   every pair of the block exactly and returns a spanning forest of the links.
+   home groups (the least leader of a set's signatures). The sets of a group, and those of two
+   groups that meet in a bucket, are verified in blocks of about BLOCK sets by a matrix
+   product, which tests every pair of the blocks exactly and returns a spanning forest of the
+   links.
 4. Components over the links label the classes.
 """
 
@@ -295,26 +296,22 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     homes = homes.join(sizes, "home").withColumn("blk", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     homes = stored(homes.withColumn("nb", blocks), "homes")
 
-    # which groups meet, and the pairs of blocks to verify: narrow rows only
-    groups = homes.groupBy("home").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("members").alias("members"), F.max("nb").alias("nb"))
-    met = postings.select("sig", "fp").join(homes.select("fp", "home"), "fp").select("sig", "home").distinct()
-    other = met.select("sig", F.col("home").alias("other"))
-    across = met.join(other, "sig").where("home < other").select("home", "other").distinct()
-    left = groups.select("home", F.col("low").alias("la"), F.col("high").alias("ha"), F.col("nb").alias("na"))
-    right = groups.select(F.col("home").alias("other"), F.col("low").alias("lb"), F.col("high").alias("hb"), "nb")
-    across = across.join(left, "home").join(right, "other").where(f"ha * 100 >= lb * {similarity} and hb * 100 >= la * {similarity}")
-    within = groups.where("members > 1").select("home", F.col("home").alias("other"), F.col("nb").alias("na"), "nb")
-    tasks = across.select("home", "other", "na", "nb").union(within)
-    tasks = (
-        tasks.withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-        .withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .where("home <> other or ba <= bb")
-        .select(F.col("home").alias("ga"), F.col("other").alias("gb"), "ba", "bb")
-    )
+    # which sets to verify against each other: narrow rows only. Within a group all its sets;
+    # across two groups those that meet the other one in a bucket, at a length that can match
+    met = postings.select("sig", "fp").join(homes.select("fp", "n", "home", "blk", "nb"), "fp")
+    seen = met.groupBy("sig", F.col("home").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("nb").alias("other_nb"))
+    across = met.join(seen, "sig").where(f"home <> other and n * 100 >= low * {similarity} and high * 100 >= n * {similarity}")
+    across = across.groupBy("fp", "home", "other").agg(F.max("blk").alias("blk"), F.max("other_nb").alias("nb"))
+    within = homes.where("members > 1").select("fp", "home", F.col("home").alias("other"), "blk", "nb")
+    # a set stands in its own block, against every block of the other side
+    rows = across.unionByName(within).withColumn("other_blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    first = F.struct("home", "blk") <= F.struct("other", "other_blk")
+    side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    tasks = rows.select(
+        "fp", side("home", "other").alias("ga"), side("other", "home").alias("gb"), side("blk", "other_blk").alias("ba"), side("other_blk", "blk").alias("bb"),
+        F.when(first, 0).otherwise(1).alias("side"),
+    )
     tasks = stored(tasks, "tasks")
-    at = homes.select("fp", "home", "blk")
-    a_side = tasks.join(at, (tasks.ga == at.home) & (tasks.ba == at.blk)).select("ga", "gb", "ba", "bb", F.lit(0).alias("side"), "fp")
-    b_side = tasks.where("ga <> gb or ba <> bb").join(at, (tasks.gb == at.home) & (tasks.bb == at.blk)).select("ga", "gb", "ba", "bb", F.lit(1).alias("side"), "fp")
 
     # token sets move to their tasks. A bitmap of fixed size names the one row of each set that
     # has a mate, so that no other row's tokens are shuffled; what it lets by in error, the
@@ -328,7 +325,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
 
     toks = sets.where("toks is not null").select(F.xxhash64("fp", "id").alias("h"), "fp", "n", "toks").mapInArrow(wanted, "fp bigint, n bigint, toks binary")
     toks = toks.groupBy("fp").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
-    both = a_side.union(b_side).join(toks.hint("merge"), "fp").select("ga", "gb", "ba", "bb", "side", "fp", "n", "toks")
+    both = tasks.join(toks.hint("merge"), "fp").select("ga", "gb", "ba", "bb", "side", "fp", "n", "toks")
     both = both.repartition("ga", "gb", "ba", "bb").sortWithinPartitions("ga", "gb", "ba", "bb")
     links = stored(both.mapInArrow(_verify(similarity), "a bigint, b bigint"), "links")
 
