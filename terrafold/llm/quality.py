@@ -4,8 +4,8 @@ Heuristic labellers vote bad (1) or abstain (0) on every text; hand labels, wher
 has them, are one more labeller, which also votes good (2). Expectation-maximisation over the counts of vote
 patterns estimates each labeller's accuracy in either class, and the share of good texts,
 without trusting any one of them. The posterior of each pattern is the soft label of its texts.
-On a sample of at most SAMPLE labelled rows (all rows, where there are no labels), these train
-a logistic scorer over hashed words and binned text statistics; it then scores every text.
+On a sample of at most SAMPLE rows, those with hand labels first, these train a logistic scorer
+over hashed words and binned text statistics; it then scores every text.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ BITS = 18
 #: Rows that the scorer is fitted on, and the least number of them that must have a feature.
 SAMPLE = 12_000
 LEAST_ROWS = 3
+BIN_COPIES = 4
+#: Weight of what is held of the labellers beforehand, and accuracy of hand labels.
+PRIOR, TRUST = 0.05, 0.98
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 LABELLERS = ("symbols", "capitals", "repeats", "variety", "stops", "insults", "length", "labels")
 
@@ -100,41 +103,55 @@ def votes(stats: np.ndarray) -> np.ndarray:
     ).astype(np.int64)
 
 
-def posteriors(patterns: np.ndarray, table: np.ndarray, good: float) -> np.ndarray:
-    """P(good) of each row of votes, given the labellers' accuracies."""
+def posteriors(patterns: np.ndarray, table: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """P(class) of each row of votes, given the labellers' vote distributions in each class."""
     logs = np.log(table)
-    score = np.log(good) - np.log1p(-good) + sum(logs[j, 1, patterns[:, j]] - logs[j, 0, patterns[:, j]] for j in range(len(table)))
-    return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+    score = np.log(share) + sum(logs[j].T[patterns[:, j]] for j in range(len(table)))
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """(P(good | pattern), accuracies[labeller, class, vote], P(good)) from distinct vote patterns.
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(P(good | pattern), vote distributions [labeller, class, vote], class shares) from distinct
+    vote patterns.
 
-    Each labeller has a distribution over its three votes for either class. The start holds
-    every labeller to be better than chance, which settles which class is which."""
+    Bad texts are of several kinds, and the labellers that know one are silent on the others, so
+    one bad class would not do: there is one for each heuristic labeller, one for what only hand
+    labels show, and the good class, which is the last. The start holds each labeller to know
+    its own kind and seldom to be wrong on good texts, with the weight of PRIOR times the texts.
+    The last labeller, the hand labels, is right TRUST of the time and is not estimated: it
+    anchors the others."""
     m = patterns.shape[1]
-    table = np.zeros((m, 2, 3))
-    table[:, 0] = (0.6, 0.3, 0.1)
-    table[:, 1] = (0.6, 0.02, 0.38)
-    good = 0.8
-    post = np.full(len(patterns), good)
+    k = m + 1
     total = counts.sum()
-    for _ in range(rounds):
-        post = posteriors(patterns, table, good)
-        if total == 0:
-            break
-        good = float(np.clip((post * counts).sum() / total, 1e-3, 1 - 1e-3))
-        for j in range(m):
-            for c, weight in ((0, (1 - post) * counts), (1, post * counts)):
-                got = np.bincount(patterns[:, j], weight, 3) + 0.5
-                table[j, c] = got / got.sum()
-    return post, table, good
+    table = np.empty((m, k, 3))
+    table[:] = (0.94, 0.05, 0.01)
+    table[:, -1] = (0.985, 0.01, 0.005)
+    for j in range(m - 1):
+        table[j, j] = (0.1, 0.89, 0.01)
+    covered = float(np.clip(counts[patterns[:, -1] > 0].sum() / max(total, 1), 1e-3, 1 - 1e-3))
+    table[-1] = (1 - covered, covered * TRUST, covered * (1 - TRUST))
+    table[-1, -1] = (1 - covered, covered * (1 - TRUST), covered * TRUST)
+    start, share = table.copy(), np.append(np.full(k - 1, 0.2 / (k - 1)), 0.8)
+    prior = share.copy()
+    post = posteriors(patterns, table, share)
+    for _ in range(rounds if total else 0):
+        post = posteriors(patterns, table, share)
+        weight = post * counts[:, None]
+        share = weight.sum(axis=0) + PRIOR * total * prior
+        share /= share.sum()
+        for j in range(m - 1):
+            got = np.stack([np.bincount(patterns[:, j], w, 3) for w in weight.T]) + PRIOR * total * prior[:, None] * start[j]
+            table[j] = got / got.sum(axis=1, keepdims=True)
+    return post[:, -1], table, share
 
 
 def _feature_ids(stats: np.ndarray, distinct: list[np.ndarray]) -> list[np.ndarray]:
-    """Hashed features of each row: its distinct words, and its statistics by bin."""
+    """Hashed features of each row: its distinct words, and its statistics by bin. A bin stands
+    under BIN_COPIES hashes, so that it outweighs the words of the few texts it is fitted on."""
     bins = np.stack([np.digitize(stats[:, k], e) for k, e in enumerate(_EDGES)], axis=1).astype(np.uint64)
-    own = mix(bins + np.arange(len(_EDGES), dtype=np.uint64) * np.uint64(1000) + np.uint64(7))
+    salt = np.arange(len(_EDGES), dtype=np.uint64) * np.uint64(1000) + np.uint64(7)
+    own = np.concatenate([mix(bins + salt + np.uint64(100_000 * k)) for k in range(BIN_COPIES)], axis=1)
     return [np.unique((np.concatenate([d, o]) >> np.uint64(64 - BITS)).astype(np.int32)) for d, o in zip(distinct, own)]
 
 
@@ -214,13 +231,11 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     found = voted.groupBy("code").agg(F.count("*").alias("n")).collect()  # at most 3 ** 8 patterns
     codes = np.array([r["code"] for r in found], np.int64)
     patterns = codes[:, None] // 3 ** np.arange(m + 1) % 3
-    post, table, good = expectation_maximisation(patterns, np.array([r["n"] for r in found], float))
+    post, table, kinds = expectation_maximisation(patterns, np.array([r["n"] for r in found], float))
     posterior = dict(zip(codes.tolist(), post.tolist()))
 
-    known = voted.where("gold > 0")
-    known = known if not known.isEmpty() else voted
-    chosen = known.where("doc_id is not null").groupBy("doc_id").agg(F.max("code").alias("code")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = stored(chosen.withColumn("doc_id", F.col("doc_id")), "sample")
+    known = voted.where("doc_id is not null").groupBy("doc_id").agg(F.max("code").alias("code"), F.max(F.col("gold") > 0).alias("told"))
+    chosen = stored(known.orderBy(F.desc("told"), F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "code"), "sample")
 
     def featurise(batches):
         for batch in pieces(batches, 1):
@@ -245,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     rows = rows.mapInArrow(featurise, f"doc_id {kind}, ids binary, target double")
     fitted = rows.repartition(1).mapInArrow(train, "weights binary").collect()
     weights = np.frombuffer(fitted[0]["weights"], np.float32).copy() if fitted else fit_scorer([], np.zeros(0))
-    shared = spark.sparkContext.broadcast((weights, table[:m], good))
+    shared = spark.sparkContext.broadcast((weights, table[:m], kinds))
 
     def score(batches):
         place = passed.index("text")
@@ -258,7 +273,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
             at = np.cumsum(sizes)
             z = sums[at] - sums[at - sizes] + float(w[-1])
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            weak = posteriors(votes(stats), accuracies, share)
+            weak = posteriors(votes(stats), accuracies, share)[:, -1]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(weak, pa.float64()), pa.array(p), pa.array(p >= threshold)], [*passed, "weak_label", "score", "keep"]
             )
