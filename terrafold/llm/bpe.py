@@ -55,7 +55,7 @@ def _byte_symbols() -> list[str]:
 class WordBPE:
     """Encoder and decoder for a tokenizer file with byte-level symbols and word-end suffix."""
 
-    def __init__(self, path: str, cache_words: int = 150_000):
+    def __init__(self, path: str, cache_words: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -79,8 +79,6 @@ class WordBPE:
         self.right_spine: dict[int, list[tuple[int, int]]] = {}
         self.left_spine: dict[int, list[tuple[int, int]]] = {}
         self.compatible_cache: dict[tuple[int, int], bool] = {}
-        # tokens by their symbols; those that the merges cannot reach never occur
-        self.by_symbols: dict[tuple[str, ...], int] = {}
         self.longest = 1
         reach: dict[int, tuple[str, ...]] = {}
         ends = {s + self.suffix for s in self.symbols}
@@ -90,13 +88,15 @@ class WordBPE:
         for c, (rank, a, b) in sorted(self.made.items(), key=lambda x: x[1][0]):
             if a in reach and b in reach and self._clash(a, b, rank) is False:
                 reach[c] = reach[a] + reach[b]
-        for i, symbols in reach.items():
-            self.by_symbols[symbols] = i
-            self.longest = max(self.longest, len(symbols))
-        # tokens as strings of symbols, the closing symbol marked by a trailing space
-        self.plain = {"".join(k): i for k, i in self.by_symbols.items() if not k[-1].endswith(self.suffix) or not self.suffix}
-        self.closing = {"".join(k)[: -len(self.suffix)]: i for k, i in self.by_symbols.items() if self.suffix and k[-1].endswith(self.suffix)}
-        self.width = {i: len(k) for k, i in self.by_symbols.items()}
+        # tokens by their symbols, within words and at their end; those that the merges cannot
+        # reach never occur
+        self.longest = max(map(len, reach.values()), default=1)
+        at_end = {i for i, k in reach.items() if self.suffix and k[-1].endswith(self.suffix)}
+        self.plain = {"".join(k): i for i, k in reach.items() if i not in at_end}
+        self.closing = {"".join(reach[i])[: -len(self.suffix)]: i for i in at_end}
+        self.width = {i: len(k) for i, k in reach.items()}
+        self.right_spine.clear()
+        self.left_spine.clear()
         #: The ids and tokens of known words, joined by spaces; special tokens stand under a mark
         #: that no word can be. The old ones are those of the last turn.
         self.marks = {f" {t}": str(i) for t, i in self.special.items()}
@@ -105,7 +105,8 @@ class WordBPE:
         self.old_ids: dict[str, str] = {}
         self.old_names: dict[str, str] = {}
         self.silent: set[str] = set()  # words without any token
-        self.spec, self.library = spec, None
+        self.split_pattern = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"), None)
+        self.library = None
         self.cache_words = cache_words
         self.table = {b: self.symbols[b] for b in range(256)}
 
@@ -149,8 +150,10 @@ class WordBPE:
         key = (a, b)
         found = self.compatible_cache.get(key)
         if found is None:
-            if len(self.compatible_cache) > 300_000:
+            if len(self.compatible_cache) > 200_000:
                 self.compatible_cache.clear()
+                self.right_spine.clear()
+                self.left_spine.clear()
             found = self.compatible_cache[key] = not self._clash(a, b, _NEVER)
         return found
 
@@ -242,10 +245,9 @@ class WordBPE:
         if self.library is None:
             from tokenizers import Regex, normalizers, pre_tokenizers
 
-            pattern = next(p["pattern"]["Regex"] for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
             self.library = (
                 normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()]),
-                pre_tokenizers.Split(Regex(pattern), "removed", invert=True),
+                pre_tokenizers.Split(Regex(self.split_pattern), "removed", invert=True),
             )
         normal, pieces = self.library
         return [w for w, _ in pieces.pre_tokenize_str(normal.normalize_str(text))]
@@ -296,7 +298,7 @@ class WordBPE:
 _loaded: dict[tuple[str, int], WordBPE] = {}
 
 
-def loaded(path: str, cache_words: int = 150_000) -> WordBPE:
+def loaded(path: str, cache_words: int = 100_000) -> WordBPE:
     """One encoder a Python worker, so that its words serve all the worker's tasks."""
     key = (path, cache_words)
     if key not in _loaded:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -34,6 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks and share an
+    executor's limit with its heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batches, column: int = 0, most: int = 1 << 22):
     """Batches cut so that the strings of a column take at most so many bytes, or one row."""
     for batch in batches:
@@ -46,6 +57,7 @@ def pieces(batches, column: int = 0, most: int = 1 << 22):
             end = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def grouped(batches, keys: list[str]):
@@ -72,3 +84,4 @@ def grouped(batches, keys: list[str]):
             last = key
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
