@@ -58,10 +58,10 @@ def sigma0_calibration(spark, sf_dir):
     return l.join(top, "l_returnflag").select("l_orderkey", "l_linenumber", F.round(B.sigma0_db(F.col("dn"), F.col("top")), 6).alias("db"))
 
 
-@query("landsat_scaling", "SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, l_extendedprice * 2.75e-05 - 0.2)), 6) AS reflectance FROM lineitem")
+@query("landsat_scaling", "SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, l_extendedprice * 2.75e-05 - 0.2)), 9) AS reflectance FROM lineitem")
 def landsat_scaling(spark, sf_dir):
     l = A.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("reflectance"))
-    return pixels.landsat_or_stretch(l, ["reflectance"]).select("l_orderkey", "l_linenumber", F.round("reflectance", 6).alias("reflectance"))
+    return pixels.landsat_or_stretch(l, ["reflectance"]).select("l_orderkey", "l_linenumber", F.round("reflectance", 9).alias("reflectance"))
 
 
 @query("percentile_stretch", f"""WITH {A.BANDS_SQL}, q AS (SELECT quantile_cont(blue, [0.02, 0.98]) AS b, quantile_cont(green, [0.02, 0.98]) AS g, quantile_cont(red, [0.02, 0.98]) AS r, quantile_cont(nir, [0.02, 0.98]) AS n FROM bands)
