@@ -27,11 +27,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 80 % of their five-word shingles, the one with the
-    smallest doc_id stays; documents without words are in no group. Of rows that repeat a
-    doc_id one stays, with a null doc_id all do, as they cannot be told apart from their group."""
-    classes = similar_classes(docs.select(F.col("doc_id").alias("id"), "text"), width=5, similarity=80)
-    gone = classes.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    smallest doc_id stays; documents without words are in no group. Of rows that repeat both a
+    doc_id and its text one stays. Rows with a null doc_id all stay: nothing names them."""
+    classes = stored(similar_classes(docs.select(F.col("doc_id").alias("id"), "text"), width=5, similarity=80), "classes")
+    named = classes.where("id is not null").groupBy(F.col("id").alias("doc_id"))
+    named = stored(named.agg(F.max(F.col("id") != F.col("component_id")).alias("gone"), F.count("*").alias("times")), "named")
+    kept = docs.join(named.where("gone").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = named.where("not gone and times > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_anti")
+    return once.select(*COLUMNS).union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

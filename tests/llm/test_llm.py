@@ -536,3 +536,12 @@ def test_pipeline_stages(spark):
         assert r.n_chars == len(r.text)
     assert all(n <= 3 * sizes[d] for d, n in taken.items()) and abs(sum(taken.values()) - sum(sizes.values())) < 0.02 * sum(sizes.values())
     assert len(rows["bpe"]) == len(rows["mixing"])
+
+
+def test_repeated_rows_leave_one(spark):
+    import corpus_pipeline as p
+
+    t = "one two three four five six seven"
+    df = spark.createDataFrame([(2, t, "en", "s", 33), (2, t, "en", "s", 33), (1, t + " eight nine ten", "en", "s", 50), (None, t, "en", "s", 33), (5, "other words stand here in this text", "en", "s", 35), (5, "other words stand here in this text", "en", "s", 35), (6, None, "en", "s", 0)], DOCS)
+    got = sorted((str(r.doc_id), r.text) for r in p.drop_near_duplicates(spark, df, SF).collect())
+    assert [g[0] for g in got] == ["1", "2", "5", "6", "None"]
