@@ -27,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -283,13 +283,17 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     sketch = context.broadcast(sketch_of(texts, lambda column: _distinct(column, width)))
     shared = context.broadcast(_bits(sketch_of(texts, _text_signatures(width, similarity, sketch)), 2))
     sets = stored(_sets(docs, width, similarity, sketch, shared), "sets")
+    sketch.unpersist()
+    shared.unpersist()
     nodes = sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first"))
 
     # equal sets have equal signatures, so one row a set is exploded
     one = sets.where("sigs is not null").groupBy("fp").agg(F.first("sigs").alias("sigs"), F.first("n").alias("n"), F.min("id").alias("id"))
-    here = Window.partitionBy("sig")
-    postings = one.select("fp", "id", "n", F.explode("sigs").alias("sig")).withColumns({"leader": F.min("fp").over(here), "mates": F.count("*").over(here)})
-    postings = stored(postings.where("mates > 1").drop("mates"), "postings")
+    postings = one.select("fp", "id", "n", F.explode("sigs").alias("sig"))
+    # leaders are aggregated and joined back: a signature that very many sets have is then a
+    # large join partition, which can be split, and no window's group
+    leaders = postings.groupBy("sig").agg(F.min("fp").alias("leader"), F.count("*").alias("mates")).where("mates > 1")
+    postings = stored(postings.join(leaders.drop("mates"), "sig"), "postings")
     homes = postings.groupBy("fp", "id", "n").agg(F.min("leader").alias("home"))
     sizes = postings.groupBy("fp").agg(F.min("leader").alias("home")).groupBy("home").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
