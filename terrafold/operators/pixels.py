@@ -44,14 +44,68 @@ def composite(pixels: DataFrame, pixel: list[str], bands: list[str]) -> DataFram
     return pixels.groupBy(*pixel).agg(*[F.median(b).alias(b) for b in bands])
 
 
+#: Values of a percentile's bracket that one aggregate may hold.
+BRACKET = 65_536
+
+
+def exact_percentiles(rows: DataFrame, columns: list[str], shares: tuple[float, ...], bracket: int = BRACKET) -> dict[str, list[float | None]]:
+    """Exact percentiles with linear interpolation, whatever the number of rows.
+
+    Approximate percentiles on either side of the wanted rank narrow a bracket, and the rows
+    below and inside it are counted; when every bracket holds at most `bracket` values, or one
+    value only, these are gathered and the rank is read off. Each narrowing is two scans for
+    all columns together and leaves about a thousandth, so a few suffice at any size. Null and
+    NaN do not count; a column without values has none."""
+    clean = rows.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    first = clean.agg(*[f for c in columns for f in (F.count(c), F.min(c), F.max(c))]).head()
+    state = []
+    for i, c in enumerate(columns):
+        n, low, high = first[3 * i : 3 * i + 3]
+        for q in shares:
+            state.append({"c": c, "n": n, "rank": q * (n - 1) if n else None, "low": low, "high": high, "below": 0, "inside": n})
+    inside = lambda s: F.when(F.col(s["c"]).between(s["low"], s["high"]), F.col(s["c"]))
+    while wide := [s for s in state if s["inside"] > bracket and s["low"] < s["high"]]:
+        ends = []
+        for s in wide:
+            at = (int(s["rank"]) - s["below"]) / s["inside"]
+            ends.append(F.percentile_approx(inside(s), F.array(F.lit(max(0.0, at - 5e-4)), F.lit(min(1.0, at + 5e-4))), 10_000))
+        for s, (low, high) in zip(wide, clean.agg(*ends).head()):
+            s["was"] = (s["low"], s["high"], s["below"], s["inside"])
+            s["low"], s["high"] = low, high
+        counts = clean.agg(*[f for s in wide for f in (F.count_if(F.col(s["c"]) < s["low"]), F.count(inside(s)))]).head()
+        stuck = True
+        for k, s in enumerate(wide):
+            s["below"], s["inside"] = counts[2 * k], counts[2 * k + 1]
+            if not s["below"] <= int(s["rank"]) < s["below"] + s["inside"]:
+                s["low"], s["high"], s["below"], s["inside"] = s["was"]  # missed: the wider one stands
+            stuck &= s["inside"] == s["was"][3]
+        if stuck:
+            break
+    some = [s for s in state if s["n"]]
+    if some:
+        values = [F.sort_array(F.collect_list(inside(s))) if s["low"] < s["high"] else F.array(F.lit(s["low"])) for s in some]
+        after = [F.min(F.when(F.col(s["c"]) > s["high"], F.col(s["c"]))) for s in some]
+        got = clean.agg(F.count("*"), *values, *after).head()
+        for k, s in enumerate(some):
+            held, beyond, r = got[1 + k], got[1 + len(some) + k], int(s["rank"])
+            pick = lambda i: (held[i] if s["low"] < s["high"] else s["low"]) if i < s["inside"] else beyond  # noqa: B023, E731
+            a = pick(r - s["below"])
+            b = pick(min(r + 1, s["n"] - 1) - s["below"])
+            s["value"] = a + (b - a) * (s["rank"] - r)
+    out: dict[str, list] = {c: [] for c in columns}
+    for s in state:
+        out[s["c"]].append(s.get("value"))
+    return out
+
+
 def stretch(pixels: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98, by: str | None = None, guard: float = 0.0) -> DataFrame:
-    """Each band to [0, 1] between its exact percentiles (within by, if given); 0 where they
-    coincide. guard is added to the divisor. One row of percentiles a group is joined back."""
-    ends = [F.percentile(b, F.array(F.lit(low), F.lit(high))).alias(f"__p_{b}") for b in bands]
+    """Each band to [0, 1] between its exact percentiles; 0 where they coincide. guard is added
+    to the divisor. by: percentiles of each image, whose values an aggregate then holds."""
     if by is None:
-        rows = pixels.crossJoin(F.broadcast(pixels.agg(*ends)))  # one row
+        found = exact_percentiles(pixels, bands, (low, high))
+        rows = pixels.withColumns({f"__p_{b}": F.array(*[F.lit(v).cast("double") for v in found[b]]) for b in bands})
     else:
-        keyed = pixels.groupBy(F.col(by).alias("__by")).agg(*ends)
+        keyed = pixels.groupBy(F.col(by).alias("__by")).agg(*[F.percentile(b, F.array(F.lit(low), F.lit(high))).alias(f"__p_{b}") for b in bands])
         rows = pixels.join(keyed, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
     out = {}
     for b in bands:

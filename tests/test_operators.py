@@ -263,3 +263,16 @@ def test_stream_of_epochs(spark, tmp_path):
     assert q.awaitTermination(120)
     rows = spark.table("tracks_out").collect()
     assert len(rows) == 2 and len({r.track_id for r in rows}) == 1 and {r.event for r in rows} == {"new", "seen"}
+
+
+def test_percentiles_by_brackets(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=20_000)
+    y = np.where(rng.random(20_000) < 0.9, 5.0, rng.integers(0, 9, 20_000))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": np.nan})).withColumn("w", F.when(F.col("x") > 1, F.col("x")))
+    got = pixels.exact_percentiles(df, ["x", "y", "z", "w"], (0.02, 0.5, 0.98), bracket=50)
+    for c, v in (("x", x), ("y", y), ("w", x[x > 1])):
+        assert np.allclose(got[c], np.percentile(v, [2, 50, 98]), atol=1e-12)
+    assert got["z"] == [None, None, None]
+    one = spark.createDataFrame([(3.0,)], "x double")
+    assert pixels.exact_percentiles(one, ["x"], (0.02, 0.98)) == {"x": [3.0, 3.0]}
