@@ -31,29 +31,47 @@ def by_score(rows: DataFrame, y: str, p: str) -> DataFrame:
     return rows.where(F.col(p).between(0, 1)).groupBy(p).agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
 
 
+#: Equal parts of [0, 1] that cumulative counts are split by; their totals are a bounded table.
+PARTS = 1024
+
+
+def cumulative(rows: DataFrame, y: str, p: str) -> DataFrame:
+    """(score, pos, neg, tp, fp, positives, negatives): counts at each score and summed over it and
+    all higher ones. Sums run within parts of the score range and start from the totals of the
+    parts above, so no task orders all scores."""
+    part = F.least(F.lit(PARTS - 1), F.floor(F.col(p) * PARTS)).alias("__part")
+    at = by_score(rows, y, p).withColumn("__part", part)
+    above = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = at.groupBy("__part").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    parts = parts.select(
+        "__part", F.coalesce(F.sum("__p").over(above), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__fp"),
+        F.sum("__p").over(whole).alias("positives"), F.sum("__n").over(whole).alias("negatives"),
+    )
+    fall = Window.partitionBy("__part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    out = at.join(F.broadcast(parts), "__part")  # at most PARTS rows
+    return out.select(p, "pos", "neg", (F.col("__tp") + F.sum("pos").over(fall)).alias("tp"), (F.col("__fp") + F.sum("neg").over(fall)).alias("fp"), "positives", "negatives")
+
+
 def roc_auc(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Mann-Whitney statistic with half credit for ties; null with one class only."""
-    down = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    at = by_score(rows, y, p).withColumn("below", F.coalesce(F.sum("neg").over(down), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    both = F.sum("pos") * F.sum("neg")
-    return at.agg(F.when(both > 0, wins / F.when(both > 0, both)).alias("roc_auc"))
+    wins = F.sum(F.col("pos") * (F.col("negatives") - F.col("fp") + F.col("neg") / 2))
+    both = F.max("positives") * F.max("negatives")
+    return cumulative(rows, y, p).agg(F.when(both > 0, wins / F.when(both > 0, both)).alias("roc_auc"))
 
 
 def curve(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Cumulative tp and fp by falling score with recall (tpr), fpr and precision."""
-    at = by_score(rows, y, p)
-    fall = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    total = at.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    out = at.withColumns({"tp": F.sum("pos").over(fall), "fp": F.sum("neg").over(fall)}).crossJoin(F.broadcast(total))
-    return out.select(p, "tp", "fp", _over(F.col("tp"), F.col("__p")).alias("recall"), _over(F.col("fp"), F.col("__n")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    c = cumulative(rows, y, p)
+    return c.select(p, "tp", "fp", _over(F.col("tp"), F.col("positives")).alias("recall"), _over(F.col("fp"), F.col("negatives")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def pr_auc(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Trapezoids under the precision-recall curve, from recall 0 at precision 1."""
-    w = Window.orderBy(F.desc(p))
-    c = curve(rows, y, p).withColumns({"r0": F.coalesce(F.lag("recall").over(w), F.lit(0.0)), "q0": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
-    return c.agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("q0")) / 2).alias("pr_auc"))
+    tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    before = F.when(tp0 + fp0 > 0, tp0 / F.when(tp0 + fp0 > 0, tp0 + fp0)).otherwise(1.0)
+    now = F.col("tp") / (F.col("tp") + F.col("fp"))
+    return cumulative(rows, y, p).agg(F.sum(_over(F.col("pos"), F.col("positives")) * (now + before) / 2).alias("pr_auc"))
 
 
 def threshold_sweep(rows: DataFrame, y: str, p: str, thresholds: list[float]) -> DataFrame:
