@@ -33,14 +33,25 @@ def box_iou_pairs(spark, sf_dir):
     return spatial.box_pairs(A.detections(spark, sf_dir), "event_id", 64.0, ("class_name",)).withColumn("iou", F.round("iou", 6))
 
 
-# a box survives if no more confident box that survives overlaps it: decided from the most
-# confident down, which a recursion over conflict ranks does in SQL
-@query("nms")
+def _greedy_sql(group: str, order: str, conflict: str, out: str) -> str:
+    """The greedy scan in SQL. Boxes stand on a 40 m lattice with sides below 12 m, so only those
+    of one corner overlap; a recursion walks each corner's boxes in order with the sides kept."""
+    return f"""WITH RECURSIVE {A.DETECTIONS_SQL}, r AS (SELECT *, x2 - x1 AS side, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS i FROM det),
+k AS (SELECT r.*, [side] AS kept, true AS ok FROM r WHERE i = 1
+  UNION ALL SELECT r.*, CASE WHEN len(list_filter(k.kept, lambda s: {conflict})) = 0 THEN list_append(k.kept, r.side) ELSE k.kept END, len(list_filter(k.kept, lambda s: {conflict})) = 0
+  FROM k JOIN r ON r.i = k.i + 1 AND {' AND '.join(f'r.{g} = k.{g}' for g in group.split(', '))})
+SELECT {out} FROM k WHERE ok"""
+
+
+_SIDES = "least(s, r.side) * least(s, r.side) / (greatest(s, r.side) * greatest(s, r.side))"
+
+
+@query("nms", _greedy_sql("class_name, x1, y1", "confidence DESC, event_id", f"{_SIDES} > 0.45", "event_id, class_name, round(confidence, 6) AS confidence"))
 def nms(spark, sf_dir):
     return spatial.nms(A.detections(spark, sf_dir), "event_id", "confidence", 0.45, 64.0, ("class_name",)).select("event_id", "class_name", F.round("confidence", 6).alias("confidence"))
 
 
-@query("iou_dedup")
+@query("iou_dedup", _greedy_sql("x1, y1", "area DESC, event_id", f"{_SIDES} >= 0.5", "event_id, class_name, area"))
 def iou_dedup(spark, sf_dir):
     d = A.detections(spark, sf_dir).withColumn("area", G.box_area(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     return spatial.dedup_by_area(d, "event_id", "area").select("event_id", "class_name", "area")
