@@ -118,7 +118,7 @@ def mining_vote(spark, sf_dir):
     return b.select("l_orderkey", "l_linenumber", B.mining_vote(F.col("blue") > 0.5, F.col("green") * 4, F.col("nir")).cast("int").alias("mining"))
 
 
-@query("tile_grid", """WITH s AS (SELECT r_regionkey AS scene, 900 + 137 * r_regionkey AS height, 700 + 251 * r_regionkey AS width FROM region),
+@query("tile_grid", """WITH s AS (SELECT r_regionkey::BIGINT AS scene, 900 + 137 * r_regionkey AS height, 700 + 251 * r_regionkey AS width FROM region),
 r AS (SELECT DISTINCT scene, height, width, greatest(0, least(i * 409 + 512, height) - 512) AS row_start FROM s, generate_series(0, 20) g(i) WHERE i * 409 < height),
 c AS (SELECT DISTINCT scene, greatest(0, least(i * 409 + 512, width) - 512) AS col_start FROM s, generate_series(0, 20) g(i) WHERE i * 409 < width)
 SELECT scene, row_start, col_start, least(row_start + 512, height) AS row_end, least(col_start + 512, width) AS col_end, 512 - (least(row_start + 512, height) - row_start) AS pad_r, 512 - (least(col_start + 512, width) - col_start) AS pad_c,
@@ -216,7 +216,7 @@ reg AS (SELECT vec_id, label, count(*) AS pixel_count, count(*) * 100 AS area_m2
 sc AS (SELECT *, ln(1 + area_m2) AS la, min(ln(1 + area_m2)) OVER (PARTITION BY vec_id) AS lo, max(ln(1 + area_m2)) OVER (PARTITION BY vec_id) AS hi FROM reg),
 p AS (SELECT *, round(0.3 * (CASE WHEN hi = lo THEN 1 ELSE (la - lo) / (hi - lo + 1e-8) END) + 0.25 / (1 + exp(1)) + 0.2 * confidence + 0.15 * (CASE WHEN confidence >= 0.6 THEN 0.7 ELSE 0.5 END) + 0.1 * 0.5, 6) AS priority_score FROM sc)
 SELECT vec_id, label, pixel_count, round(area_m2 / 10000, 4) AS area_ha, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.7 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier,
-  priority_score, row_number() OVER (PARTITION BY vec_id ORDER BY priority_score DESC, label) AS priority_rank FROM p""")
+  priority_score, row_number() OVER (PARTITION BY vec_id ORDER BY priority_score DESC, label)::INTEGER AS priority_rank FROM p""")
 def components_rank(spark, sf_dir):
     """Threshold, regions, zonal confidence, tier, score and rank: the flagship."""
     from ..functions.scoring import activity_from_count, priority
@@ -235,7 +235,7 @@ def components_chunked(spark, sf_dir):
     return cells.groupBy("vec_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("zonal_confidence", f"""WITH {A.PIXELS_SQL}, z AS (SELECT vec_id, (row // 3)::INTEGER * 3 + col // 3 AS zone, row, col FROM px)
+@query("zonal_confidence", f"""WITH {A.PIXELS_SQL}, z AS (SELECT vec_id, ((row // 3) * 3 + col // 3)::BIGINT AS zone, row, col FROM px)
 SELECT vec_id, zone, round(avg(v), 6) AS confidence FROM z JOIN px USING (vec_id, row, col) GROUP BY ALL""")
 def zonal_confidence(spark, sf_dir):
     px = A.patch_pixels(spark, sf_dir)
@@ -291,3 +291,70 @@ def feature_stack_fill(spark, sf_dir):
     b = A.bands(spark, sf_dir)
     nir = F.when(F.col("nir") > 0.79, F.lit(float("inf"))).otherwise(F.col("nir"))
     return b.select("l_orderkey", "l_linenumber", F.round(B.finite_features(F.col("red")), 6).alias("red"), F.round(B.finite_features(nir), 6).alias("nir"))
+
+
+@query("hue_saturation", f"""WITH {A.BANDS_SQL}, q AS (SELECT l_orderkey, l_linenumber, floor(red * 255) AS r, floor(green * 255) AS g, floor(blue * 255) AS b FROM bands WHERE red IS NOT NULL), h AS (SELECT *, greatest(r, g, b) AS t, least(r, g, b) AS l FROM q),
+k AS (SELECT *, CASE WHEN t = l THEN 0 WHEN t = r THEN 60 * (g - b) / (t - l) WHEN t = g THEN 120 + 60 * (b - r) / (t - l) ELSE 240 + 60 * (r - g) / (t - l) END AS h0 FROM h)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END, 5) AS hue, round(CASE WHEN t = 0 THEN 0 ELSE (t - l) / t END, 6) AS saturation, round(t / 255, 6) AS value FROM k""")
+def hue_saturation(spark, sf_dir):
+    b = A.bands(spark, sf_dir).where("red is not null")
+    h, s, v = B.hsv(F.col("red"), F.col("green"), F.col("blue"))
+    return b.select("l_orderkey", "l_linenumber", F.round(h, 5).alias("hue"), F.round(s, 6).alias("saturation"), F.round(v, 6).alias("value"))
+
+
+@query("grey_levels", f"WITH {A.BANDS_SQL} SELECT l_orderkey, l_linenumber, round(red * 0.299 + green * 0.587 + blue * 0.114, 11) AS features, round(red * 0.2989 + green * 0.587 + blue * 0.114, 11) AS masks FROM bands")
+def grey_levels(spark, sf_dir):
+    rgb = [F.col(c) for c in ("red", "green", "blue")]
+    return A.bands(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(B.grey(*rgb), 11).alias("features"), F.round(B.grey(*rgb, B.GREY_MASKS), 11).alias("masks"))
+
+
+@query("probability_levels", f"""WITH {A.PIXELS_SQL}, l AS (SELECT * FROM (VALUES ('low', 0.3), ('medium', 0.5), ('high', 0.7)) t(level, least)) SELECT level, count(*) AS pixels, count(*) * 100 AS area_m2 FROM px JOIN l ON v * 2 + 0.3 >= least GROUP BY 1""")
+def probability_levels(spark, sf_dir):
+    from ..operators.scoring_models import thresholds
+
+    px = A.patch_pixels(spark, sf_dir).select((F.col("v") * 2 + 0.3).alias("p"))
+    hit = thresholds(px, "p", {"low": 0.3, "medium": 0.5, "high": 0.7})
+    return hit.groupBy("level").agg(F.count("*").alias("pixels"), (F.count("*") * 100).alias("area_m2"))
+
+
+@query("tile_masks", f"""WITH {A.PIXELS_SQL}, t AS (SELECT r.i AS row_start, c.i AS col_start FROM (VALUES (0), (2), (4)) r(i), (VALUES (0), (2), (4)) c(i))
+SELECT vec_id, row_start, col_start, round(sum((v > 0.2)::INTEGER) / 16, 6) AS positive_fraction, (sum((v > 0.2)::INTEGER) / 16 >= 0.1)::INTEGER AS is_positive
+FROM px JOIN t ON row >= row_start AND row < row_start + 4 AND col >= col_start AND col < col_start + 4 GROUP BY ALL""")
+def tile_masks(spark, sf_dir):
+    px = A.patch_pixels(spark, sf_dir).withColumn("v", (F.col("v") > 0.2).cast("int"))
+    out = tiles.tile_masks(tiles.pixels_of_tiles(_patch_tiles(spark, 4, 0.5), px, 4), ["vec_id", "row_start", "col_start"], "v", 4, 0.1)
+    return out.withColumns({"positive_fraction": F.round("positive_fraction", 6), "is_positive": F.col("is_positive").cast("int")})
+
+
+@query("not_black_tiles", f"""WITH {A.PIXELS_SQL} SELECT vec_id, (row // 4)::BIGINT AS r, (col // 4)::BIGINT AS c FROM px GROUP BY ALL HAVING max(v - 0.2) > 0""")
+def not_black_tiles(spark, sf_dir):
+    px = A.patch_pixels(spark, sf_dir).select("vec_id", F.floor(F.col("row") / 4).alias("r"), F.floor(F.col("col") / 4).alias("c"), (F.col("v") - 0.2).alias("v"))
+    return tiles.not_black(px, ["vec_id", "r", "c"], "v")
+
+
+@query("mask_iou", f"""WITH {A.PIXELS_SQL}, m AS (SELECT a.vec_id, (a.v > 0)::INTEGER AS a, (b.v > 0)::INTEGER AS b FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.row = a.row AND b.col = a.col)
+SELECT vec_id, round(coalesce(sum(a * b) / nullif(sum(a + b - a * b), 0), 0), 6) AS iou FROM m GROUP BY 1""")
+def mask_iou(spark, sf_dir):
+    px = A.patch_pixels(spark, sf_dir).withColumn("a", (F.col("v") > 0).cast("int")).drop("v")
+    other = px.select((F.col("vec_id") - 1).alias("vec_id"), "row", "col", F.col("a").alias("b"))
+    return components.mask_iou(px.join(other, ["vec_id", "row", "col"]), "a", "b", ["vec_id"]).withColumn("iou", F.round("iou", 6))
+
+
+@query("coregister", f"""WITH {A.PIXELS_SQL}, l AS (SELECT row, col, v FROM px WHERE vec_id = 0 AND row < 4 AND col < 4), r AS (SELECT row, col, v AS fine FROM px WHERE vec_id = 1)
+SELECT l.row, l.col, round(v, 6) AS v, round(fine, 6) AS fine FROM l LEFT JOIN r ON r.row = l.row * 2 AND r.col = l.col * 2""")
+def coregister(spark, sf_dir):
+    px = A.patch_pixels(spark, sf_dir)
+    left = px.where("vec_id = 0 and row < 4 and col < 4").select("row", "col", "v")
+    right = px.where("vec_id = 1").select("row", "col", F.col("v").alias("fine"))
+    return pixels.coregister(left, right, 2.0).withColumns({c: F.round(c, 6) for c in ("v", "fine")})
+
+
+@query("detect_sites")
+def detect_sites(spark, sf_dir):
+    """The detection flow on sixteen patches side by side, one image a label."""
+    from .flows import detect_sites as flow
+
+    px = A.patch_pixels(spark, sf_dir).join(A.read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").where("vec_id < 320")
+    at = F.col("vec_id") % 16
+    prob = px.groupBy(F.col("label").cast("string").alias("date"), (F.floor(at / 4) * 8 + F.col("row")).cast("int").alias("row"), (at % 4 * 8 + F.col("col")).cast("int").alias("col")).agg(F.least(F.lit(1.0), F.max(F.col("v") * 4)).alias("p"))
+    return flow(prob, 10.0).select("date", "site_id", "pixel_count", "area_ha", F.round("confidence", 6).alias("confidence"), "confidence_tier", "priority_score", "priority_rank")

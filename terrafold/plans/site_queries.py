@@ -94,7 +94,7 @@ def fused_confidence_activity(spark, sf_dir):
 def _priority_sql(source: str, equipment: str, confidence: str, activity: str) -> str:
     return f"""sc AS (SELECT *, min(ln(1 + area_m2)) OVER (PARTITION BY date) AS lo, max(ln(1 + area_m2)) OVER (PARTITION BY date) AS hi FROM {source}),
 p AS (SELECT *, round(0.3 * (CASE WHEN hi = lo THEN 1 ELSE (ln(1 + area_m2) - lo) / (hi - lo + 1e-8) END) + 0.25 / (1 + exp(-({equipment} - 1))) + 0.2 * {confidence} + 0.15 * ({activity}) + 0.1 * water_proximity, 6) AS priority_score FROM sc)
-SELECT site, date, priority_score, row_number() OVER (PARTITION BY date ORDER BY priority_score DESC, site) AS priority_rank FROM p"""
+SELECT site, date, priority_score, row_number() OVER (PARTITION BY date ORDER BY priority_score DESC, site)::INTEGER AS priority_rank FROM p"""
 
 
 @query("priority_rank", f"WITH {A.SITES_SQL}, s AS (SELECT *, CASE WHEN equipment_count > 0 THEN 1.0 ELSE 0.2 END AS act FROM site), {_priority_sql('s', 'equipment_count', 'confidence', 'act')}")
@@ -254,3 +254,42 @@ SELECT DISTINCT r AS row, c AS col FROM p, generate_series(-3, 110) a(r), genera
 def rasterised_points(spark, sf_dir):
     p = A.machines(spark, sf_dir).select((F.col("my") / 100).alias("y"), (F.col("mx") / 100).alias("x"))
     return components.rasterise_points(p, 2.0).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+
+
+@query("utm_round_trip", f"WITH {A.SITES_SQL} SELECT site, round(-1.5 + x / 10000, 7) AS lon, round(5.0 + y / 8000, 7) AS lat FROM site")
+def utm_round_trip(spark, sf_dir):
+    u = A.sites(spark, sf_dir).select("site", (-1.5 + F.col("x") / 10000).alias("lon"), (5.0 + F.col("y") / 8000).alias("lat")).withColumn("epsg", G.utm_epsg(F.col("lat"), F.col("lon")))
+    e, n = G.to_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    u = u.select("site", "epsg", e.alias("e"), n.alias("n"))
+    lon, lat = G.from_utm(F.col("e"), F.col("n"), F.col("epsg"))
+    return u.select("site", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+@query("change_summary", f"""WITH {A.OBSERVATIONS_SQL}, t AS (SELECT track, count(*) AS n, arg_min(area, date) AS a0, arg_max(area, date) AS a1, arg_max(activity, date) AS act FROM obs GROUP BY 1),
+s AS (SELECT a1, CASE WHEN n < 2 THEN 'NEW' WHEN act IN ('ACTIVE', 'LIKELY_ACTIVE') AND a1 - a0 > 0.01 THEN 'EXPANDING' WHEN a1 - a0 > 0.05 THEN 'GROWN' WHEN a1 - a0 < -0.05 THEN 'REDUCED' WHEN act IN ('INACTIVE', 'INACTIVE_INFRASTRUCTURE') THEN 'STABLE_INACTIVE' ELSE 'STABLE' END AS status FROM t)
+SELECT count(*) AS tracks, count(*) FILTER (WHERE status = 'NEW') AS new, count(*) FILTER (WHERE status = 'EXPANDING') AS expanding, count(*) FILTER (WHERE status = 'GROWN') AS grown, count(*) FILTER (WHERE status = 'REDUCED') AS reduced,
+  count(*) FILTER (WHERE status LIKE 'STABLE%') AS stable, round(sum(a1), 2) AS area_ha FROM s""")
+def change_summary(spark, sf_dir):
+    from ..operators.metrics import change_summary as summarise
+
+    r = tracks.track_report(A.observations(spark, sf_dir), "track", "date", "area", "confidence", "activity", "equipment")
+    last = F.element_at("area_series", -1)
+    r = r.withColumn("status", tracks.track_status(F.col("n_observations"), F.col("latest_activity"), last - F.col("area_initial_ha"), last - F.col("area_initial_ha")))
+    return summarise(r.withColumn("area_latest_ha", last))
+
+
+@query("top_sites", f"WITH {A.SITES_SQL}, s AS (SELECT *, CASE WHEN equipment_count > 0 THEN 1.0 ELSE 0.2 END AS act FROM site), r AS ({'WITH ' + _priority_sql('s', 'equipment_count', 'confidence', 'act')}) SELECT site, date, priority_score FROM r ORDER BY priority_score DESC, site LIMIT 10")
+def top_sites(spark, sf_dir):
+    s = A.sites(spark, sf_dir)
+    s = S.priority(s.withColumn("activity", S.activity_from_count(F.col("equipment_count"), F.col("confidence"))), "date", "site")
+    return s.orderBy(F.desc("priority_score"), "site").limit(10).select("site", "date", "priority_score")
+
+
+@query("rasterised_rings", f"""WITH {A.MACHINES_SQL}, t AS (SELECT machine, mx / 100 AS x, my / 100 AS y FROM machine), c AS (SELECT machine, x, y, r AS row, q AS col FROM t, generate_series(-5, 110) a(r), generate_series(-5, 110) b(q) WHERE r BETWEEN floor(y) AND floor(y + 3) AND q BETWEEN floor(x) AND floor(x + 4)),
+e AS (SELECT c.*, x + ax AS x1, y + ay AS y1, x + bx AS x2, y + b_y AS y2 FROM c, (VALUES (0, 0, 4, 1), (4, 1, 2, 3), (2, 3, 0, 0)) s(ax, ay, bx, b_y))
+SELECT machine, row, col FROM e GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > row + 0.5) <> (y2 > row + 0.5) AND col + 0.5 < (x2 - x1) * (row + 0.5 - y1) / (y2 - y1) + x1) % 2 = 1""".replace("GROUP BY ALL HAVING", "GROUP BY machine, row, col HAVING"))
+def rasterised_rings(spark, sf_dir):
+    m = A.machines(spark, sf_dir).select("machine", (F.col("mx") / 100).alias("x"), (F.col("my") / 100).alias("y"))
+    ring = F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ((0, 0), (4, 1), (2, 3), (0, 0))])
+    out = components.rasterise_rings(m.select("machine", ring.alias("ring")), "machine")
+    return out.select("machine", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
