@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.bpe import encode_texts
 from terrafold.llm.jaccard_join import similar_classes
-from terrafold.llm.mixing import mix, mixed_texts
+from terrafold.llm.mixing import mixed_texts
 from terrafold.llm.pii import sanitise
 from terrafold.llm.quality import classify
-from terrafold.llm.shared import stored, table
+from terrafold.llm.shared import short_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,6 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents linked by 80 % of their five-word shingles, the one with the
     smallest doc_id stays; documents without words are in no group. Of rows that repeat both a
     doc_id and its text one stays. Rows with a null doc_id all stay: nothing names them."""
+    short_batches(spark)
     classes = stored(similar_classes(docs.select(F.col("doc_id").alias("id"), "text"), width=5, similarity=80), "classes")
     named = classes.where("id is not null").groupBy(F.col("id").alias("doc_id"))
     named = stored(named.agg(F.max(F.col("id") != F.col("component_id")).alias("gone"), F.count("*").alias("times")), "named")
@@ -42,18 +43,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data and what discloses it replaced."""
+    short_batches(spark)
     clean = sanitise(docs.select(*COLUMNS))
     return clean.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.coalesce(F.length("clean"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each whole pass over a document that the mix takes, and one for its parts."""
-    taken = mixed_texts(mix(docs.select(*COLUMNS)))
+    short_batches(spark)
+    taken = mixed_texts(docs.select(*COLUMNS))
     return taken.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row."""
+    short_batches(spark)
     return encode_texts(docs.select("doc_id", "text"), texts=False)
 
 

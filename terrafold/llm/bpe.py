@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import pieces
+from .shared import give_back, pieces
 
 _NEVER = 1 << 60
 #: Letters, numbers and the rest where no character is a number but 0-9.
@@ -55,7 +55,7 @@ def _byte_symbols() -> list[str]:
 class WordBPE:
     """Encoder and decoder for a tokenizer file with byte-level symbols and word-end suffix."""
 
-    def __init__(self, path: str, cache_words: int = 100_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -287,6 +287,11 @@ class WordBPE:
             out.append((line.count(" ") + 1 if line else 0, line, " ".join(map(names, p))))
         return out
 
+    def forget(self) -> None:
+        """Let go of the words met so far."""
+        self.ids_of, self.names_of, self.silent = dict(self.marks), {m: m[1:] for m in self.marks}, set()
+        self.old_ids, self.old_names = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.batch([text])[0][1].split()]
 
@@ -298,8 +303,8 @@ class WordBPE:
 _loaded: dict[tuple[str, int], WordBPE] = {}
 
 
-def loaded(path: str, cache_words: int = 100_000) -> WordBPE:
-    """One encoder a Python worker, so that its words serve all the worker's tasks."""
+def loaded(path: str, cache_words: int = 200_000) -> WordBPE:
+    """One encoder a Python worker; its tables serve all the worker's tasks."""
     key = (path, cache_words)
     if key not in _loaded:
         _loaded[key] = WordBPE(path, cache_words)
@@ -332,5 +337,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", texts:
                 cols += [pa.array([[int(i) for i in d[1].split()] for d in done], pa.list_(pa.int32())), pa.array([d[2] for d in done], pa.string())]
             cols += [pa.array([d[0] for d in done], pa.int64()), pa.array([sha(d[1]) for d in done], pa.string()), pa.array([sha(d[2]) for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, kept + [n for n, _ in new])
+        bpe.forget()
+        give_back()
 
     return docs.select(*[f"`{c}`" for c in passed]).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import give_back, stored
 
 FINE = 4096
 SHARD_ROWS = 512
@@ -125,8 +125,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
     Other columns pass through, but for ones that bear a name of the results, which are replaced.
     An empty table gives an empty table. keep_text=False leaves the texts out before rows move.
     """
-    new = ("size", "source_size", "target", "taken", "copies", "parts")
-    passed = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
+    return _mix(docs, weights, max_repeats, seed, keep_text)
+
+
+_NEW = ("size", "source_size", "target", "taken", "copies", "parts")
+
+
+def _mix(docs: DataFrame, weights, max_repeats: int, seed: int, keep_text: bool, then=None) -> DataFrame:
+    """mix(); then: (function over its batches, schema), which runs in the same Python worker."""
+    passed = [c for c in docs.columns if c not in _NEW and (keep_text or c != "text")]
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text") if c in docs.columns], F.lit(seed))
     rows = docs.select(*[f"`{c}`" for c in passed], word_count(F.col("text")).alias("size"), hashed.alias("__order")).withColumn(
         "__fine", F.pmod(F.xxhash64("__order"), F.lit(FINE)).cast("int")
@@ -186,34 +193,43 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
                 [*cols, pa.array(taken), pa.array(copies), pa.array([p or [] for p in parts], kind)], [*passed, "size", "source_size", "target", "taken", "copies", "parts"]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
-    schema += ", size bigint, source_size bigint, target double, taken bigint, copies bigint, parts array<struct<begin:bigint,end:bigint>>"
-    return rows.mapInArrow(take, schema)
+    if then is not None:
+        after, schema = then(passed)
+        return rows.mapInArrow(lambda batches: after(take(batches)), schema)
+    return rows.mapInArrow(take, _schema(docs, passed) + ", size bigint, source_size bigint, target double, taken bigint, copies bigint, parts array<struct<begin:bigint,end:bigint>>")
 
 
-def mixed_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each whole pass over a row of mix() and one for its parts, cut from the text
-    with the white space inside kept; rows that nothing is taken from go."""
+def _schema(docs: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17) -> DataFrame:
+    """The texts that mix() takes: one row for each whole pass over a row and one for its parts, cut
+    from the text with the white space inside kept; rows that nothing is taken from go. Other
+    columns pass through, but for ones named as mix()'s results."""
     import re
 
-    passed = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "copies", "parts")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mixed.schema if f.name in passed)
-    place = passed.index(text)
     pattern = re.compile(WORD)
 
-    def cut(batches):
-        for batch in batches:
-            n = len(passed)
-            index, texts = [], []
-            for i, (t, copies, parts) in enumerate(zip(batch.column(place).to_pylist(), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())):
-                index += [i] * copies
-                texts += [t] * copies
-                if parts:
-                    spans = [m.span() for m in pattern.finditer(t)]
-                    index.append(i)
-                    texts.append("\n".join(t[spans[p["begin"]][0] : spans[p["end"] - 1][1]] for p in parts))
-            cols = [c.take(pa.array(index, pa.int64())) for c in batch.columns[:n]]
-            cols[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, passed)
-
-    return mixed.select(*[f"`{c}`" for c in passed], "copies", "parts").mapInArrow(cut, schema)
+    def then(passed):
+        place = passed.index("text")
+        n = len(passed)
+
+        def cut(batches):
+            for batch in batches:
+                index, texts = [], []
+                for i, (t, copies, parts) in enumerate(zip(batch.column(place).to_pylist(), batch.column(n + 4).to_pylist(), batch.column(n + 5).to_pylist())):
+                    index += [i] * copies
+                    texts += [t] * copies
+                    if parts:
+                        spans = [m.span() for m in pattern.finditer(t)]
+                        index.append(i)
+                        texts.append("\n".join(t[spans[p["begin"]][0] : spans[p["end"] - 1][1]] for p in parts))
+                cols = [c.take(pa.array(index, pa.int64())) for c in batch.columns[:n]]
+                cols[place] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, passed)
+            give_back()
+
+        return cut, _schema(docs, passed)
+
+    return _mix(docs, tuple(weights), max_repeats, seed, True, then)

@@ -12,7 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that hold whole texts go to Python in batches of fewer rows than Spark's default, which
+    would be tens of MB each. A setting that the session was given stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
