@@ -28,18 +28,29 @@ ALPHA = 0.4
 
 
 def _pack(h: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences, in as many bytes each as the largest one needs."""
+    """Sorted 64-bit values as differences of a fixed number of bytes. The few differences of a
+    block that are wider have their place and value listed before them."""
     gaps = np.diff(h, prepend=np.uint64(0))
-    width = max(1, -(-int(gaps.max()).bit_length() // 8)) if len(gaps) else 1
-    return bytes([width]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    width, wide = 8, np.zeros(0, np.uint32)
+    for w in range(1, 8):
+        over = np.flatnonzero(gaps >> np.uint64(8 * w)).astype(np.uint32)
+        if 12 * len(over) < len(gaps):
+            width, wide = w, over
+            break
+    low = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + len(wide).to_bytes(4, "little") + wide.tobytes() + gaps[wide].tobytes() + low.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    part = np.frombuffer(data, np.uint8, -1, 1).reshape(-1, width)
-    wide = np.zeros((len(part), 8), np.uint8)
-    wide[:, :width] = part
-    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+    width, n = data[0], int.from_bytes(data[1:5], "little")
+    wide = np.frombuffer(data, np.uint32, n, 5)
+    values = np.frombuffer(data[5 + 4 * n : 5 + 12 * n], np.uint64)
+    low = np.frombuffer(data, np.uint8, -1, 5 + 12 * n).reshape(-1, width)
+    gaps = np.zeros((len(low), 8), np.uint8)
+    gaps[:, :width] = low
+    gaps = gaps.view(np.uint64).ravel()
+    gaps[wide] = values
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
 def _pack_codes(codes: np.ndarray) -> bytes:
