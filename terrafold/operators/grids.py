@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 
 def chunks_of(pixels: DataFrame, size: int, halo: int, keys: tuple[str, ...] = (), value: str = "v") -> DataFrame:
-    """(keys.., block_row, block_col, row0, col0, h, w, data): blocks of size pixels with up to
-    halo more on each side where the image has them. A pixel goes to its own block and to those
+    """(keys.., block_row, block_col, row0, col0, h, w, pos, data): blocks of size pixels with up
+    to halo more on each side where the image has them; pos is the place in the chunk of each
+    value of data, as an image may have holes. A pixel goes to its own block and to those
     whose halo it is in; a chunk is the largest thing a task holds."""
     near = lambda x: F.array_distinct(F.array(F.floor((F.col(x) - halo) / size), F.floor(F.col(x) / size), F.floor((F.col(x) + halo) / size)))
     rows = pixels.select(*keys, "row", "col", value).withColumn("block_row", F.explode(near("row"))).withColumn("block_col", F.explode(near("col")))
@@ -29,22 +30,33 @@ def chunks_of(pixels: DataFrame, size: int, halo: int, keys: tuple[str, ...] = (
     )
     return cells.select(
         *keys, "block_row", "block_col", "row0", "col0", (F.col("__r1") - F.col("row0") + 1).cast("int").alias("h"), (F.col("__c1") - F.col("col0") + 1).cast("int").alias("w"),
+        F.transform("__cells", lambda c: ((c["row"] - F.col("row0")) * (F.col("__c1") - F.col("col0") + 1) + c["col"] - F.col("col0")).cast("int")).alias("pos"),
         F.transform("__cells", lambda c: c["v"]).alias("data"),
     )
 
 
 def map_chunks(chunks: DataFrame, kernels: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
     """chunks plus one array<double> column a kernel, each from data as an (h, w) array with NaN
-    for null; a kernel keeps the shape. No rows move."""
+    for null; a kernel keeps the shape. With a pos column, data need not fill the chunk, and what
+    it leaves open is NaN. No rows move."""
     names = list(kernels)
     passed = chunks.columns
 
+    def dense(h, w, data, pos):
+        if pos is None:
+            return np.array(data, dtype=float).reshape(h, w)
+        out = np.full(h * w, np.nan)
+        out[pos] = np.array(data, dtype=float)
+        return out.reshape(h, w)
+
     def run(batches):
         for batch in batches:
             h, w, data = (batch.column(passed.index(c)).to_pylist() for c in ("h", "w", "data"))
+            pos = batch.column(passed.index("pos")).to_pylist() if "pos" in passed else [None] * batch.num_rows
+            images = [dense(*x) for x in zip(h, w, data, pos)]
             cols = []
             for name in names:
-                out = [np.asarray(kernels[name](np.array(d, dtype=float).reshape(a, b))).astype(float).ravel() for a, b, d in zip(h, w, data)]
+                out = [np.asarray(kernels[name](x)).astype(float).ravel() for x in images]
                 cols.append(pa.array([[None if np.isnan(v) else v for v in o.tolist()] for o in out], pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*passed, *names])
 

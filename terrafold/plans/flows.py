@@ -31,16 +31,21 @@ def optical_composite(scenes: DataFrame, bands: tuple[str, ...] = OPTICAL, cloud
     return pixels.composite(pixels.stretch(rows, names), ["row", "col"], names)
 
 
-def filter_band(px: DataFrame, keys: tuple[str, ...], value: str, kernel: Callable, chunk: int = 256, halo: int = 2) -> DataFrame:
-    """A focal kernel over one band of a pixel table, by chunks with a halo: (keys.., row, col, value)."""
-    made = grids.map_chunks(grids.chunks_of(px, chunk, halo, keys, value), {"__out": kernel})
-    at = F.posexplode("__out").alias("__pos", value)
-    rows = made.select(*keys, "block_row", "block_col", "row0", "col0", "w", at)
+def filter_bands(px: DataFrame, keys: tuple[str, ...], value: str, kernels: dict[str, Callable], chunk: int = 256, halo: int = 2) -> DataFrame:
+    """Focal kernels over one band of a pixel table in one pass, by chunks with a halo:
+    (keys.., row, col, one column a kernel)."""
+    names = {f"__k{i}": n for i, n in enumerate(kernels)}
+    made = grids.map_chunks(grids.chunks_of(px, chunk, halo, keys, value), dict(zip(names, kernels.values())))
+    rows = made.select(*keys, "block_row", "block_col", "row0", "col0", "w", F.posexplode(F.arrays_zip(*names)).alias("__pos", "__v"))
     row, col = F.col("row0") + F.floor(F.col("__pos") / F.col("w")), F.col("col0") + F.col("__pos") % F.col("w")
-    rows = rows.select(*keys, "block_row", "block_col", row.cast("int").alias("row"), col.cast("int").alias("col"), value)
+    rows = rows.select(*keys, "block_row", "block_col", row.cast("int").alias("row"), col.cast("int").alias("col"), *[F.col("__v")[k].alias(n) for k, n in names.items()])
     return rows.where((F.floor(F.col("row") / chunk) == F.col("block_row")) & (F.floor(F.col("col") / chunk) == F.col("block_col"))).drop("block_row", "block_col")
 
 
+def filter_band(px: DataFrame, keys: tuple[str, ...], value: str, kernel: Callable, chunk: int = 256, halo: int = 2) -> DataFrame:
+    return filter_bands(px, keys, value, {value: kernel}, chunk, halo)
+
+
 def radar_composite(scenes: DataFrame, bands: tuple[str, ...] = ("vv", "vh")) -> DataFrame:
     """Backscatter in dB, speckle filtered by scene, stretched, median over dates."""
     top = scenes.agg(*[F.max(b).alias(f"__top_{b}") for b in bands])
@@ -49,6 +54,7 @@ def radar_composite(scenes: DataFrame, bands: tuple[str, ...] = ("vv", "vh")) ->
     for b in bands:
         part = filter_band(rows.select("scene", "date", "row", "col", b), ("scene", "date"), b, grids.refined_lee)
         out = part if out is None else out.join(part, ["scene", "date", "row", "col"])
+    out = reliable(out)
     return pixels.composite(pixels.stretch(out, list(bands)), ["row", "col"], list(bands))
 
 
@@ -78,10 +84,9 @@ def feature_stack(optical: DataFrame, radar: DataFrame | None = None, ndvi_dates
     """Bands, indices, texture of the vegetation index, radar and temporal features by pixel, with
     no value missing or infinite."""
     index = B.spectral_indices(**{b: F.col(b) for b in OPTICAL})
-    rows = optical.select("row", "col", *OPTICAL, *[v.alias(n) for n, v in index.items()])
-    for name, kernel in grids.TEXTURE.items():
-        t = filter_band(rows.select("row", "col", F.coalesce("ndvi", F.lit(0.0)).alias("v")), (), "v", kernel).withColumnRenamed("v", f"texture_{name}")
-        rows = rows.join(t, ["row", "col"])
+    rows = reliable(optical.select("row", "col", *OPTICAL, *[v.alias(n) for n, v in index.items()]))
+    texture = {f"texture_{n}": k for n, k in grids.TEXTURE.items()}
+    rows = rows.join(filter_bands(rows.select("row", "col", F.coalesce("ndvi", F.lit(0.0)).alias("v")), (), "v", texture), ["row", "col"])
     if radar is not None:
         rows = rows.join(radar.select("row", "col", "vv", "vh", *[v.alias(f"sar_{n}") for n, v in B.radar_features(F.col("vv"), F.col("vh")).items()]), ["row", "col"], "left")
     if ndvi_dates is not None:

@@ -132,6 +132,12 @@ def test_focal_chunks_equal_the_whole(spark):
                 assert math.isclose(m[i - r.row0, j - r.col0], want[i, j], abs_tol=1e-12)
 
 
+def test_chunks_with_holes(spark):
+    px = spark.createDataFrame([(0, 0, 1.0), (0, 2, 2.0), (2, 1, 3.0)], "row int, col int, v double")
+    r = grids.map_chunks(grids.chunks_of(px, 4, 1), {"same": lambda x: x}).head()
+    assert r.same == [1.0, None, 2.0, None, None, None, None, 3.0, None]
+
+
 def test_edges_and_morphology():
     x = np.zeros((12, 12))
     x[:, 6:] = 255
