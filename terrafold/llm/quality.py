@@ -190,7 +190,7 @@ def fit_scorer(ids: list[np.ndarray], target: np.ndarray, rounds: int = 150, rid
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        step = 0.1 * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
+        step = 0.1 * (1 - (t - 1) / rounds) * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v) + 1e-8)
         bias -= step * mb / (vb**0.5 + 1e-8)
     weights[used] = w
@@ -229,6 +229,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     voted = stored(voted.withColumn("code", F.col("code") + 3**m * F.col("gold")), "votes")
 
     found = voted.groupBy("code").agg(F.count("*").alias("n")).collect()  # at most 3 ** 8 patterns
+    found = sorted(found, key=lambda r: r["code"])  # so that sums, and the fit after them, agree in every run
     codes = np.array([r["code"] for r in found], np.int64)
     patterns = codes[:, None] // 3 ** np.arange(m + 1) % 3
     post, table, kinds = expectation_maximisation(patterns, np.array([r["n"] for r in found], float))
