@@ -17,6 +17,8 @@ from terrafold.llm.pii import sanitise
 from terrafold.llm.quality import classify
 from terrafold.llm.shared import short_batches, stored, table
 
+#: Ids that may go to every worker, some 30 MB.
+BROADCAST_IDS = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -33,7 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = stored(similar_classes(docs.select(F.col("doc_id").alias("id"), "text"), width=5, similarity=80), "classes")
     named = classes.where("id is not null").groupBy(F.col("id").alias("doc_id"))
     named = stored(named.agg(F.max(F.col("id") != F.col("component_id")).alias("gone"), F.count("*").alias("times")), "named")
-    kept = docs.join(named.where("gone").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = named.where("gone").select("doc_id")
+    if gone.count() <= BROADCAST_IDS:  # then the texts need not move; beyond it Spark merges by doc_id
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     repeated = named.where("not gone and times > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
