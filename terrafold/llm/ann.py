@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from .shared import grouped, stored
 
 SAMPLE = 16_384
-LIST = 128
+LIST = 256
 REPLICAS = 4
 CLOSURE = 0.2
-RATIO = 0.35
-PROBES = 96
-BEAM = 128
+RATIO = 0.5
+PROBES = 160
+BEAM = 192
 BLOCK = 2048
 DEGREE = 24
 
