@@ -167,7 +167,7 @@ _EDGES = (
 )
 
 
-def fit_scorer(ids: list[np.ndarray], target: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> np.ndarray:
+def fit_scorer(ids: list[np.ndarray], target: np.ndarray, rounds: int = 150, ridge: float = 2.0) -> np.ndarray:
     """Logistic weights over hashed features, the intercept last; features of fewer than
     LEAST_ROWS rows keep weight 0."""
     n = len(ids)
