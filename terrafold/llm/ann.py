@@ -4,8 +4,8 @@ A bounded sample is split in halves again and again (two means, cut at the media
 centroids of equally full cells. Every vector goes to the list of its nearest centroid and, near
 a boundary, to further lists: those at most (1 + CLOSURE) times as far whose centroid is not
 closer to a list already chosen. Nearest centroids are found by beam search in a neighbour graph
-over the centroids, which is small and goes to every worker. A query reads the lists within
-(1 + RATIO) times the distance of its nearest centroid. Lists longer than BLOCK are cut into
+over the centroids, which is small and goes to every worker. A query is compared with every
+centroid and reads all lists within (1 + RATIO) times the distance of the nearest. Lists longer than BLOCK are cut into
 blocks, so no list is one task's burden.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +24,8 @@ LIST = 256
 REPLICAS = 4
 CLOSURE = 0.2
 RATIO = 0.5
-PROBES = 160
-BEAM = 192
 BLOCK = 2048
+HELD = 1 << 20
 DEGREE = 24
 
 
@@ -129,9 +129,29 @@ class CentroidGraph:
         return out
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that a query reads."""
-        ids, d = self.search(x, BEAM)
-        return [i[: PROBES][r[: PROBES] <= (1 + RATIO) * r[0]] for i, r in zip(ids, d)]
+        """The lists that a query reads: all that the ratio admits, however many."""
+        d = np.sqrt(np.maximum(self.norm[None] + (x**2).sum(1)[:, None] - 2 * x @ self.c.T, 0))
+        return [np.flatnonzero(r <= (1 + RATIO) * r.min()) for r in d]
+
+
+def best_of(found: pa.Table, most: int) -> pa.Table:
+    """The most rows of least (score, lead) of each key of found(key, lead, ids, score); a pair of
+    key and lead counts once."""
+
+    def starts(*names):
+        new = np.ones(found.num_rows, bool)
+        same = np.ones(max(found.num_rows - 1, 0), bool)
+        for name in names:
+            c = found[name].combine_chunks()
+            same &= pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        new[1:] = ~same
+        return new
+
+    found = found.sort_by([("key", "ascending"), ("lead", "ascending")])
+    found = found.filter(pa.array(starts("key", "lead")))
+    found = found.sort_by([("key", "ascending"), ("score", "ascending"), ("lead", "ascending")])
+    at = np.arange(found.num_rows)
+    return found.filter(pa.array(at - np.maximum.accumulate(np.where(starts("key"), at, 0)) < most))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -176,11 +196,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     x = _matrix(sample.column("v").combine_chunks())
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, min(cells, len(x)))))
 
-    def deal(pick):
+    def deal(pick, step=512):
         def run(batches):
             for batch in batches:
-                for a in range(0, batch.num_rows, 512):
-                    part = batch.slice(a, 512)
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
                     lists = pick(graph.value)(_matrix(part.column(0)))
                     index = np.repeat(np.arange(part.num_rows), [len(i) for i in lists])
                     cols = [pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(pa.array(index)) for c in part.columns]]
@@ -192,13 +212,26 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = stored(blocks, "blocks")
     members = posted.join(blocks, "list").withColumn("blk", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
-    probing = points.select("v", "key").mapInArrow(deal(lambda g: g.probes), f"list int, v {kind}, key {id_kind}")
+    probing = points.select("v", "key").mapInArrow(deal(lambda g: g.probes, 32), f"list int, v {kind}, key {id_kind}")
     probing = probing.join(blocks, "list").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     no_key, no_ids = F.lit(None).cast(id_kind), F.lit(None).cast(f"array<{id_kind}>")
     both = members.select("list", "blk", no_key.alias("key"), "v", "ids").union(probing.select("list", "blk", "key", "v", no_ids.alias("ids")))
     both = both.repartition("list", "blk").sortWithinPartitions("list", "blk", "key")
 
     def nearest(batches):
+        held: list[pa.RecordBatch] = []
+        for found in pairs_of(batches):
+            held.append(found)
+            if sum(h.num_rows for h in held) > HELD:
+                kept = best_of(pa.Table.from_batches(held), k + 1)
+                held = kept.to_batches()
+                if kept.num_rows > HELD // 2:
+                    yield from held
+                    held = []
+        if held:
+            yield from best_of(pa.Table.from_batches(held), k + 1).to_batches()
+
+    def pairs_of(batches):
         for group in grouped(batches, ["list", "blk"]):
             is_query = group.column("ids").combine_chunks().is_null().to_numpy(zero_copy_only=False)
             vectors = _matrix(group.column("v").combine_chunks())

@@ -125,6 +125,28 @@ def test_centroids_are_balanced():
     assert (np.diff(d, axis=1) >= 0).all() and np.allclose(d[:, 0], np.sqrt(((x[:50, None] - c[None]) ** 2).sum(2)).min(1))
 
 
+@pytest.mark.parametrize("lists", [40, 400, 2000])
+def test_recall_holds_as_lists_grow(lists):
+    x = np.random.default_rng(4).normal(size=(50 * lists, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = ann.CentroidGraph(ann.balanced_centroids(x[: 8 * lists], lists))
+    q = x[-40:]
+    d = 1 - q @ x.T
+    d[np.arange(40), np.arange(-40, 0)] = np.inf
+    best = np.argpartition(d, 10, axis=1)[:, :10]
+    posted, read = g.assign(x[best.ravel()]), np.repeat(np.arange(40), 10)
+    probes = [set(p.tolist()) for p in g.probes(q)]
+    assert sum(bool(probes[i] & set(p.tolist())) for i, p in zip(read, posted)) >= 0.99 * len(read)
+
+
+def test_best_of_merges_exactly():
+    rows = [(1, 5, [5], 0.5), (1, 5, [5], 0.5), (1, 2, [2], 0.5), (1, 9, [9], 0.1), (2, 7, [7], 3.0), (1, 8, [8], 0.9)]
+    found = pa.table(dict(zip(("key", "lead", "ids", "score"), map(list, zip(*rows)))))
+    got = ann.best_of(found, 3)
+    assert list(zip(got["key"].to_pylist(), got["lead"].to_pylist())) == [(1, 9), (1, 2), (1, 5), (2, 7)]
+    assert ann.best_of(found.slice(0, 0), 3).num_rows == 0
+
+
 # --- 3 language model
 
 
