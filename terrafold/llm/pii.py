@@ -5,12 +5,15 @@ that is found is a protected entity. Over the whole corpus, the terms in a windo
 entity's mentions are counted with it; with N tokens in all, n(t) of term t and n(t, e) of t
 within the windows of e, which hold n(e) tokens, a mention of t discloses
 
-    pmi(t, e) = log2( n(t, e) * N / (n(t) * n(e)) )   bits about e, at most
-    ic(e)     = log2( N / n(e) ).
+    pmi(t, e) = log2( n(t, e) * N / (n(t) * n(e)) ) - D / n(t, e)   bits about e, at most
+    ic(e)     = log2( N / n(e) ),
+
+where D = `doubt` bits, shared by the times that a pair was seen, stand for what chance may have put
+together: an entity mentioned once is judged too, but only by terms that are rare in the corpus. All
+counts are over all rows, repeated texts included.
 
 A term within the window of e whose pmi / ic is at least `remove` is removed; from
-`generalise` on it is generalised to its kind of word. Pairs seen fewer than `support` times
-tell nothing reliable and are left alone.
+`generalise` on it is generalised to its kind of word.
 """
 
 from __future__ import annotations
@@ -135,7 +138,7 @@ def _term(word: str) -> str:
 
 def _near_terms(docs: DataFrame, window: int) -> DataFrame:
     """(key, entity, term, n) of docs(text, key): how often a term stands in the windows of an
-    entity in a text; the empty term counts the windows' words. Equal texts count once."""
+    entity in all rows of a text; the empty term counts the windows' words."""
 
     def run(batches):
         for batch in pieces(batches):
@@ -152,7 +155,7 @@ def _near_terms(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(e, pa.int64()), pa.array(t, pa.string()), pa.array(n, pa.int64())], ["key", "entity", "term", "n"])
 
     found = docs.select("text", "key").mapInArrow(run, "key bigint, entity bigint, term string, n bigint")
-    return found.groupBy("key", "entity", "term").agg(F.first("n").alias("n"))
+    return found.groupBy("key", "entity", "term").agg(F.sum("n").alias("n"))
 
 
 _ENDS = ("", ".", ",", ";", ":", "!", "?")
@@ -217,12 +220,12 @@ def _clean(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out)
 
 
-def sanitise(docs: DataFrame, window: int = 6, support: int = 3, generalise: float = 0.5, remove: float = 0.8) -> DataFrame:
+def sanitise(docs: DataFrame, window: int = 6, doubt: float = 7.0, generalise: float = 0.5, remove: float = 0.8) -> DataFrame:
     """docs plus spans (array of kind, start, end, by kind, then start) and clean (the sanitised text).
 
     Kinds are email, ip, card, phone, generalise and remove; positions are code points, ends
     exclusive. Null text: no spans, clean is null. Empty text: no spans. Repeated rows and equal
-    texts get equal results and count once in the statistics. Other columns pass through, but for
+    texts get equal results; each row counts in the statistics. Other columns pass through, but for
     ones named spans or clean, which are replaced. An empty table gives an empty table.
     Texts without a digit or @ hold no base span and never leave the JVM.
     """
@@ -237,14 +240,14 @@ def sanitise(docs: DataFrame, window: int = 6, support: int = 3, generalise: flo
     near = stored(_near_terms(some.select("text", key.alias("key")), window), "near")
     pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("n"))
     sizes = pairs.where("term = ''").select("entity", F.col("n").alias("n_e"))
-    likely = stored(pairs.where(f"term <> '' and n >= {int(support)}"), "pairs")
+    likely = stored(pairs.where("term <> ''"), "pairs")
     counts = stored(term_counts(docs, likely.select("term").distinct()), "terms")
     total = counts.where("term = ''").head()
     n_all = F.lit(float(total["n"] if total else 1))
     told = (
         likely.join(sizes, "entity")
         .join(counts.withColumnRenamed("n", "n_t"), "term")
-        .withColumn("pmi", F.log2(F.col("n") * n_all / (F.greatest("n_t", "n") * F.col("n_e"))))
+        .withColumn("pmi", F.log2(F.col("n") * n_all / (F.greatest("n_t", "n") * F.col("n_e"))) - F.lit(float(doubt)) / F.col("n"))
         .withColumn("ic", F.log2(n_all / F.col("n_e")))
         .where(f"ic > 0 and pmi >= {float(generalise)} * ic")
         .select("entity", "term", (F.col("pmi") >= F.lit(float(remove)) * F.col("ic")).alias("gone"))

@@ -499,6 +499,16 @@ def test_disclosing_terms_go(spark):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mentions", [1, 2, 500])
+def test_entities_named_once_or_in_copies_are_judged(spark, mentions):
+    common = ["we all like plain words about the weather on day " * 40] * 3000
+    told = ["we all like Zorblax who is ann.q@example.com about the weather"] * mentions
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(told + common)], "doc_id long, text string")
+    rows = [r for r in pii.sanitise(df).collect() if r.doc_id < mentions]
+    assert len(rows) == mentions and len({r.clean for r in rows}) == 1
+    assert "Zorblax" not in rows[0].clean and "weather" in rows[0].clean
+
+
 # --- queries and the pipeline
 
 
