@@ -158,7 +158,6 @@ def _near_terms(docs: DataFrame, window: int) -> DataFrame:
     return found.groupBy("key", "entity", "term").agg(F.sum("n").alias("n"))
 
 
-_ENDS = ("", ".", ",", ";", ":", "!", "?")
 _ALL = -(1 << 63)
 
 
@@ -166,14 +165,14 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n) over all words of all docs for the given distinct terms; the empty term has
     the number of all words.
 
-    Words are counted under their hash before the shuffle; the spellings of the wanted terms,
-    with each closing punctuation mark, are looked up in these counts.
+    Words are counted before the shuffle under the hash of their stripped, folded form, which is
+    what a term is.
     """
 
     def count(batches):
         held, size = [], 0
         for batch in pieces(batches):
-            h, _ = words(batch.column(0))
+            h, _ = words(batch.column(0), trim=_TRIM.encode())
             held.append(h)
             size += len(h)
             if size > 1 << 22:
@@ -188,14 +187,13 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def spell(batches):
         for batch in batches:
-            terms = batch.column(0).to_pylist()
-            h, _ = words(pa.array([t + e for t in terms for e in _ENDS], pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([t for t in terms for _ in _ENDS], pa.string()), pa.array(h.view(np.int64))], ["term", "h"])
+            h, _ = words(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64))], ["term", "h"])
 
     counts = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     wanted = terms.select("term").mapInArrow(spell, "term string, h bigint")
     wanted = wanted.union(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(_ALL).alias("h")))
-    return counts.join(wanted, "h").groupBy("term").agg(F.sum("n").alias("n"))
+    return wanted.join(counts, "h", "left").select("term", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 _LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
@@ -243,7 +241,7 @@ def sanitise(docs: DataFrame, window: int = 6, doubt: float = 7.0, generalise: f
     likely = stored(pairs.where("term <> ''"), "pairs")
     counts = stored(term_counts(docs, likely.select("term").distinct()), "terms")
     total = counts.where("term = ''").head()
-    n_all = F.lit(float(total["n"] if total else 1))
+    n_all = F.lit(float(max(total["n"], 1)))
     told = (
         likely.join(sizes, "entity")
         .join(counts.withColumnRenamed("n", "n_t"), "term")

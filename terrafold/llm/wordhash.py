@@ -62,14 +62,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each row). fold: A-Z count as a-z."""
+def words(column: pa.Array, fold: bool = True, trim: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each row). fold: A-Z count as a-z; trim: ASCII bytes
+    that do not count at either end of a word."""
     raw, off = buffers(column)
     total = len(raw)
     starts_doc = np.zeros(total + 1, bool)
     starts_doc[off[:-1]] = True
     hashes, begins = [], []
     table = _FOLDED if fold else _EXACT
+    kept = np.ones(256, bool)
+    kept[list(trim)] = False
     at = 0
     while at < total:
         end = min(total, at + SEGMENT)
@@ -94,11 +97,18 @@ def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
         after[:-1] = ~word[1:] | starts_doc[at + 1 : end]
         s = np.flatnonzero(first)
         e = np.flatnonzero(word & after) + 1
+        begin = s
+        if trim:
+            place = np.arange(len(part))
+            inner = kept[part]
+            following = np.minimum.accumulate(np.where(inner, place, len(part))[::-1])[::-1]
+            s = np.minimum(following[s], e)
+            e = np.maximum(np.maximum.accumulate(np.where(inner, place, -1))[e - 1] + 1, s)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(table[part] * _power(_BASE, len(part)), out=sums[1:])
         h = (sums[e] - sums[s]) * _power(_INVERSE, len(part) + 1)[s]
         hashes.append(mix(h + (e - s).astype(np.uint64)))
-        begins.append(s + at)
+        begins.append(begin + at)
         at = end
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)

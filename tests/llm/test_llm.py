@@ -481,6 +481,14 @@ def test_base_spans_are_the_patterns():
     pii.base_spans("1" * 300_000 + "@" + "a" * 300_000)  # linear in long runs
 
 
+def test_terms_count_in_every_spelling(spark):
+    texts = ["(jdoe) \"jane\" plain", "[(JDoe)],.. 'jane'?! plain.", "...  jdoe é(é)é {plain}", None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = spark.createDataFrame([("jdoe",), ("jane",), ("plain",), ("é(é)é",), ("absent",)], "term string")
+    got = {r.term: r.n for r in pii.term_counts(docs, terms).collect()}
+    assert got == {"jdoe": 3, "jane": 2, "plain": 3, "é(é)é": 1, "absent": 0, "": 10}
+
+
 def test_disclosing_terms_go(spark):
     filler = [f"Word{i} plain{i % 7} text{i % 11} more." for i in range(400)]
     told = [f"note{i % 5} Zorblax writes from ann.q@example.com today{i % 3}" for i in range(12)]
