@@ -152,4 +152,4 @@ def assign_tracks(epochs: list[DataFrame], most: float = 150.0, least_iou: float
         out = seen if out is None else out.union(seen)
         latest = now.drop("site_id")
         live = latest if live is None else reliable(latest.unionByName(live.join(latest.select("track_no"), "track_no", "left_anti")))
-    return out.select(F.concat(F.lit("TRACK_"), F.lpad(F.col("track_no").cast("string"), 4, "0")).alias("track_id"), "epoch", "site_id")
+    return out.select(F.format_string("TRACK_%04d", "track_no").alias("track_id"), "epoch", "site_id")

@@ -100,6 +100,13 @@ def test_match_ties_go_to_the_first(spark):
     assert {(r.n, r.o) for r in spatial.greedy_match(c, ["g"], "n", "o", "s").collect()} == {(1, 7), (2, 8)}
 
 
+def test_track_numbers_beyond_four_digits_stay_apart(spark):
+    x = F.col("id") * 1000.0
+    sites = spark.range(10_020).select(F.col("id").alias("site_id"), x.alias("cx"), x.alias("cy"), x.alias("x1"), x.alias("y1"), (x + 1).alias("x2"), (x + 1).alias("y2"))
+    ids = {r.track_id for r in tracks.assign_tracks([sites]).collect()}
+    assert len(ids) == 10_020 and {"TRACK_0001", "TRACK_10020"} <= ids
+
+
 def test_tracks_follow_drift(spark):
     def epoch(*rows):
         return spark.createDataFrame([(i, x, y, x - 5, y - 5, x + 5, y + 5) for i, x, y in rows], "site_id long, cx double, cy double, x1 double, y1 double, x2 double, y2 double")
