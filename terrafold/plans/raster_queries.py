@@ -214,7 +214,7 @@ label AS (SELECT vec_id, b AS k, min(a) AS label FROM reach GROUP BY ALL)"""
 @query("components_rank", f"""WITH RECURSIVE {A.PIXELS_SQL}, {_FLOOD},
 reg AS (SELECT vec_id, label, count(*) AS pixel_count, count(*) * 100 AS area_m2, avg(v * 2) AS confidence FROM label JOIN set_px USING (vec_id, k) GROUP BY ALL HAVING count(*) * 100 >= 200),
 sc AS (SELECT *, ln(1 + area_m2) AS la, min(ln(1 + area_m2)) OVER (PARTITION BY vec_id) AS lo, max(ln(1 + area_m2)) OVER (PARTITION BY vec_id) AS hi FROM reg),
-p AS (SELECT *, round(0.3 * (CASE WHEN hi = lo THEN 1 ELSE (la - lo) / (hi - lo + 1e-8) END) + 0.25 / (1 + exp(1)) + 0.2 * confidence + 0.15 * (CASE WHEN confidence >= 0.6 THEN 0.7 ELSE 0.5 END) + 0.1 * 0.5, 6) AS priority_score FROM sc)
+p AS (SELECT *, round(0.3 * (CASE WHEN hi = lo THEN 1 ELSE (la - lo) / (hi - lo + 1e-8) END) + 0.25 / (1 + exp(1)) + 0.2 * 0.5 + 0.15 * confidence + 0.1 * (CASE WHEN confidence >= 0.6 THEN 0.7 ELSE 0.5 END), 6) AS priority_score FROM sc)
 SELECT vec_id, label, pixel_count, round(area_m2 / 10000, 4) AS area_ha, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.7 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier,
   priority_score, row_number() OVER (PARTITION BY vec_id ORDER BY priority_score DESC, label)::INTEGER AS priority_rank FROM p""")
 def components_rank(spark, sf_dir):

@@ -92,8 +92,10 @@ def fused_confidence_activity(spark, sf_dir):
 
 
 def _priority_sql(source: str, equipment: str, confidence: str, activity: str) -> str:
+    """Weights as the default configuration names them: area 0.30, equipment 0.25, water proximity
+    0.20, confidence 0.15, activity 0.10."""
     return f"""sc AS (SELECT *, min(ln(1 + area_m2)) OVER (PARTITION BY date) AS lo, max(ln(1 + area_m2)) OVER (PARTITION BY date) AS hi FROM {source}),
-p AS (SELECT *, round(0.3 * (CASE WHEN hi = lo THEN 1 ELSE (ln(1 + area_m2) - lo) / (hi - lo + 1e-8) END) + 0.25 / (1 + exp(-({equipment} - 1))) + 0.2 * {confidence} + 0.15 * ({activity}) + 0.1 * water_proximity, 6) AS priority_score FROM sc)
+p AS (SELECT *, round(0.3 * (CASE WHEN hi = lo THEN 1 ELSE (ln(1 + area_m2) - lo) / (hi - lo + 1e-8) END) + 0.25 / (1 + exp(-({equipment} - 1))) + 0.2 * water_proximity + 0.15 * {confidence} + 0.1 * ({activity}), 6) AS priority_score FROM sc)
 SELECT site, date, priority_score, row_number() OVER (PARTITION BY date ORDER BY priority_score DESC, site)::INTEGER AS priority_rank FROM p"""
 
 

@@ -169,24 +169,63 @@ def probability_maps(spark: SparkSession, path: str, threshold: float | None = N
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run reads from its YAML file; keys that nothing reads are not carried."""
+    """What a run reads from its YAML file, one attribute a value that an operator takes."""
 
     paths: dict = field(default_factory=dict)
     tile_size: int = 512
     overlap: float = 0.2
     thresholds: dict = field(default_factory=lambda: {"low": 0.3, "medium": 0.5, "high": 0.7})
+    least_area_m2: float = 50.0
+    weights: dict = field(default_factory=dict)
+    satellite_weight: float = 0.6
+    uav_weight: float = 0.4
+    ransac_rounds: int = 1000
     distance_threshold_m: float = 150.0
     iou_threshold: float = 0.1
+    folds: int = 5
     block_m: float = 2000.0
+    map_center: tuple = (0.0, 0.0)
+    zoom: int = 10
+
+
+#: Where the values of Settings stand in a settings file: section and key, or the key at the top.
+_SECTIONS = {
+    "paths": ("paths",),
+    "tile_size": ("tiling", "satellite_tile_size"),
+    "overlap": ("tiling", "overlap"),
+    "thresholds": ("inference", "thresholds"),
+    "least_area_m2": ("inference", "min_polygon_area_m2"),
+    "weights": ("prioritization", "weights"),
+    "satellite_weight": ("fusion", "satellite_weight"),
+    "uav_weight": ("fusion", "uav_weight"),
+    "ransac_rounds": ("fusion", "ransac_max_iter"),
+    "distance_threshold_m": ("change_detection", "distance_threshold_m"),
+    "iou_threshold": ("change_detection", "iou_threshold"),
+    "folds": ("validation", "spatial_cv_folds"),
+    "block_m": ("validation", "block_m"),
+    "map_center": ("dashboard", "map_center"),
+    "zoom": ("dashboard", "default_zoom"),
+}
 
 
 def load_settings(path: str) -> Settings:
+    """The settings of a YAML file, from its sections or from keys of the same name at the top;
+    what the file does not say keeps its default. A validation buffer in km gives block_m."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
         raw = yaml.safe_load(f) or {}
-    known = {k: v for k, v in raw.items() if k in Settings.__dataclass_fields__}
-    return Settings(**known)
+    found = {k: v for k, v in raw.items() if k in Settings.__dataclass_fields__}
+    for name, (section, *key) in _SECTIONS.items():
+        value = raw.get(section)
+        if key:
+            value = value.get(key[0]) if isinstance(value, dict) else None
+        if value is not None:
+            found[name] = value
+    buffer_km = (raw.get("validation") or {}).get("spatial_cv_buffer_km")
+    if buffer_km is not None and "block_m" not in found:
+        found["block_m"] = 1000.0 * buffer_km
+    return Settings(**found)
 
 
 def catalog(spark: SparkSession, tables: dict[str, tuple[str | None, str]]) -> dict[str, DataFrame]:

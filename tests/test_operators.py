@@ -289,3 +289,24 @@ def test_percentiles_by_brackets(spark):
     assert got["z"] == [None, None, None]
     one = spark.createDataFrame([(3.0,)], "x double")
     assert pixels.exact_percentiles(one, ["x"], (0.02, 0.98)) == {"x": [3.0, 3.0]}
+
+
+def test_priority_by_hand(spark):
+    """Weights 0.30 area, 0.25 equipment, 0.20 water, 0.15 confidence, 0.10 activity."""
+    rows = [("a", "d", 100.0, 1, 0.8, "ACTIVE", 1.0), ("b", "d", 300.0, 3, 0.4, "INACTIVE", None), ("c", "d", 100.0, 1, 0.8, "ACTIVE", 0.0)]
+    df = spark.createDataFrame(rows, "site string, date string, area_m2 double, equipment_count int, confidence double, activity string, water_proximity double")
+    got = {r.site: r for r in scoring.priority(df, "date", "site").collect()}
+    assert got["a"].priority_score == pytest.approx(0.25 / 2 + 0.20 * 1.0 + 0.15 * 0.8 + 0.10 * 1.0, abs=1e-6)
+    assert got["b"].priority_score == pytest.approx(0.30 + 0.25 / (1 + math.exp(-2)) + 0.20 * 0.5 + 0.15 * 0.4 + 0.10 * 0.2, abs=1e-6)
+    assert [got[s].priority_rank for s in "abc"] == [2, 1, 3]
+    water = {r.site: r.priority_score for r in scoring.priority(df, "date", "site", weights={"water_proximity": 0.5}).collect()}
+    assert water["a"] - got["a"].priority_score == pytest.approx(0.3, abs=1e-6)
+    with pytest.raises(ValueError):
+        scoring.priority(df, "date", "site", weights={"water": 1.0})
+
+
+def test_settings_read_their_sections(tmp_path):
+    path = tmp_path / "s.yaml"
+    path.write_text("prioritization: {weights: {area: 0.5}}\nfusion: {ransac_max_iter: 7}\nvalidation: {spatial_cv_folds: 3, spatial_cv_buffer_km: 1.5}\ninference: {thresholds: {low: 0.1}}\n")
+    s = files.load_settings(str(path))
+    assert (s.weights, s.ransac_rounds, s.folds, s.block_m, s.thresholds) == ({"area": 0.5}, 7, 3, 1500.0, {"low": 0.1})
