@@ -1,11 +1,13 @@
 """Quality classifier: a weak-label model whose posteriors train a hashed linear scorer.
 
 Heuristic labellers vote bad (1) or abstain (0) on every text; hand labels, where a document
-has them, are one more labeller, which also votes good (2). Expectation-maximisation over the counts of vote
-patterns estimates each labeller's accuracy in either class, and the share of good texts,
-without trusting any one of them. The posterior of each pattern is the soft label of its texts.
-On a sample of at most SAMPLE rows, those with hand labels first, these train a logistic scorer
-over hashed words and binned text statistics; it then scores every text.
+has them, are one more labeller, which also votes good (2). One of the labellers knows no list of
+words: its terms, and what each weighs, come from the hand labels by association, whatever the
+language. Expectation-maximisation over the counts of vote patterns estimates each labeller's
+accuracy in either class, and the share of good texts, without trusting any one of them. The
+posterior of each pattern is the soft label of its texts. On a sample of at most SAMPLE rows,
+those with hand labels first, these train a logistic scorer over hashed words and binned text
+statistics; it then scores every text.
 """
 
 from __future__ import annotations
@@ -25,8 +27,20 @@ LEAST_ROWS = 3
 BIN_COPIES = 4
 #: Weight of what is held of the labellers beforehand, and accuracy of hand labels.
 PRIOR, TRUST = 0.05, 0.98
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-LABELLERS = ("symbols", "capitals", "repeats", "variety", "stops", "insults", "length", "labels")
+#: Labelled documents whose words are counted, and the most terms that the counts may give.
+LABELLED = 200_000
+LEXICON = 8192
+#: A term of bad texts stands in so many of them at least, and so many times as often as in others.
+TERM_ROWS, TERM_LIFT = 4, 10.0
+#: Marks that do not count at either end of a word.
+TRIM = b".,;:!?\"'()[]{}"
+#: How many terms may be there by chance.
+TERM_CHANCE = 50
+#: What the terms of a text weigh to make a vote: EVIDENCE at least, and what errs least on the
+#: labelled documents that no term was learned from (one in HELD), where a good document that the
+#: vote is against counts as much as WRONG bad ones that it misses.
+EVIDENCE, MOST_EVIDENCE, HELD, WRONG = 4.5, 64.0, 5, 2.0
+LABELLERS = ("symbols", "capitals", "repeats", "variety", "stops", "terms", "length", "labels")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*|<>{}[]=~^_\\@")] = True
@@ -40,17 +54,31 @@ _SHOUT = np.zeros(256, bool)
 _SHOUT[33] = True
 
 
-def _insult_hashes() -> np.ndarray:
-    h, _ = words(pa.array([w + e for w in INSULTS for e in ("", ".", ",", "!", "?", ";", ":", ".!!", ",!!", "!!")]))
-    return np.sort(h)
+class Lexicon:
+    """Terms of bad texts as sorted hashes, with the logarithm of each one's lift; enough is what
+    their sum must reach to make a vote."""
 
+    def __init__(self, hashes=(), lifts=(), enough: float = EVIDENCE):
+        order = np.argsort(np.array(hashes, np.uint64))
+        self.hashes = np.array(hashes, np.uint64)[order]
+        self.lifts = np.array(lifts, float)[order]
+        self.enough = enough
 
-def statistics(column: pa.Array):
+    def weights(self, h: np.ndarray) -> np.ndarray:
+        """The weight of each hash; 0 for words that are no terms."""
+        if not len(self.hashes):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.lifts[at], 0.0)
+
+
+def statistics(column: pa.Array, lexicon: Lexicon):
     """Per row: the matrix of statistics, and the hash of each word with the rows' word counts.
     Statistics: symbols a byte, capitals a letter, shouts a word, words equal to the one before,
-    distinct words a word, sentence ends a word, insults, words."""
+    distinct words a word, sentence ends a word, summed lifts of the distinct terms in parts of
+    what makes a vote, words."""
     raw, off = buffers(column)
-    h, n = words(column)
+    h, n = words(column, trim=TRIM)
     lengths = np.diff(off)
 
     def share(table):
@@ -65,8 +93,10 @@ def statistics(column: pa.Array):
         first = begins[(n > 0) & (begins > 0)]
         same[first + 1] = 0
     same = np.cumsum(same)
-    bad = np.concatenate([[0], np.cumsum(np.isin(h, _insult_hashes()))])
     distinct = [np.unique(h[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
+    sizes = np.array([len(d) for d in distinct], np.int64)
+    lifts = np.concatenate([[0.0], np.cumsum(lexicon.weights(np.concatenate(distinct)))]) if len(distinct) else np.zeros(1)
+    last = np.cumsum(sizes)
     some = np.maximum(n, 1)
     capitals, small = share(_CAPITAL), share(_SMALL)
     stats = np.stack(
@@ -75,9 +105,9 @@ def statistics(column: pa.Array):
             capitals / np.maximum(capitals + small, 1),
             share(_SHOUT) / some,
             (same[ends] - same[begins]) / some,
-            np.array([len(d) for d in distinct]) / some,
+            sizes / some,
             share(_STOP) / some,
-            bad[ends] - bad[begins],
+            (lifts[last] - lifts[last - sizes]) / lexicon.enough,
             n,
         ],
         axis=1,
@@ -87,8 +117,9 @@ def statistics(column: pa.Array):
 
 def votes(stats: np.ndarray) -> np.ndarray:
     """The heuristic labellers' votes: 1 bad, 0 none. Each knows one kind of bad text only, so
-    none votes good: many silent labellers must not outvote the one that knows."""
-    symbols, capitals, shouts, repeats, variety, stops, insults, n = stats.T
+    none votes good: many silent labellers must not outvote the one that knows. The terms' lifts
+    count in parts of what makes a vote."""
+    symbols, capitals, shouts, repeats, variety, stops, lifts, n = stats.T
     return np.stack(
         [
             symbols > 0.05,
@@ -96,13 +127,67 @@ def votes(stats: np.ndarray) -> np.ndarray:
             repeats > 0.15,
             (variety < 0.3) & (n > 20),
             (stops < 0.005) & (n > 60),
-            (insults >= 2) | (insults > 0.05 * n),
+            lifts >= 1,
             n < 1,
         ],
         axis=1,
     ).astype(np.int64)
 
 
+def least_errors(spread) -> float:
+    """The evidence from which a vote errs least, from counts of bad and good documents by quarters
+    of evidence; EVIDENCE at least, and of equal ones the smallest."""
+    steps = range(int(4 * EVIDENCE), int(4 * MOST_EVIDENCE) + 1)
+    errors = [sum(WRONG * r["good"] if r["step"] >= k else r["bad"] for r in spread) for k in steps]
+    return steps[int(np.argmin(errors))] / 4
+
+
+def learn_terms(docs: DataFrame, marked: DataFrame) -> Lexicon:
+    """The terms of docs(doc_id, text) that set marked(doc_id, bad) documents apart: the share of
+    the bad documents that have one, over that of the others, is TERM_LIFT at least, and so many
+    of the words that were counted would not do so by chance (log-likelihood ratio). marked is
+    bounded and goes to every worker; counts are combined in each task before they move."""
+
+    def count(batches):
+        held, flags = [], []
+        size = 0
+
+        def out():
+            h, inverse = np.unique(np.concatenate(held), return_inverse=True)
+            bad = np.bincount(inverse, np.concatenate(flags), len(h)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(bad), pa.array(np.bincount(inverse, minlength=len(h)) - bad)], ["h", "bad", "other"])
+
+        for batch in pieces(batches):
+            h, n = words(batch.column(0), trim=TRIM)
+            ends = np.cumsum(n)
+            for a, b, flag in zip((ends - n).tolist(), ends.tolist(), batch.column(1).to_pylist()):
+                d = np.unique(h[a:b])
+                held.append(d)
+                flags.append(np.full(len(d), float(flag)))
+                size += len(d)
+            if size > 1 << 21:
+                yield out()
+                held, flags, size = [], [], 0
+        if size:
+            yield out()
+
+    sizes = marked.agg(F.sum(F.col("bad").cast("int")), F.count("*")).head()
+    n_bad, n_all = sizes[0] or 0, sizes[1]
+    if not n_bad:
+        return Lexicon()
+    texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "bad")
+    found = texts.mapInArrow(count, "h bigint, bad bigint, other bigint").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("other").alias("other"))
+    found = stored(found, "terms")
+    tested = found.count()
+    lift = (F.col("bad") / n_bad) / ((F.col("other") + 1) / (n_all - n_bad + 2))
+    share, both = n_bad / n_all, F.col("bad") + F.col("other")
+    gain = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * p))).otherwise(0.0)
+    chance = gain("bad", share) + gain("other", max(1 - share, 1e-9))
+    found = found.where(F.col("bad") >= TERM_ROWS).withColumn("lift", lift).where((F.col("lift") >= TERM_LIFT) & (chance >= np.log(max(tested / TERM_CHANCE, 1))))
+    rows = found.orderBy(F.desc(F.log("lift") * F.col("bad")), "h").limit(LEXICON).collect()  # at most LEXICON rows
+    return Lexicon([r["h"] & ((1 << 64) - 1) for r in rows], [float(np.log(r["lift"])) for r in rows])
+
+
 def posteriors(patterns: np.ndarray, table: np.ndarray, share: np.ndarray) -> np.ndarray:
     """P(class) of each row of votes, given the labellers' vote distributions in each class."""
     logs = np.log(table)
@@ -111,7 +196,7 @@ def posteriors(patterns: np.ndarray, table: np.ndarray, share: np.ndarray) -> np
     return p / p.sum(axis=1, keepdims=True)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2000, settled: float = 1e-7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(P(good | pattern), vote distributions [labeller, class, vote], class shares) from distinct
     vote patterns.
 
@@ -120,7 +205,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     labels show, and the good class, which is the last. The start holds each labeller to know
     its own kind and seldom to be wrong on good texts, with the weight of PRIOR times the texts.
     The last labeller, the hand labels, is right TRUST of the time and is not estimated: it
-    anchors the others."""
+    anchors the others. Rounds end when no number moves by more than `settled`."""
     m = patterns.shape[1]
     k = m + 1
     total = counts.sum()
@@ -138,11 +223,14 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     for _ in range(rounds if total else 0):
         post = posteriors(patterns, table, share)
         weight = post * counts[:, None]
+        before = table.copy(), share
         share = weight.sum(axis=0) + PRIOR * total * prior
         share /= share.sum()
         for j in range(m - 1):
             got = np.stack([np.bincount(patterns[:, j], w, 3) for w in weight.T]) + PRIOR * total * prior[:, None] * start[j]
             table[j] = got / got.sum(axis=1, keepdims=True)
+        if max(np.abs(table - before[0]).max(), np.abs(share - before[1]).max()) < settled:
+            break
     return post[:, -1], table, share
 
 
@@ -162,7 +250,7 @@ _EDGES = (
     (0.02, 0.05, 0.1, 0.15, 0.3, 0.6),
     (0.1, 0.2, 0.3, 0.4, 0.5, 0.7),
     (0.01, 0.02, 0.04, 0.1, 0.3, 0.5),
-    (1, 2, 3, 5),
+    (0.4, 0.7, 1, 1.5, 3),
     (1, 5, 20, 100),
 )
 
@@ -202,7 +290,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     """docs(doc_id, text, ...) plus weak_label (posterior by the heuristic labellers alone), score and keep.
 
     labels(doc_id, quality, toxic): a document counts as labelled good if it has quality 1 and
-    toxic 0 in all its label rows; rows with null values or ids are not used. score is the linear
+    toxic 0 in all its label rows; rows with null values or ids are not used. Terms are learned
+    from at most LABELLED labelled documents, toxic ones against the others. score is the linear
     scorer's probability that the text is good, keep is score >= threshold. Null and empty texts
     are scored as texts without words. Repeated rows get equal results. Other columns pass
     through, but for ones named as the results, which are replaced. An empty table gives an
@@ -214,19 +303,41 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     kind = docs.schema["doc_id"].dataType.simpleString()
     m = len(LABELLERS) - 1
 
+    lexicon = Lexicon()
+    if labels is not None:
+        gold = labels.where("doc_id is not null and quality is not null and toxic is not null")
+        good = (F.min("quality") >= 1) & (F.max("toxic") <= 0)
+        gold = stored(gold.groupBy("doc_id").agg(F.when(good, 2).otherwise(1).cast("bigint").alias("gold"), (F.max("toxic") > 0).alias("bad")), "gold")
+        # of equal texts one counts, so that a group of copies neither makes terms nor sets the vote
+        marked = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).select("doc_id", "bad")
+        marked = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(marked), "doc_id")
+        marked = stored(marked.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("bad").alias("bad")), "marked")
+        held = F.pmod("h", F.lit(HELD)) == 0
+        lexicon = learn_terms(docs, marked.where(~held).select("doc_id", "bad"))
+    terms = spark.sparkContext.broadcast(lexicon)
+
+    place = LABELLERS.index("terms")
+
     def vote(batches):
         for batch in pieces(batches, 1):
-            v = votes(statistics(batch.column(1))[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v @ 3 ** np.arange(m))], ["doc_id", "code"])
+            stats = statistics(batch.column(1), terms.value)[0]
+            v = votes(stats)
+            v[:, place] = 0  # what makes a vote is known once all texts are weighed
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v @ 3 ** np.arange(m)), pa.array(stats[:, -2] * terms.value.enough)], ["doc_id", "code", "lifts"])
 
-    voted = docs.select("doc_id", "text").mapInArrow(vote, f"doc_id {kind}, code bigint")
+    voted = docs.select("doc_id", "text").mapInArrow(vote, f"doc_id {kind}, code bigint, lifts double")
     if labels is not None:
-        gold = labels.where("doc_id is not null and quality is not null and toxic is not null")
-        gold = gold.groupBy("doc_id").agg(F.when((F.min("quality") >= 1) & (F.max("toxic") <= 0), 2).otherwise(1).cast("bigint").alias("gold"))
-        voted = voted.join(gold, "doc_id", "left").withColumn("gold", F.coalesce("gold", F.lit(0)))
+        voted = voted.join(gold.select("doc_id", "gold"), "doc_id", "left").withColumn("gold", F.coalesce("gold", F.lit(0)))
     else:
         voted = voted.withColumn("gold", F.lit(0).cast("bigint"))
     voted = stored(voted.withColumn("code", F.col("code") + 3**m * F.col("gold")), "votes")
+    if len(lexicon.hashes):
+        steps = F.floor(F.least(F.col("lifts"), F.lit(MOST_EVIDENCE)) * 4)
+        spread = voted.select("doc_id", "lifts").join(F.broadcast(marked.where(held)), "doc_id").distinct()
+        spread = spread.groupBy(steps.alias("step")).agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+        lexicon.enough = least_errors(spread.collect())  # at most 4 * MOST_EVIDENCE + 1 rows
+    terms = spark.sparkContext.broadcast(lexicon)
+    voted = voted.withColumn("code", F.col("code") + F.when(F.col("lifts") >= lexicon.enough, 3**place).otherwise(0))
 
     found = voted.groupBy("code").agg(F.count("*").alias("n")).collect()  # at most 3 ** 8 patterns
     found = sorted(found, key=lambda r: r["code"])  # so that sums, and the fit after them, agree in every run
@@ -240,7 +351,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
 
     def featurise(batches):
         for batch in pieces(batches, 1):
-            ids = _feature_ids(*statistics(batch.column(1)))
+            ids = _feature_ids(*statistics(batch.column(1), terms.value))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([posterior[c] for c in batch.column(2).to_pylist()], pa.float64())],
                 ["doc_id", "ids", "target"],
@@ -267,7 +378,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
         place = passed.index("text")
         for batch in pieces(batches, place):
             w, accuracies, share = shared.value
-            stats, distinct = statistics(batch.column(place))
+            stats, distinct = statistics(batch.column(place), terms.value)
             ids = _feature_ids(stats, distinct)
             sizes = np.array([len(x) for x in ids])
             sums = np.concatenate([[0], np.cumsum(w[np.concatenate(ids)].astype(np.float64))]) if len(ids) else np.zeros(1)

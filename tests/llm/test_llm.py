@@ -449,6 +449,35 @@ def test_classifier_keeps_clean_texts(spark):
     assert clean.keep.mean() >= 0.98 and junk.keep.mean() <= 0.05
 
 
+def test_toxic_texts_go_in_every_language(spark):
+    """Held-out labels; no list of words is given, so what is toxic must come from the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    got = quality.classify(docs.select("doc_id", "text", "lang"), labels.where(~held)).join(labels.where(held), "doc_id").drop("text").toPandas()
+    toxic, clean = got[got.toxic == 1], got[(got.quality == 1) & (got.toxic == 0)]
+    assert toxic.keep.mean() < 0.1 and clean.keep.mean() > 0.985
+    for lang, rows in toxic.groupby("lang"):
+        if len(rows) >= 20:  # of Spanish ones there are 13, and about as many to learn from
+            assert rows.keep.mean() < 0.25, lang
+
+
+def test_terms_are_learned_from_labels(spark):
+    rng = random.Random(4)
+    common = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        ws = rng.sample(common, 30)
+        if i % 8 == 0:
+            ws += rng.sample(["grawlix", "quimp", "jarns"], 2)
+        rows.append((i, " ".join(ws) + ".", i % 8 == 0))
+    rows += [(1000 + i, "many copies (of) one bad text", True) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad boolean")
+    found = quality.learn_terms(docs.select("doc_id", "text"), docs.where("doc_id < 400").select("doc_id", "bad"))
+    want, _ = wordhash.words(pa.array(["grawlix", "quimp", "jarns"]), trim=quality.TRIM)
+    assert set(found.hashes.tolist()) == set(want.tolist()) and (found.lifts > 2).all()
+    assert found.weights(want).min() > 2 and quality.Lexicon().weights(want).max() == 0
+
+
 def test_classifier_edge_cases(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "some words here.", "x"), (3, LONG, "x"), (3, LONG, "x")], "doc_id long, text string, score string")
     lab = spark.createDataFrame([(1, None, 0), (None, 1, 0), (3, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
