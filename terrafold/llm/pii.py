@@ -10,7 +10,8 @@ within the windows of e, which hold n(e) tokens, a mention of t discloses
 
 where D = `doubt` bits, shared by the times that a pair was seen, stand for what chance may have put
 together: an entity mentioned once is judged too, but only by terms that are rare in the corpus. All
-counts are over all rows, repeated texts included.
+counts are over all rows, repeated texts included, so a repeated row is one more mention: where
+every row is repeated, no term that was found is lost, and doubt about others may fall.
 
 A term within the window of e whose pmi / ic is at least `remove` is removed; from
 `generalise` on it is generalised to its kind of word.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, stored
+from .shared import free_name, pieces, stored
 from .wordhash import words
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -223,7 +224,7 @@ def sanitise(docs: DataFrame, window: int = 6, doubt: float = 7.0, generalise: f
 
     Kinds are email, ip, card, phone, generalise and remove; positions are code points, ends
     exclusive. Null text: no spans, clean is null. Empty text: no spans. Repeated rows and equal
-    texts get equal results; each row counts in the statistics. Other columns pass through, but for
+    texts get equal results; each row counts in the statistics. Ties in pmi do not matter, as each pair is held against its thresholds alone. Other columns pass through, but for
     ones named spans or clean, which are replaced. An empty table gives an empty table.
     Texts without a digit or @ hold no base span and never leave the JVM.
     """
@@ -245,13 +246,14 @@ def sanitise(docs: DataFrame, window: int = 6, doubt: float = 7.0, generalise: f
     told = (
         likely.join(sizes, "entity")
         .join(counts.withColumnRenamed("n", "n_t"), "term")
-        .withColumn("pmi", F.log2(F.col("n") * n_all / (F.greatest("n_t", "n") * F.col("n_e"))) - F.lit(float(doubt)) / F.col("n"))
         .withColumn("ic", F.log2(n_all / F.col("n_e")))
+        .withColumn("pmi", F.log2(F.col("n") * n_all / (F.greatest("n_t", "n") * F.col("n_e"))) - F.lit(float(doubt)) / F.col("n"))
         .where(f"ic > 0 and pmi >= {float(generalise)} * ic")
         .select("entity", "term", (F.col("pmi") >= F.lit(float(remove)) * F.col("ic")).alias("gone"))
     )
     per_text = near.select("key", "entity", "term").join(told, ["entity", "term"]).groupBy("key").agg(F.collect_list(F.struct("entity", "term", "gone")).alias("told"))
-    tagged = some.withColumn("__key", key).join(per_text.withColumnRenamed("key", "__key").withColumnRenamed("told", "__told"), "__key", "left").drop("__key")
+    at, said = free_name(passed, "key"), free_name(passed, "told")
+    tagged = some.withColumn(at, key).join(per_text.withColumnsRenamed({"key": at, "told": said}), at, "left")
 
     def run(batches):
         for batch in pieces(batches, passed.index("text")):
@@ -273,4 +275,4 @@ def sanitise(docs: DataFrame, window: int = 6, doubt: float = 7.0, generalise: f
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(spans, kind), pa.array(clean, pa.string())], [*passed, "spans", "clean"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", spans {span}, clean string"
-    return plain.unionByName(tagged.select(*[f"`{c}`" for c in passed], "__told").mapInArrow(run, schema))
+    return plain.unionByName(tagged.select(*[f"`{c}`" for c in passed], said).mapInArrow(run, schema))

@@ -582,6 +582,131 @@ def test_op10_and_op5_digests(spark, both_encoders):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def brute_sanitised(rows, window=6, doubt=7.0, generalise=0.5, remove=0.8):
+    """Base and added spans of each text, by counting over plain lists."""
+    fold = lambda w: w.translate(FOLD).strip(".,;:!?\"'()[]{}")
+    n_t, n_te, n_e, windows = {}, {}, {}, {}
+    total = 0
+    for text in rows:
+        for w in WORD.findall(text):
+            total += 1
+            n_t[fold(w)] = n_t.get(fold(w), 0) + 1
+    for text in rows:
+        base = brute_spans(text)
+        free = [m.span() for m in WORD.finditer(text) if all(m.end() <= a or m.start() >= b for _, a, b in base)]
+        for k, a, b in base:
+            v = text[a:b]
+            e = (k, v.lower() if k == "email" else re.sub(r"[^0-9.]" if k == "ip" else "[^0-9]", "", v))
+            near = [s for s in free if s[1] < a][-window:] + [s for s in free if s[0] > b][:window]
+            windows.setdefault(text, []).append((e, near))
+            n_e[e] = n_e.get(e, 0) + len(near)
+            for x, y in near:
+                t = fold(text[x:y])
+                n_te[t, e] = n_te.get((t, e), 0) + 1
+    out = {}
+    for text in set(rows):
+        more = {}
+        for e, near in windows.get(text, []):
+            for x, y in near:
+                t = fold(text[x:y])
+                if not t:
+                    continue
+                ic = np.log2(total / n_e[e])
+                pmi = np.log2(n_te[t, e] * total / (max(n_t[t], n_te[t, e]) * n_e[e])) - doubt / n_te[t, e]
+                if ic > 0 and pmi >= generalise * ic:
+                    more[x, y] = max(more.get((x, y), 0), 1 + (pmi >= remove * ic))
+        added = sorted((k, x, y) for (x, y), k in more.items())
+        out[text] = brute_spans(text) + [(("generalise", "remove")[k - 1], x, y) for k, x, y in added]
+    return out
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_op10_spans_are_brute_force(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").collect()}
+    want = brute_sanitised(list(docs.values()))
+    got = {r.doc_id: r.spans for r in QUERIES["op10_pii"](spark, f"/root/testdata/sf{sf}").collect()}
+    assert got == {d: ",".join(f"{k}:{a}:{b}" for k, a, b in want[t]) for d, t in docs.items()}
+    assert any("generalise" in g or "remove" in g for g in got.values()) or sf == "0.001"
+
+
+def test_repeating_all_rows_loses_no_span(spark):
+    rows = [(i, f"contact zorblax at desk {i % 7} or a{i % 3}@b.org today (\"writes\") soon") for i in range(12)]
+    rows += [(100 + i, f"nothing writes here but word{i} and others of the plain kind") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda d: {r.text: r.spans for r in pii.sanitise(d).collect()}
+    once = spans(df)
+    many = spans(df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("k"))
+    places = lambda found: {(s["start"], s["end"]) for s in found}
+    assert all(places(found) <= places(many[t]) for t, found in once.items())
+    gone = [t[s["start"] : s["end"]] for t, found in many.items() for s in found if s["kind"] in ("generalise", "remove")]
+    assert "zorblax" in gone and not any("writes" in g for g in gone)
+    want = brute_sanitised([t for _, t in rows])
+    assert {t: [(s["kind"], s["start"], s["end"]) for s in v] for t, v in once.items()} == want
+
+
+def test_op4_payloads_are_the_texts(spark):
+    import zlib
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op4_media"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    by_text = {}
+    for r in got:
+        raw = docs[r.doc_id]
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_bytes > 0
+        assert by_text.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+    assert len({v[0] for v in by_text.values()}) == len(by_text)
+
+
+def test_op7_is_brute_force(spark):
+    from fractions import Fraction
+
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    sizes = {}
+    for _, s, n in docs:
+        sizes[s] = sizes.get(s, 0) + n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    goal, open_, left = {}, set(names), Fraction(sum(sizes.values()))
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total >= 3 * sizes[s]}
+        for s in over or open_:
+            goal[s] = 3 * Fraction(sizes[s]) if over else left * weight[s] / total
+        left -= sum(goal[s] for s in over)
+        open_ = open_ - over if over else set()
+    got = {r.doc_id: r for r in QUERIES["op7_mixing"](spark, sf).collect()}
+    taken = {}
+    for d, s, n in docs:
+        r = got[d]
+        assert (r["size"], r.source_size) == (n, sizes[s]) and r.target == pytest.approx(float(goal[s]), rel=1e-12) and 0 <= r.taken <= 3 * n
+        taken[s] = taken.get(s, 0) + r.taken
+    assert len(got) == len(docs) and all(abs(taken[s] - goal[s]) <= 1 for s in names)
+
+
+def test_op2_is_near_brute_force(spark):
+    """2,000 vectors in many lists: recall by the contract's measure, and exact scores."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = {}
+    for r in QUERIES["op2_ann"](spark, sf).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(found) == sorted(i for i in ids.tolist() if i % 100 == 0)
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    hits = 0
+    for q, got in found.items():
+        d = np.sqrt(((x - x[at[q]]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        assert [s for _, s in got] == sorted(s for _, s in got) and len(got) == 10
+        assert all(abs(d[at[i]] - s) < 1e-12 for i, s in got)
+        hits += len({int(ids[i]) for i in order} & {i for i, _ in got})
+    assert hits >= 0.9 * 10 * len(found)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
