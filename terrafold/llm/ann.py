@@ -1,12 +1,16 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 A bounded sample is split in halves again and again (two means, cut at the median), which gives
-centroids of equally full cells. Every vector goes to the list of its nearest centroid and, near
-a boundary, to further lists: those at most (1 + CLOSURE) times as far whose centroid is not
-closer to a list already chosen. Nearest centroids are found by beam search in a neighbour graph
-over the centroids, which is small and goes to every worker. A query is compared with every
-centroid and reads all lists within (1 + RATIO) times the distance of the nearest. Lists longer than BLOCK are cut into
-blocks, so no list is one task's burden.
+centroids of equally full cells. Every vector goes to the list of its nearest centroid. Where it
+is nearer to the plane between that cell and others than all but BOUNDARY of the sample are, it
+also goes to their lists. Nearest centroids are found by beam search in a neighbour graph over the
+centroids, which is small and goes to every worker.
+
+A query reads the lists whose centroids are at most `ratio` times as far as its nearest one, however
+many these are. The ratio is no constant, as distances spread little in many dimensions: it is the
+least that reaches RECALL of the true neighbours of TRIALS vectors, which are found exactly, by
+one pass over all vectors. Lists longer than BLOCK are cut into blocks, so no list is one task's
+burden. Vectors of each length have an index of their own.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from pyspark.sql import functions as F
 
 from .shared import grouped, stored
 
-SAMPLE = 16_384
+#: Vectors that place the centroids, as many as SAMPLE_BYTES hold at most; so there are SAMPLE / 8
+#: lists at most, and beyond LIST times as many vectors lists grow with the table, block by block.
+SAMPLE, SAMPLE_BYTES = 65_536, 1 << 26
 LIST = 256
 REPLICAS = 4
-CLOSURE = 0.2
-RATIO = 0.5
+BOUNDARY = 0.2
+RECALL = 0.95
+TRIALS = 256
 BLOCK = 2048
 HELD = 1 << 20
 DEGREE = 24
@@ -57,6 +64,9 @@ class CentroidGraph:
     """Centroids with a neighbour graph, searched by best-first beams for many points at once."""
 
     def __init__(self, centroids: np.ndarray, seed: int = 6):
+        #: How near to a plane a vector gets a replica, and how far a query's lists may be. An index
+        #: fits both to its vectors; until then there are no replicas and half as far again is read.
+        self.margin, self.ratio = 0.0, 1.5
         self.c = np.ascontiguousarray(centroids, np.float64)
         self.norm = (self.c**2).sum(1)
         k = len(self.c)
@@ -114,24 +124,54 @@ class CentroidGraph:
             ids = np.concatenate([ids, new], 1)
             open_ = np.concatenate([open_, fresh], 1)
 
+    def edges(self, x: np.ndarray, beam: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances to the planes between the nearest cell and these); the first is it."""
+        ids, d = self.search(x, beam)
+        gap = np.sqrt(((self.c[ids] - self.c[ids[:, :1]]) ** 2).sum(2))
+        apart = (d**2 - d[:, :1] ** 2) / np.maximum(2 * gap, 1e-300)
+        apart[:, 0] = -1.0
+        return ids, np.where(gap > 0, apart, np.where(np.arange(ids.shape[1]) == 0, -1.0, np.inf))
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of each vector and each of its lists: that of the nearest centroid, and of
+        the nearest planes within the margin, REPLICAS in all."""
+        ids, apart = self.edges(x)
+        order = np.argsort(apart, axis=1, kind="stable")[:, :REPLICAS]
+        near = np.take_along_axis(apart, order, 1) <= self.margin
+        near[:, 0] = True
+        rows, cols = np.nonzero(near)
+        return rows, np.take_along_axis(ids, order, 1)[rows, cols]
+
+    def reads(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that each query reads: all that the ratio admits. Beams widen
+        until they reach beyond it; what most centroids are within is compared with all."""
+        at, lists, todo, beam = [], [], np.arange(len(x)), 64
+        while len(todo):
+            if 4 * beam >= len(self.c):
+                d = np.sqrt(np.maximum(self.norm[None] + (x[todo] ** 2).sum(1)[:, None] - 2 * x[todo] @ self.c.T, 0))
+                ids, done = np.broadcast_to(np.arange(len(self.c)), d.shape), np.ones(len(todo), bool)
+                least = d.min(axis=1)
+            else:
+                ids, d = self.search(x[todo], beam, max(4, beam // 16))
+                least, done = d[:, 0], d[:, -1] > self.ratio * d[:, 0]
+            rows, cols = np.nonzero((d <= self.ratio * least[:, None]) & done[:, None])
+            at.append(todo[rows])
+            lists.append(ids[rows, cols])
+            todo, beam = todo[~done], 4 * beam
+        return (np.concatenate(at), np.concatenate(lists)) if at else (np.zeros(0, int), np.zeros(0, int))
+
     def assign(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector."""
-        ids, d = self.search(x, 32)
-        out = []
-        for i, r in zip(ids, d):
-            chosen = [int(i[0])]
-            for c, far in zip(i[1:].tolist(), r[1:].tolist()):
-                if len(chosen) == REPLICAS or far > (1 + CLOSURE) * r[0]:
-                    break
-                if all(((self.c[c] - self.c[o]) ** 2).sum() > far * far for o in chosen):
-                    chosen.append(c)
-            out.append(np.array(chosen))
-        return out
+        return _by_row(*self.places(x), len(x))
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that a query reads: all that the ratio admits, however many."""
-        d = np.sqrt(np.maximum(self.norm[None] + (x**2).sum(1)[:, None] - 2 * x @ self.c.T, 0))
-        return [np.flatnonzero(r <= (1 + RATIO) * r.min()) for r in d]
+        """The lists that each query reads."""
+        return _by_row(*self.reads(x), len(x))
+
+
+def _by_row(rows: np.ndarray, lists: np.ndarray, n: int) -> list[np.ndarray]:
+    order = np.argsort(rows, kind="stable")
+    return np.split(lists[order], np.searchsorted(rows[order], np.arange(1, n)))
 
 
 def best_of(found: pa.Table, most: int) -> pa.Table:
@@ -165,54 +205,115 @@ _USABLE = (
 )
 
 
+def _trial_neighbours(entries: DataFrame, trials: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k vectors of entries(v) nearest to each trial vector, the trial itself left out, exactly:
+    each task keeps its best, and of these the best are collected (tasks merge in one reducer, which
+    holds no more than tasks * trials * k rows in batches)."""
+
+    def best(d, v, most):
+        take = np.argsort(d, kind="stable")[:most]
+        return d[take], v[take]
+
+    def scan(batches):
+        held = [(np.zeros(0), np.zeros((0, trials.shape[1])))] * len(trials)
+        norm = (trials**2).sum(1)
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            d = np.maximum(norm[:, None] + (x**2).sum(1)[None] - 2 * trials @ x.T, 0)
+            near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1] if d.shape[1] else np.zeros((len(trials), 0), int)
+            for i, at in enumerate(near):
+                at = at[d[i, at] > 1e-12 * norm[i]]
+                held[i] = best(np.concatenate([held[i][0], d[i, at]]), np.concatenate([held[i][1], x[at]]), k)
+        rows = [(i, float(s), v.tolist()) for i, (d, x) in enumerate(held) for s, v in zip(d, x)]
+        if rows:
+            t, s, v = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.float64()), pa.array(v, pa.list_(pa.float64()))], ["trial", "score", "v"])
+
+    found = entries.select("v").mapInArrow(scan, "trial int, score double, v array<double>")
+    first = F.row_number().over(Window.partitionBy("trial").orderBy("score", "v"))
+    rows = found.withColumn("r", first).where(f"r <= {k}").select("trial", "v").collect()  # TRIALS * k rows at most
+    out: list[list] = [[] for _ in trials]
+    for r in rows:
+        out[r["trial"]].append(r["v"])
+    return [np.array(v, float).reshape(len(v), trials.shape[1]) for v in out]
+
+
+def fit_ratio(graph: CentroidGraph, trials: np.ndarray, near: list[np.ndarray], recall: float = RECALL) -> float:
+    """The least ratio whose lists hold `recall` of the trials' neighbours."""
+    need = []
+    for t, v in zip(trials, near):
+        if not len(v):
+            continue
+        d = np.sqrt(np.maximum(graph.norm + (t**2).sum() - 2 * graph.c @ t, 0))
+        rows, lists = graph.places(v)
+        least = np.full(len(v), np.inf)
+        np.minimum.at(least, rows, d[lists] / max(d.min(), 1e-300))
+        need += least.tolist()
+    return float(np.quantile(need, recall)) * (1 + 1e-9) if need else np.inf
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of vectors(id, v) to each row of
     queries(id, v) that the search finds, by Euclidean distance, ties to the smaller id.
 
     A query's own id is not returned to it. Null, empty and zero vectors, vectors with null or
-    non-finite parts, null ids, and vectors not of the commonest length (of equally common ones
-    the smallest) take no part on either side. Repeated rows count once; equal vectors share one
-    entry of the index, with their k + 1 smallest ids, which are all that a result can hold. An
-    empty side gives no rows; other columns are not read.
+    non-finite parts, and null ids take no part on either side; vectors of one length are searched
+    among themselves. Repeated rows count once; equal vectors share one entry of the index, with
+    their k + 1 smallest ids, which are all that a result can hold. An empty side gives no rows;
+    other columns are not read.
     """
-    spark = vectors.sparkSession
     vectors = vectors.select("id", "v").where(_USABLE)
-    common = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").head()
+    queries = queries.select("id", "v").where(_USABLE)
+    id_kind = vectors.schema["id"].dataType.simpleString()
+    out = None
+    # an index for each length that is asked for: of these a table of embeddings has one or a few
+    for r in queries.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect():
+        same = f"size(v) = {r['dim']}"
+        part = _search(vectors.where(same), queries.where(same), k, r["dim"])
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], f"query_id {id_kind}, rank int, id {id_kind}, score double") if out is None else out
+
+
+def build_graph(entries: DataFrame, dim: int, k: int) -> CentroidGraph:
+    """Centroids of entries(v) of one length, with the margin and the ratio that fit them."""
+    sample = entries.orderBy(F.xxhash64("v"), "v").limit(max(1024, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("v").toArrow()  # bounded
+    x = _matrix(sample.column("v").combine_chunks()) if sample.num_rows else np.zeros((1, dim))
+    cells = max(1, min(-(-entries.count() // LIST), len(x) // 8))
+    graph = CentroidGraph(balanced_centroids(x, cells))
+    if cells > 1:
+        _, apart = graph.edges(x[:4096])
+        graph.margin = float(np.quantile(apart[:, 1:].min(axis=1), BOUNDARY))
+        trials = x[:: max(1, len(x) // TRIALS)][:TRIALS]
+        graph.ratio = fit_ratio(graph, trials, _trial_neighbours(entries, trials, k))
+    return graph
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    spark = vectors.sparkSession
     kind = vectors.schema["v"].dataType.simpleString()
     id_kind = vectors.schema["id"].dataType.simpleString()
-    if common is None:
-        return spark.createDataFrame([], f"query_id {id_kind}, rank int, id {id_kind}, score double")
-    same = f"size(v) = {common['dim']}"
-
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    entries = vectors.where(same).distinct().withColumn("r", first).where(f"r <= {k + 1}").groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = vectors.distinct().withColumn("r", first).where(f"r <= {k + 1}").groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     entries = stored(entries, "entries")
-    asked = stored(queries.select("id", "v").where(_USABLE).where(same).distinct(), "asked")
+    asked = stored(queries.distinct(), "asked")
     points = asked.groupBy("v").agg(F.min("id").alias("key"))
-
-    sample = entries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toArrow()  # bounded by SAMPLE
-    count = entries.count()
-    cells = max(1, min(-(-count // LIST), SAMPLE // 8))
-    x = _matrix(sample.column("v").combine_chunks())
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, min(cells, len(x)))))
+    index = spark.sparkContext.broadcast(build_graph(entries, dim, k))
 
     def deal(pick, step=512):
         def run(batches):
             for batch in batches:
                 for a in range(0, batch.num_rows, step):
                     part = batch.slice(a, step)
-                    lists = pick(graph.value)(_matrix(part.column(0)))
-                    index = np.repeat(np.arange(part.num_rows), [len(i) for i in lists])
-                    cols = [pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(pa.array(index)) for c in part.columns]]
-                    yield pa.RecordBatch.from_arrays(cols, ["list", *part.schema.names])
+                    rows, lists = pick(index.value, _matrix(part.column(0)))
+                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *[c.take(pa.array(rows)) for c in part.columns]], ["list", *part.schema.names])
 
         return run
 
-    posted = stored(entries.select("v", "ids").mapInArrow(deal(lambda g: g.assign), f"list int, v {kind}, ids array<{id_kind}>"), "posted")
+    posted = stored(entries.select("v", "ids").mapInArrow(deal(CentroidGraph.places), f"list int, v {kind}, ids array<{id_kind}>"), "posted")
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = stored(blocks, "blocks")
     members = posted.join(blocks, "list").withColumn("blk", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
-    probing = points.select("v", "key").mapInArrow(deal(lambda g: g.probes, 32), f"list int, v {kind}, key {id_kind}")
+    probing = points.select("v", "key").mapInArrow(deal(CentroidGraph.reads, 64), f"list int, v {kind}, key {id_kind}")
     probing = probing.join(blocks, "list").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     no_key, no_ids = F.lit(None).cast(id_kind), F.lit(None).cast(f"array<{id_kind}>")
     both = members.select("list", "blk", no_key.alias("key"), "v", "ids").union(probing.select("list", "blk", "key", "v", no_ids.alias("ids")))
@@ -242,19 +343,24 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             keys = group.column("key").combine_chunks().filter(pa.array(is_query))
             lead = np.array([i[0].as_py() for i in ids])
             at_query, at_member, scores = [], [], []
-            for a in range(0, len(q), 256):
-                part = q[a : a + 256]
+            want = min(k + 1, len(m))
+            some = min(want + 4, len(m))  # room for what rounding and ties put beside the last one
+            for a in range(0, len(q), 128):
+                part = q[a : a + 128]
                 d = (m**2).sum(1)[None] + (part**2).sum(1)[:, None] - 2 * part @ m.T
-                want = min(k + 1, len(m))
-                edge = np.partition(d, want - 1, axis=1)[:, want - 1]
-                slack = 1e-9 * (1 + np.abs(d).max(axis=1))
-                for i in range(len(part)):
-                    near = np.flatnonzero(d[i] <= edge[i] + slack[i])
-                    exact = np.sqrt(((m[near] - part[i]) ** 2).sum(1))
-                    best = np.lexsort((lead[near], exact))[:want]
-                    at_query += [a + i] * len(best)
-                    at_member.append(near[best])
-                    scores.append(exact[best])
+                near = np.argpartition(d, some - 1, axis=1)[:, :some]
+                rough = np.sort(np.take_along_axis(d, near, 1), axis=1)
+                unsure = (rough[:, -1] <= rough[:, want - 1] + 1e-9 * (1 + np.abs(d).max(axis=1))) & (some < len(m))
+                exact = np.sqrt(((m[near] - part[:, None]) ** 2).sum(2))
+                order = np.lexsort((lead[near], exact), axis=1)[:, :want]
+                near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+                for i in np.flatnonzero(unsure):  # more ties than room: all members are compared
+                    full = np.sqrt(((m - part[i]) ** 2).sum(1))
+                    near[i] = np.lexsort((lead, full))[:want]
+                    exact[i] = full[near[i]]
+                at_query += np.repeat(np.arange(a, a + len(part)), want).tolist()
+                at_member.append(near.ravel())
+                scores.append(exact.ravel())
             at = pa.array(np.concatenate(at_member))
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(at_query)), pa.array(lead).take(at).cast(keys.type), ids.take(at), pa.array(np.concatenate(scores))], ["key", "lead", "ids", "score"]

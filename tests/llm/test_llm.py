@@ -139,6 +139,44 @@ def test_recall_holds_as_lists_grow(lists):
     assert sum(bool(probes[i] & set(p.tolist())) for i, p in zip(read, posted)) >= 0.99 * len(read)
 
 
+def test_ratio_and_margin_fit_the_vectors():
+    """Replicas stand at the boundaries, and the fitted ratio reaches the recall it was fitted for
+    on vectors that it has not seen."""
+    x = np.random.default_rng(5).normal(size=(12_000, 24))
+    g = ann.CentroidGraph(ann.balanced_centroids(x[:4000], 60))
+    _, apart = g.edges(x[:2000])
+    g.margin = float(np.quantile(apart[:, 1:].min(axis=1), 0.2))
+    rows, lists = g.places(x)
+    assert 1.15 < len(rows) / len(x) < 1.5 and len(set(zip(rows.tolist(), lists.tolist()))) == len(rows)
+
+    def exact(q):
+        d = ((x - q) ** 2).sum(1)
+        return x[np.argsort(d)[1:11]]
+
+    trials = x[:100]
+    g.ratio = ann.fit_ratio(g, trials, [exact(t) for t in trials], 0.95)
+    hits = read = 0
+    held = np.bincount(lists, minlength=60)
+    for q in x[-100:]:
+        mine = set(g.probes(q[None])[0].tolist())
+        read += held[sorted(mine)].sum()
+        hits += sum(bool(mine & set(p.tolist())) for p in g.assign(exact(q)))
+    assert hits / 1000 >= 0.9 and read < 0.9 * 100 * held.sum()
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = ann.neighbours(v, v.where("id % 50 = 0")).toPandas()
+    size = {i: len(x) for i, x in rows}
+    assert got.groupby("query_id").size().to_dict() == {q: 10 for q in range(0, 300, 50)}
+    assert all(size[q] == size[i] for q, i in zip(got.query_id, got.id))
+    for q, g in got.groupby("query_id"):
+        d = sorted((float(np.sqrt(((np.array(x) - np.array(rows[q][1])) ** 2).sum())), i) for i, x in rows if size[i] == size[q] and i != q)
+        assert g.sort_values("rank").id.tolist() == [i for _, i in d[:10]]
+
+
 def test_best_of_merges_exactly():
     rows = [(1, 5, [5], 0.5), (1, 5, [5], 0.5), (1, 2, [2], 0.5), (1, 9, [9], 0.1), (2, 7, [7], 3.0), (1, 8, [8], 0.9)]
     found = pa.table(dict(zip(("key", "lead", "ids", "score"), map(list, zip(*rows)))))
