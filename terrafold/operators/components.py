@@ -5,61 +5,210 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grids import label4
-
 
 def reliable(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in the cluster's shared folder; a temporary one where none is named."""
+    """df behind a checkpoint in the cluster's shared folder. Only a local session, as in tests, may
+    do without one; it gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrafold-"))
     return df.checkpoint()
 
 
-def chunk_labels(cells: DataFrame, scene: str, chunk: int | None = None) -> DataFrame:
-    """cells(scene, row, col) plus label, the row-major number (row * 2^31 + col) of the first
-    cell of the cell's 4-connected region.
-
-    Regions are found within square chunks first (chunk=None: the scene is one); labels that
-    touch across a chunk border are then merged by repeated minima over the border pairs, which
-    are few. Nothing is collected."""
-    block = (F.lit(0), F.lit(0)) if chunk is None else (F.floor(F.col("row") / chunk), F.floor(F.col("col") / chunk))
-    kind = cells.schema[scene].dataType.simpleString()
-
-    def regions(rows: pd.DataFrame) -> pd.DataFrame:
-        r, c = rows["row"].to_numpy(), rows["col"].to_numpy()
-        grid = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
-        grid[r - r.min(), c - c.min()] = True
-        number = label4(grid)[r - r.min(), c - c.min()]
-        key = r.astype(np.int64) * (1 << 31) + c
-        first = pd.Series(key).groupby(number).min()
-        return pd.DataFrame({scene: rows[scene], "row": r, "col": c, "label": first.loc[number].to_numpy()})
-
-    keyed = cells.select(scene, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), block[0].alias("__br"), block[1].alias("__bc"))
-    found = keyed.groupBy(scene, "__br", "__bc").applyInPandas(regions, f"{scene} {kind}, row int, col int, label long")
-    if chunk is None:
-        return found
-    found = reliable(found)
-    border = found.where((F.col("row") % chunk == 0) | (F.col("col") % chunk == 0))
+def rank_rows(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows plus a number from 0 in the order of columns that tell rows apart, without gathering
+    them: sorted ranges are counted, and their offsets, one a partition, are added."""
+    kept = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = reliable(kept.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33).cast("int")
+    sizes = {r["p"]: r["count"] for r in kept.groupBy(part.alias("p")).count().collect()}  # one a partition
+    offsets, total = [], 0
+    for p in sorted(sizes):
+        offsets += [F.lit(p), F.lit(total)]
+        total += sizes[p]
+    if not offsets:
+        return kept.withColumn(name, F.lit(0).cast("long")).drop("__m")
+    start = F.element_at(F.create_map(*offsets), part).cast("long")
+    return kept.withColumn(name, start + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
+
+
+def _flood(group: np.ndarray, row: np.ndarray, col: np.ndarray, connect: int) -> np.ndarray:
+    """The place of the first cell, in the order given, of each cell's region within its group.
+    Cells are sorted by group, row and column, each once."""
+    n = len(row)
+    low = int(col.min()) - 1
+    width = np.int64(int(col.max()) - low + 2)
+    top = int(row.min()) - 1
+    height = np.int64(int(row.max()) - top + 2)
+    key = (group.astype(np.int64) * height + (row - top)) * width + (col - low)
+    steps = (1, width) if connect == 4 else (1, width - 1, width, width + 1)
+    ends = []
+    for step in steps:
+        at = np.minimum(np.searchsorted(key, key + step), n - 1)
+        hit = key[at] == key + step
+        ends.append((np.flatnonzero(hit), at[hit]))
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+
+
+#: Cells that a worker labels at once; a chunk is never cut.
+FLUSH = 1 << 18
+
+
+def chunk_labels(cells: DataFrame, scene: str, chunk: int = 1024, connect: int = 4) -> DataFrame:
+    """cells(scene, row, col, ..) plus label, the row-major number (row * 2^31 + col) of the first
+    cell of the cell's region, by four neighbours or eight. Other columns pass through.
+
+    Regions are found within square chunks first; labels that touch across a chunk border are then
+    merged by repeated minima over the border pairs, which are few, with pointer jumping, so that
+    rounds grow with the logarithm of the chunks that a region crosses. Nothing is collected."""
+    if connect not in (4, 8):
+        raise ValueError("connect is 4 or 8")
+    rest = [c for c in cells.columns if c not in (scene, "row", "col")]
+    at = {"row": F.col("row").cast("int").alias("row"), "col": F.col("col").cast("int").alias("col")}
+    keyed = cells.select(scene, at["row"], at["col"], *rest)
+    keyed = keyed.withColumns({"__br": F.floor(F.col("row") / chunk), "__bc": F.floor(F.col("col") / chunk)})
+    keyed = keyed.repartition(scene, "__br", "__bc").sortWithinPartitions(scene, "__br", "__bc", "row", "col")
+    passed = [scene, "row", "col", *rest]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def label(table: pa.Table) -> pa.Table:
+            change = np.zeros(table.num_rows, bool)
+            for c in (scene, "__br", "__bc"):
+                v = table[c].combine_chunks()
+                change[1:] |= ~pc.fill_null(pc.equal(v[1:], v[:-1]), False).to_numpy(zero_copy_only=False)
+            r, c = table["row"].to_numpy().astype(np.int64), table["col"].to_numpy().astype(np.int64)
+            first = _flood(np.cumsum(change), r, c, connect)
+            return table.select(passed).append_column("label", pa.array(r[first] * (1 << 31) + c[first]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(h.num_rows for h in held) < FLUSH:
+                continue
+            table = pa.Table.from_batches(held)
+            # the last chunk may go on in the next batch
+            last = np.ones(table.num_rows, bool)
+            for c in (scene, "__br", "__bc"):
+                last &= pc.fill_null(pc.equal(table[c], table[c][table.num_rows - 1]), False).to_numpy()
+            cut = table.num_rows - int(last.sum())
+            if cut:
+                yield from label(table.slice(0, cut)).to_batches()
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from label(pa.Table.from_batches(held)).to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*passed).schema)
+    found = reliable(keyed.mapInArrow(run, schema + ", label long"))
+    edge = (F.col("row") % chunk == 0) | (F.col("col") % chunk == 0)
+    if connect == 8:
+        edge = edge | (F.col("col") % chunk == chunk - 1)
+    back = ((-1, 0), (0, -1)) if connect == 4 else ((-1, 0), (0, -1), (-1, -1), (-1, 1))
+    block = lambda r, c: (F.floor(r / chunk), F.floor(c / chunk))
     there = found.select(scene, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("label").alias("other"))
-    near = F.array(F.struct((F.col("row") - 1).alias("__r"), F.col("col").alias("__c")), F.struct(F.col("row").alias("__r"), (F.col("col") - 1).alias("__c")))
-    pairs = border.select(scene, "label", F.inline(near)).join(there, [scene, "__r", "__c"]).where("label <> other").select(scene, "label", "other").distinct()
+    near = F.array(*[F.struct((F.col("row") + i).alias("__r"), (F.col("col") + j).alias("__c")) for i, j in back])
+    pairs = found.where(edge).select(scene, "row", "col", "label", F.inline(near))
+    here, other = block(F.col("row"), F.col("col")), block(F.col("__r"), F.col("__c"))
+    pairs = pairs.where((here[0] != other[0]) | (here[1] != other[1]))
+    pairs = pairs.join(there, [scene, "__r", "__c"]).where("label <> other").select(scene, "label", "other").distinct()
     both = reliable(pairs.union(pairs.select(scene, F.col("other"), F.col("label"))).distinct())
-    names = both.select(scene, "label", F.col("label").alias("least")).distinct()
+    if both.isEmpty():
+        return found
+    names = reliable(both.select(scene, "label", F.col("label").alias("least")).distinct())
     while True:
         step = both.join(names.select(scene, F.col("label").alias("other"), F.col("least").alias("seen")), [scene, "other"])
         seen = step.groupBy(scene, "label").agg(F.min("seen").alias("seen"))
-        after = names.join(seen, [scene, "label"]).select(scene, "label", F.least("least", "seen").alias("least"), (F.col("seen") < F.col("least")).alias("moved"))
-        after = reliable(after)
-        names = after.drop("moved")
-        if after.where("moved").isEmpty():
+        near = names.join(seen, [scene, "label"]).select(scene, "label", F.col("least").alias("old"), F.least("least", "seen").alias("least"))
+        jump = names.select(scene, F.col("label").alias("least"), F.col("least").alias("jump"))
+        after = near.join(jump, [scene, "least"], "left")
+        after = reliable(after.select(scene, "label", "old", F.least("least", F.coalesce("jump", "least")).alias("least")))
+        names = after.drop("old")
+        if after.where("old <> least").isEmpty():
             break
-    return found.join(names, [scene, "label"], "left").select(scene, "row", "col", F.coalesce("least", "label").alias("label"))
+    return found.join(names, [scene, "label"], "left").select(*passed, F.coalesce("least", "label").alias("label"))
+
+
+def rings(cells: DataFrame, keys: list[str], transform: tuple = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
+    """(keys.., rings): the outline of each region of cells(keys.., row, col) as closed rings of
+    (x, y) structs, the outer one first, then holes, with corners only.
+
+    Sides that two cells of a region share cancel in an aggregate; what is left of a region, its
+    outline, is chained in one row, as the polygon will be one. Where two cells touch by a corner the
+    chain stays with its cell, so rings may touch themselves but do not cross."""
+    r, c = F.col("row").cast("long"), F.col("col").cast("long")
+    side = lambda r0, c0, r1, c1: F.struct(r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
+    sides = F.array(side(r, c, r, c + 1), side(r, c + 1, r + 1, c + 1), side(r + 1, c + 1, r + 1, c), side(r + 1, c, r, c))
+    edges = cells.select(*keys, "row", "col").distinct().select(*keys, F.inline(sides))
+    low = F.least(F.struct("r0", "c0"), F.struct(F.col("r1").alias("r0"), F.col("c1").alias("c0")))
+    flat = (F.col("r0") == F.col("r1")).alias("flat")
+    once = edges.groupBy(*keys, low.alias("low"), flat).agg(F.count("*").alias("n"), F.first("r0").alias("r0"), F.first("c0").alias("c0"), F.first("r1").alias("r1"), F.first("c1").alias("c1")).where("n = 1")
+    lines = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r0", "c0", "r1", "c1"))).alias("__e"))
+    a, b, x0, d, e, y0 = (float(v) for v in transform)
+    passed = lines.columns
+
+    def chain(edges: list[dict]) -> list[list[tuple[int, int]]]:
+        out_of: dict[tuple, list] = {}
+        for g in edges:
+            out_of.setdefault((g["r0"], g["c0"]), []).append((g["r1"], g["c1"]))
+        found = []
+        for g in edges:
+            start = (g["r0"], g["c0"])
+            while out_of.get(start):
+                ring, at, way = [start], start, None
+                while True:
+                    ahead = out_of[at]
+                    if way is None or len(ahead) == 1:
+                        to = ahead.pop(0)
+                    else:  # turn right, towards the cell that the last side belongs to
+                        to = next(q for q in ahead if (q[0] - at[0], q[1] - at[1]) == (way[1], -way[0]))
+                        ahead.remove(to)
+                    step = (to[0] - at[0], to[1] - at[1])
+                    if way == step:
+                        ring[-1] = to
+                    else:
+                        ring.append(to)
+                    at, way = to, step
+                    if at == start and (at[0] + way[1], at[1] - way[0]) not in out_of[at]:
+                        break  # a right turn would go on with a side of this ring
+                if len(ring) > 4 and (ring[1][0] - ring[0][0] == 0) == (ring[-1][0] - ring[-2][0] == 0):
+                    ring = [*ring[1:-1], ring[1]]  # the start was no corner
+                found.append(ring)
+        area = lambda q: sum(p[1] * n[0] - n[1] * p[0] for p, n in zip(q, q[1:]))
+        return sorted(found, key=lambda q: (-abs(area(q)), q))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for edges in batch.column(len(passed) - 1).to_pylist():
+                out.append([[{"x": x0 + a * q[1] + b * q[0], "y": y0 + d * q[1] + e * q[0]} for q in ring] for ring in chain(edges)])
+            kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*passed[:-1], "rings"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name != "__e")
+    return lines.mapInArrow(run, schema + ", rings array<array<struct<x:double,y:double>>>")
 
 
 def regions(cells: DataFrame, scene: str, pixel_area: float, value: str = "p", least_area: float = 50.0) -> DataFrame:
@@ -105,14 +254,31 @@ def rasterise_points(points: DataFrame, radius: float, all_touched: bool = True)
     return cells.where(dy * dy + dx * dx <= radius * radius).select("row", "col").distinct()
 
 
-def rasterise_rings(rings: DataFrame, key: str, ring: str = "ring") -> DataFrame:
-    """(key, row, col) cells whose centre lies in a ring of (x, y) structs in pixel units."""
+def rasterise_rings(rings: DataFrame, key: str, ring: str = "ring", all_touched: bool = False) -> DataFrame:
+    """(key, row, col) cells whose centre lies in a ring of (x, y) structs in pixel units; all_touched
+    adds every cell that a side of the ring passes through."""
     from ..functions.geometry import point_in_ring
 
     ys, xs = F.transform(ring, lambda p: p["y"]), F.transform(ring, lambda p: p["x"])
     span = lambda v: F.sequence(F.floor(F.array_min(v)).cast("int"), F.floor(F.array_max(v)).cast("int"))
     cells = rings.where(F.size(ring) >= 4).select(key, ring, F.explode(span(ys)).alias("row"), span(xs).alias("__cols")).select(key, ring, "row", F.explode("__cols").alias("col"))
-    return cells.where(point_in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col(ring))).select(key, "row", "col")
+    hit = point_in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col(ring))
+    if all_touched:
+
+        def crosses(i):
+            p, q = F.col(ring)[i - 1], F.col(ring)[i]
+            # the part of the side within the cell's rows, then within its columns: what of 0..1 is left
+            def part(a, b, low):
+                s = F.try_divide(low - a, b - a)
+                t = F.try_divide(low + 1 - a, b - a)
+                inside = (a >= low) & (a < low + 1)
+                return F.when(a == b, F.when(inside, 0.0).otherwise(2.0)).otherwise(F.least(s, t)), F.when(a == b, F.when(inside, 1.0).otherwise(-1.0)).otherwise(F.greatest(s, t))
+
+            x, y = part(p["x"], q["x"], F.col("col")), part(p["y"], q["y"], F.col("row"))
+            return F.greatest(F.lit(0.0), x[0], y[0]) < F.least(F.lit(1.0), x[1], y[1])
+
+        hit = hit | F.exists(F.sequence(F.lit(1), F.size(ring) - 1), crosses)
+    return cells.where(hit).select(key, "row", "col")
 
 
 def water_proximity(cells: DataFrame, water: DataFrame, keys: list[str], metres_a_pixel: float, reach_m: float = 200.0) -> DataFrame:

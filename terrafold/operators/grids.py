@@ -73,12 +73,21 @@ def windows(x: np.ndarray, size: int, border: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.pad(x, k, mode=mode), (size, size))
 
 
-def refined_lee(x: np.ndarray, size: int = 5) -> np.ndarray:
-    """Speckle filter: local mean plus the deviation weighted by local against global variance."""
-    n = windows(x.astype(float), size, "reflect101")
-    mean = n.mean(axis=(2, 3))
-    var = np.maximum((n**2).mean(axis=(2, 3)) - mean**2, 0)
-    noise = x.var() / 4
+def local_mean(x: np.ndarray, size: int = 5, border: str = "reflect101") -> np.ndarray:
+    return windows(x.astype(float), size, border).mean(axis=(2, 3))
+
+
+def local_square(x: np.ndarray, size: int = 5, border: str = "reflect101") -> np.ndarray:
+    """Mean of squares, for a variance whose mean is known."""
+    return (windows(x.astype(float), size, border) ** 2).mean(axis=(2, 3))
+
+
+def refined_lee(x: np.ndarray, size: int = 5, variance: float | None = None) -> np.ndarray:
+    """Speckle filter: local mean plus the deviation weighted by local against global variance;
+    variance is that of the whole image, where x is a part of it."""
+    mean = local_mean(x, size)
+    var = np.maximum(local_square(x, size) - mean**2, 0)
+    noise = (x.var() if variance is None else variance) / 4
     return mean + var / (var + noise + 1e-10) * (x - mean)
 
 
@@ -157,9 +166,9 @@ def remove_small(x: np.ndarray, least: int) -> np.ndarray:
     return (sizes >= least)[labels]
 
 
-def canny(x: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
-    """Edges of a grey image in 0-255: 3x3 Sobel, L1 magnitude, thinning along the gradient, and
-    weak edges kept where they touch a strong one through eight neighbours."""
+def canny_levels(x: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Thinned gradients of a grey image in 0-255: 2 strong, 1 weak, 0 none. 3x3 Sobel, L1
+    magnitude, thinning along the gradient; a pixel depends on two around it."""
     p = np.pad(x.astype(float), 1, mode="edge")
     gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
     gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
@@ -172,7 +181,14 @@ def canny(x: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
     before = np.where(flat, at(0, -1), np.where(steep, at(-1, 0), np.where(same, at(-1, -1), at(-1, 1))))
     after = np.where(flat, at(0, 1), np.where(steep, at(1, 0), np.where(same, at(1, 1), at(1, -1))))
     thin = (m > before) & (m >= after)
-    weak, edge = thin & (m > low), thin & (m > high)
+    return (thin & (m > low)).astype(int) + (thin & (m > high))
+
+
+def canny(x: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Edges of a whole image: strong gradients, and weak ones that touch one through eight
+    neighbours. Images in chunks take flows.edges, which follows weak ones across chunk borders."""
+    level = canny_levels(x, low, high)
+    weak, edge = level > 0, level == 2
     while True:
         grown = dilate(edge, 3) & weak
         if (grown == edge).all():

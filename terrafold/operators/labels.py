@@ -71,3 +71,9 @@ def annotation_rate(annotated: Column, total: Column) -> Column:
 def pseudo_labels(points_in_tiles: DataFrame, tile: str) -> DataFrame:
     """A class-0 box of a tenth of the tile around each point."""
     return points_in_tiles.select(tile, F.struct(F.lit(0).alias("class_id"), F.col("cx").cast("double"), F.col("cy").cast("double"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h")).alias("box"))
+
+
+def images_with_labels(images: DataFrame, lines: DataFrame, key: str, text: str = "line") -> DataFrame:
+    """images plus label: the image's lines in order, one below the other; empty for one without any."""
+    found = lines.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("label"))
+    return images.join(found, key, "left").withColumn("label", F.coalesce("label", F.lit("")))

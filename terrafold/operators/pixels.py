@@ -34,9 +34,9 @@ def fill_gaps(pixels: DataFrame, pixel: list[str], bands: list[str]) -> DataFram
 
 
 def fill_from_scene(pixels: DataFrame, bands: list[str]) -> DataFrame:
-    """With a single date: missing samples take the band's median over the scene."""
-    own = pixels.agg(*[F.median(b).alias(f"__m_{b}") for b in bands])
-    return pixels.crossJoin(F.broadcast(own)).withColumns({b: F.coalesce(b, f"__m_{b}") for b in bands}).drop(*[f"__m_{b}" for b in bands])
+    """With a single date: missing samples take the band's exact median over the scene."""
+    found = exact_percentiles(pixels, bands, (0.5,))
+    return pixels.withColumns({b: F.coalesce(F.col(b), F.lit(found[b][0]).cast("double")) for b in bands})
 
 
 def composite(pixels: DataFrame, pixel: list[str], bands: list[str]) -> DataFrame:
@@ -45,17 +45,19 @@ def composite(pixels: DataFrame, pixel: list[str], bands: list[str]) -> DataFram
 
 
 #: Values of a percentile's bracket that one aggregate may hold.
-BRACKET = 65_536
+BRACKET = 1000
 
 
 def exact_percentiles(rows: DataFrame, columns: list[str], shares: tuple[float, ...], bracket: int = BRACKET) -> dict[str, list[float | None]]:
     """Exact percentiles with linear interpolation, whatever the number of rows.
 
-    Approximate percentiles on either side of the wanted rank narrow a bracket, and the rows
-    below and inside it are counted; when every bracket holds at most `bracket` values, or one
-    value only, these are gathered and the rank is read off. Each narrowing is two scans for
-    all columns together and leaves about a thousandth, so a few suffice at any size. Null and
-    NaN do not count; a column without values has none."""
+    A bracket holds the wanted rank, at first from the least to the greatest value. In each round
+    approximate percentiles give two values on either side of the rank; the rows below and equal to
+    either are counted, and the bracket shrinks to the part that the rank falls in, which never
+    holds these two. A rank among rows equal to one of them is found at once, so ties end the search
+    and do not hold it up. Brackets of at most `bracket` values are gathered. A round is two scans
+    for all columns together and leaves about a thousandth. Null and NaN do not count; a column
+    without values has none."""
     clean = rows.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
     first = clean.agg(*[f for c in columns for f in (F.count(c), F.min(c), F.max(c))]).head()
     state = []
@@ -69,18 +71,26 @@ def exact_percentiles(rows: DataFrame, columns: list[str], shares: tuple[float,
         for s in wide:
             at = (int(s["rank"]) - s["below"]) / s["inside"]
             ends.append(F.percentile_approx(inside(s), F.array(F.lit(max(0.0, at - 5e-4)), F.lit(min(1.0, at + 5e-4))), 10_000))
-        for s, (low, high) in zip(wide, clean.agg(*ends).head()):
-            s["was"] = (s["low"], s["high"], s["below"], s["inside"])
-            s["low"], s["high"] = low, high
-        counts = clean.agg(*[f for s in wide for f in (F.count_if(F.col(s["c"]) < s["low"]), F.count(inside(s)))]).head()
-        stuck = True
-        for k, s in enumerate(wide):
-            s["below"], s["inside"] = counts[2 * k], counts[2 * k + 1]
-            if not s["below"] <= int(s["rank"]) < s["below"] + s["inside"]:
-                s["low"], s["high"], s["below"], s["inside"] = s["was"]  # missed: the wider one stands
-            stuck &= s["inside"] == s["was"][3]
-        if stuck:
-            break
+        sides = list(clean.agg(*ends).head())
+        counts = []
+        for s, (a, b) in zip(wide, sides):
+            v = F.col(s["c"])
+            counts += [F.count_if(v < a), F.count_if(v <= a), F.count_if(v < b), F.count_if(v <= b)]
+            counts += [F.max(F.when(v < a, v)), F.min(F.when(v > a, v)), F.max(F.when(v < b, v)), F.min(F.when(v > b, v))]
+        got = clean.agg(*counts).head()
+        for k, (s, (a, b)) in enumerate(zip(wide, sides)):
+            lt_a, le_a, lt_b, le_b, before_a, after_a, before_b, after_b = got[8 * k : 8 * k + 8]
+            r, end = int(s["rank"]), s["below"] + s["inside"]
+            if r < lt_a:
+                s["high"], s["inside"] = before_a, lt_a - s["below"]
+            elif r < le_a:
+                s["low"], s["high"], s["below"], s["inside"] = a, a, lt_a, le_a - lt_a
+            elif r < lt_b:
+                s["low"], s["high"], s["below"], s["inside"] = after_a, before_b, le_a, lt_b - le_a
+            elif r < le_b:
+                s["low"], s["high"], s["below"], s["inside"] = b, b, lt_b, le_b - lt_b
+            else:
+                s["low"], s["below"], s["inside"] = after_b, le_b, end - le_b
     some = [s for s in state if s["n"]]
     if some:
         values = [F.sort_array(F.collect_list(inside(s))) if s["low"] < s["high"] else F.array(F.lit(s["low"])) for s in some]
@@ -98,10 +108,18 @@ def exact_percentiles(rows: DataFrame, columns: list[str], shares: tuple[float,
     return out
 
 
-def stretch(pixels: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98, by: str | None = None, guard: float = 0.0) -> DataFrame:
+def stretch(pixels: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98, by: str | None = None, guard: float = 0.0, joint: bool = False) -> DataFrame:
     """Each band to [0, 1] between its exact percentiles; 0 where they coincide. guard is added
-    to the divisor. by: percentiles of each image, whose values an aggregate then holds."""
-    if by is None:
+    to the divisor. by: percentiles of each image, whose values an aggregate then holds. joint: one
+    pair of percentiles over the samples of all bands."""
+    if joint and by is None:
+        found = exact_percentiles(pixels.select(F.explode(F.array(*bands)).alias("v")), ["v"], (low, high))
+        rows = pixels.withColumns({f"__p_{b}": F.array(*[F.lit(v).cast("double") for v in found["v"]]) for b in bands})
+    elif joint:
+        keyed = pixels.select(F.col(by).alias("__by"), F.explode(F.array(*bands)).alias("v")).groupBy("__by")
+        keyed = keyed.agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("__p"))
+        rows = pixels.join(keyed, F.col(by).eqNullSafe(F.col("__by"))).withColumns({f"__p_{b}": F.col("__p") for b in bands}).drop("__by", "__p")
+    elif by is None:
         found = exact_percentiles(pixels, bands, (low, high))
         rows = pixels.withColumns({f"__p_{b}": F.array(*[F.lit(v).cast("double") for v in found[b]]) for b in bands})
     else:
@@ -147,12 +165,15 @@ def temporal_features(series: DataFrame, pixel: list[str], order: list[str], x:
     )
 
 
-def coregister(left: DataFrame, right: DataFrame, scale: float = 1.0) -> DataFrame:
+def coregister(left: DataFrame, right: DataFrame, scale: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Bands of two grids of one extent side by side on the left grid; right is read at the
-    nearest pixel of a grid scale times as fine."""
-    cells = right.withColumnsRenamed({"row": "__r", "col": "__c"})
+    nearest pixel of a grid scale times as fine. keys name the scene on both sides."""
+    cells = right.withColumnsRenamed({"row": "__r", "col": "__c", **{k: f"__{k}" for k in keys}})
     at_r, at_c = F.floor(F.col("row") * scale).cast("int"), F.floor(F.col("col") * scale).cast("int")
-    return left.join(cells, (at_r == F.col("__r")) & (at_c == F.col("__c")), "left").drop("__r", "__c")
+    match = (at_r == F.col("__r")) & (at_c == F.col("__c"))
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"__{k}"))
+    return left.join(cells, match, "left").drop("__r", "__c", *[f"__{k}" for k in keys])
 
 
 def resample(pixels: DataFrame, factor: int, how: str, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -179,12 +200,27 @@ def bilinear(points: DataFrame, pixels: DataFrame, height: int, width: int, keys
     return rows.groupBy(*ids).agg(F.sum(F.col("w") * F.col(value)).alias(value))
 
 
-def sample_at(points: DataFrame, pixels: DataFrame, height: int, width: int, value: str = "v") -> DataFrame:
-    """The pixel under each point(row, col), clamped to the edges."""
+def sample_at(points: DataFrame, pixels: DataFrame, height: int, width: int, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The pixel under each point(row, col), of the image that keys name, clamped to the edges."""
     r = F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("row").cast("int")))
     c = F.greatest(F.lit(0), F.least(F.lit(width - 1), F.col("col").cast("int")))
-    cells = pixels.select(F.col("row").alias("__r"), F.col("col").alias("__c"), value)
-    return points.join(cells, (r == F.col("__r")) & (c == F.col("__c")), "left").drop("__r", "__c")
+    cells = pixels.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("row").alias("__r"), F.col("col").alias("__c"), value)
+    match = (r == F.col("__r")) & (c == F.col("__c"))
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"__{k}"))
+    return points.join(cells, match, "left").drop("__r", "__c", *[f"__{k}" for k in keys])
+
+
+def clip_to_ring(pixels: DataFrame, ring: Column, transform: tuple, bands: list[str]) -> DataFrame:
+    """Pixels of the rectangle around a closed ring of (x, y) structs in map units; the bands of those
+    whose centre is outside the ring become null."""
+    from ..functions.geometry import pixel_to_map, point_in_ring
+
+    x, y = pixel_to_map(F.col("col"), F.col("row"), tuple(F.lit(float(v)) for v in transform), centre=True)
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    near = x.between(F.array_min(xs), F.array_max(xs)) & y.between(F.array_min(ys), F.array_max(ys))
+    inside = point_in_ring(x, y, ring)
+    return pixels.where(near).withColumns({b: F.when(inside, F.col(b)) for b in bands})
 
 
 def block_mean(pixels: DataFrame, size: int, value: str, keys: tuple[str, ...] = (), name: str = "density") -> DataFrame:

@@ -38,6 +38,31 @@ def equipment_near(sites: DataFrame, detections: DataFrame, sid: str, sxy, dxy,
     """sites plus counts of the detections within radius: all, active and infrastructure, and the
     sorted class names; 0 and an empty array without any."""
     pairs = near_pairs(sites.select(sid, *sxy), detections.select(*dxy, class_name), sxy, dxy, radius)
+    return _equipment(sites, pairs, sid, class_name)
+
+
+def equipment_near_cells(sites: DataFrame, cells: DataFrame, detections: DataFrame, sid: str, dxy, pixel: float, radius: float, class_name: str = "class_name") -> DataFrame:
+    """As equipment_near, but by the distance to a site's outline: cells(sid, row, col) are the
+    squares of `pixel` metres that make up the site, and a detection inside or within radius of any
+    counts once. Detections name the squares of a grid as wide as the radius around them."""
+    square = max(float(radius), float(pixel))
+    at = lambda v: F.floor(v / square)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    d = detections.select(F.col(dxy[0]).cast("double").alias("__x"), F.col(dxy[1]).cast("double").alias("__y"), class_name).withColumn("__d", F.monotonically_increasing_id())
+    d = d.withColumn("__i", F.explode(around)).withColumn("__j", F.explode(around))
+    d = d.withColumns({"__cx": at(F.col("__x")) + F.col("__i"), "__cy": at(F.col("__y")) + F.col("__j")}).drop("__i", "__j")
+    x0, y0 = F.col("col") * float(pixel), F.col("row") * float(pixel)
+    c = cells.select(sid, x0.alias("__x0"), y0.alias("__y0"))
+    gap = lambda v, low: F.greatest(F.lit(0.0), F.col(low) - F.col(v), F.col(v) - F.col(low) - float(pixel))
+    # a cell may reach into the next square
+    span = lambda low: F.array_distinct(F.array(at(F.col(low)), at(F.col(low) + float(pixel))))
+    c = c.withColumn("__cx", F.explode(span("__x0"))).withColumn("__cy", F.explode(span("__y0")))
+    dx, dy = gap("__x", "__x0"), gap("__y", "__y0")
+    pairs = c.join(d, ["__cx", "__cy"]).where(dx * dx + dy * dy <= radius * radius).select(sid, "__d", class_name).distinct()
+    return _equipment(sites, pairs, sid, class_name)
+
+
+def _equipment(sites: DataFrame, pairs: DataFrame, sid: str, class_name: str) -> DataFrame:
     found = pairs.groupBy(sid).agg(
         F.array_sort(F.collect_list(class_name)).alias("equipment_types"), F.count("*").alias("equipment_total"),
         F.count_if(F.col(class_name).isin(*ACTIVE_CLASSES)).alias("active_equipment_count"),
@@ -47,6 +72,20 @@ def equipment_near(sites: DataFrame, detections: DataFrame, sid: str, sxy, dxy,
     return sites.join(found, sid, "left").withColumns(zero).withColumn("equipment_types", F.coalesce("equipment_types", F.array().cast("array<string>")))
 
 
+def boxes_within_cells(sites: DataFrame, cells: DataFrame, boxes: DataFrame, sid: str, pixel: float) -> DataFrame:
+    """(sid, n) for the boxes (x1, y1, x2, y2) wholly within each site's outline: all the squares that
+    a box covers are cells(sid, row, col) of the site."""
+    first, last = lambda v: F.floor(F.col(v) / float(pixel)), lambda v: F.ceil(F.col(v) / float(pixel)) - 1
+    span = lambda a, b: F.sequence(first(a), F.greatest(first(a), last(b)))
+    b = boxes.select("x1", "y1", "x2", "y2").withColumn("__b", F.monotonically_increasing_id())
+    b = b.select("__b", F.explode(span("y1", "y2")).alias("row"), span("x1", "x2").alias("__cols"), (F.size(span("y1", "y2")) * F.size(span("x1", "x2"))).alias("__need"))
+    b = b.select("__b", "__need", "row", F.explode("__cols").alias("col"))
+    met = b.join(cells.select(sid, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")), ["row", "col"])
+    held = met.groupBy(sid, "__b", "__need").agg(F.count("*").alias("__have")).where("__have = __need")
+    n = held.groupBy(sid).agg(F.count("*").alias("n"))
+    return sites.select(sid).join(n, sid, "left").select(sid, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def boxes_within(sites: DataFrame, boxes: DataFrame, sid: str, cell: float) -> DataFrame:
     """(sid, n) for the boxes (x1, y1, x2, y2) wholly within each site's box (sx1, sy1, sx2, sy2).
     A site names the cells that it covers; a box has that of its lower corner."""
@@ -120,32 +159,57 @@ def greedy_match(candidates: DataFrame, group: list[str], new: str, old: str, sc
     """One-to-one matches (group.., new, old) from candidate pairs: new ones in order take the
     unused old one of the best score (score=None: the first), ties to the smaller old key.
 
-    A group's candidates, which the range join has pruned, are matched in one pass."""
-    cols = [*group, new, old, *([score] if score else [])]
-    rows = candidates.select(*cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != score)
-
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        by = [new, score, old] if score else [new, old]
-        g = g.sort_values(by, ascending=[True, False, True] if score else True, kind="stable")
-        used, done, keep = set(), set(), []
-        for i, n, o in zip(range(len(g)), g[new], g[old]):
-            if n not in done and o not in used:
-                done.add(n), used.add(o), keep.append(i)
-        return g.iloc[keep][[*group, new, old]]
+    Rounds of joins: an open new one is settled when no earlier open one has its favourite among
+    its candidates, as it then gets it whatever the others do; what is taken is struck from all.
+    The first open one is always settled; rounds grow with the longest chain of rivals, not with
+    the candidates, and no group is gathered."""
+    from .components import reliable
 
-    return rows.groupBy(*group).applyInPandas(match, schema)
+    best = (-F.col(score)).alias("__s") if score else F.lit(0.0).alias("__s")
+    open_ = reliable(candidates.select(*group, new, old, best).groupBy(*group, new, old).agg(F.min("__s").alias("__s")))
+    done = None
+    while not open_.isEmpty():
+        favourite = open_.groupBy(*group, new).agg(F.min(F.struct("__s", F.col(old).alias("__o"))).alias("__f"))
+        favourite = favourite.select(*group, new, F.col("__f.__o").alias(old))
+        first = open_.groupBy(*group, old).agg(F.min(new).alias("__first"))
+        settled = reliable(favourite.join(first, [*group, old]).where(F.col(new) == F.col("__first")).select(*group, new, old))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = open_.join(settled.select(*group, new), [*group, new], "left_anti")
+        open_ = reliable(open_.join(settled.select(*group, old), [*group, old], "left_anti"))
+    return candidates.select(*group, new, old).limit(0) if done is None else done
 
 
 def offset_consensus(pairs: DataFrame, tolerance: float) -> DataFrame:
     """One row (dx, dy, inliers): of the pairs' own offsets (sdx, sdy) that with the most pairs
     within tolerance, refined to their mean (two at least; ties to the smaller pair_id). Fewer
-    than three pairs: zero. It is the exhaustive form of drawing one pair at a time."""
-    near = near_pairs(
-        pairs.select("pair_id", "sdx", "sdy"), pairs.select(F.col("pair_id").alias("other"), F.col("sdx").alias("odx"), F.col("sdy").alias("ody")), ("sdx", "sdy"), ("odx", "ody"), tolerance
-    )
-    votes = near.groupBy("pair_id").agg(F.count("*").alias("inliers"), F.avg("odx").alias("mx"), F.avg("ody").alias("my"), F.first("sdx").alias("x"), F.first("sdy").alias("y"))
-    best = votes.agg(F.max_by(F.struct("mx", "my", "x", "y", "inliers"), F.struct("inliers", -F.col("pair_id"))).alias("b"), F.count("*").alias("n"))
+    than three pairs: zero. It is the exhaustive form of drawing one pair at a time.
+
+    Equal offsets are counted first. Squares of half the tolerance hold only offsets within it, so
+    a square votes for its own as a whole, by its sums, and only offsets of squares that the circle
+    may cut are compared one by one."""
+    side = tolerance / 2
+    own = pairs.groupBy("sdx", "sdy").agg(F.count("*").alias("n"), F.min("pair_id").alias("pair_id"))
+    own = own.withColumns({"__x": F.floor(F.col("sdx") / side), "__y": F.floor(F.col("sdy") / side)})
+    steps = [(i, j) for i in range(-3, 4) for j in range(-3, 4)]
+    near = F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(j).alias("__j")) for i, j in steps])
+    asked = own.select("pair_id", "sdx", "sdy", "__x", "__y", F.inline(near))
+    asked = asked.withColumns({"__x": F.col("__x") + F.col("__i"), "__y": F.col("__y") + F.col("__j")})
+    # of a square, the corner farthest from the offset decides whether all of it is within
+    far = lambda v, c: F.greatest(F.abs(F.col(v) - F.col(c) * side), F.abs(F.col(v) - (F.col(c) + 1) * side))
+    short = lambda v, c: F.greatest(F.lit(0.0), F.col(c) * side - F.col(v), F.col(v) - (F.col(c) + 1) * side)
+    square = lambda f: f("sdx", "__x") * f("sdx", "__x") + f("sdy", "__y") * f("sdy", "__y")
+    t2, slack = tolerance * tolerance, 1e-9 * tolerance * tolerance
+    asked = asked.where(square(short) <= t2 + slack).withColumn("__whole", square(far) <= t2 - slack)
+    whole = own.groupBy("__x", "__y").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("sdx")).alias("sx"), F.sum(F.col("n") * F.col("sdy")).alias("sy"))
+    one = own.select("__x", "__y", "n", F.col("sdx").alias("odx"), F.col("sdy").alias("ody"))
+    gx, gy = F.col("sdx") - F.col("odx"), F.col("sdy") - F.col("ody")
+    cut = asked.where("not __whole").join(one, ["__x", "__y"]).where(gx * gx + gy * gy <= t2)
+    votes = asked.where("__whole").join(whole, ["__x", "__y"]).select("pair_id", "sdx", "sdy", "n", "sx", "sy")
+    votes = votes.union(cut.select("pair_id", "sdx", "sdy", "n", F.col("n") * F.col("odx"), F.col("n") * F.col("ody")))
+    votes = votes.groupBy("pair_id", "sdx", "sdy").agg(F.sum("n").alias("inliers"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
+    votes = votes.select("pair_id", F.col("sdx").alias("x"), F.col("sdy").alias("y"), "inliers", (F.col("sx") / F.col("inliers")).alias("mx"), (F.col("sy") / F.col("inliers")).alias("my"))
+    best = votes.agg(F.max_by(F.struct("mx", "my", "x", "y", "inliers"), F.struct("inliers", -F.col("pair_id"))).alias("b"))
+    best = best.crossJoin(pairs.agg(F.count("*").alias("n")))  # two tables of one row
     some = F.col("n") >= 3
     pick = lambda m, x: F.when(some, F.when(F.col("b.inliers") >= 2, F.col(f"b.{m}")).otherwise(F.col(f"b.{x}"))).otherwise(0.0)
     return best.select(pick("mx", "x").alias("dx"), pick("my", "y").alias("dy"), F.when(some, F.col("b.inliers")).otherwise(0).alias("inliers"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spatial import near_pairs
@@ -61,12 +59,19 @@ def augment(pixels: DataFrame, size: int, turn: int = 0, flip_rows: bool = False
     return pixels.withColumns({"row": r, "col": c})
 
 
+def beta_share(key: Column, alpha: float, seed: int = 42, tries: int = 64) -> Column:
+    """A draw from Beta(alpha, alpha) by the seeded hash of a key: of pairs u^(1/alpha), v^(1/alpha) the
+    first whose sum is at most 1, as a share of it (Joehnk's method, for alpha up to 1)."""
+    u = lambda i, k: (F.pmod(F.xxhash64(key, i, F.lit(seed + k)), F.lit(1_000_000)) + 0.5) / 1_000_000
+    draws = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(F.pow(u(i, 0), 1 / alpha).alias("x"), F.pow(u(i, 1), 1 / alpha).alias("y")))
+    hit = F.get(F.filter(draws, lambda d: d["x"] + d["y"] <= 1), F.lit(0))
+    return F.coalesce(hit["x"] / (hit["x"] + hit["y"]), F.lit(0.5))
+
+
 def mixup(pairs: DataFrame, a: list[str], b: list[str], key: str, alpha: float = 0.4, seed: int = 42) -> DataFrame:
-    """Convex mixtures of paired columns, named as a. The share comes from the seeded hash of the
-    key through the arcsine law, which stands in for a symmetric Beta."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    share = F.pow(F.sin(u * math.pi / 2), 2) if alpha < 1 else u
-    out = pairs.withColumn("share", share)
+    """Convex mixtures of paired columns, named as a; the share of a pair is its seeded draw from
+    Beta(alpha, alpha)."""
+    out = pairs.withColumn("share", beta_share(F.col(key), alpha, seed))
     return out.withColumns({x: F.col("share") * F.col(x) + (1 - F.col("share")) * F.col(y) for x, y in zip(a, b)})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,13 @@ def tile_grid_for(spark: SparkSession, height: int, width: int, size: int, overl
     return tile_grid(spark.range(1).select(F.lit(height).alias("height"), F.lit(width).alias("width")), size, overlap, distinct).drop("height", "width")
 
 
+def number_kept(tiles: DataFrame, scene: list[str]) -> DataFrame:
+    """tiles renumbered from 0, row by row, within each scene: after tiles have been left out, ids
+    have no gaps. A window holds one scene's tiles."""
+    order = F.row_number().over(Window.partitionBy(*scene).orderBy("row_start", "col_start"))
+    return tiles.withColumn("tile_no", order - 1)
+
+
 def tile_ids(tiles: DataFrame, prefix: str, digits: int = 5) -> DataFrame:
     """Tile ids by their number."""
     return tiles.withColumn("tile_id", F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("tile_no").cast("string"), digits, "0")))

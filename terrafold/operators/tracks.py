@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +47,41 @@ def pairwise_slope(observations: DataFrame, track: str, day: str, area: str, tol
     squares. The exhaustive form of drawing two observations at a time. One row a track with two
     observations on different days."""
     o = observations.select(track, F.col(day).cast("double").alias("d"), F.col(area).cast("double").alias("y"))
-    o = o.withColumn("i", F.row_number().over(Window.partitionBy(track).orderBy("d", "y")))
-    a, b, c = (o.withColumnsRenamed({"d": f"d{k}", "y": f"y{k}", "i": f"i{k}"}) for k in "abc")
-    lines = a.join(b, track).where("ia < ib and da <> db").withColumn("m", F.try_divide(F.col("yb") - F.col("ya"), F.col("db") - F.col("da")))
-    residual = F.abs(F.col("yc") - F.col("ya") - F.col("m") * (F.col("dc") - F.col("da")))
-    fit = lines.join(c, track).where(residual < tolerance).groupBy(track, "ia", "ib", "m").agg(
-        F.count("*").alias("n"), F.sum("dc").alias("sx"), F.sum("yc").alias("sy"), F.sum(F.col("dc") * F.col("yc")).alias("sxy"), F.sum(F.col("dc") * F.col("dc")).alias("sxx")
-    )
-    spread = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    fit = fit.withColumn("slope", F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.when(spread > 0, spread)).otherwise(F.col("m")))
-    best = F.row_number().over(Window.partitionBy(track).orderBy(F.desc("n"), "ia", "ib"))
-    return fit.withColumn("k", best).where("k = 1").select(track, "slope", F.col("n").alias("inliers"))
+    o = o.groupBy(track).agg(F.array_sort(F.collect_list(F.struct("d", "y"))).alias("o"))
+    kind = observations.schema[track].dataType.simpleString()
+
+    def fit(batches):
+        for batch in batches:
+            found = []
+            for i, points in enumerate(batch.column(1).to_pylist()):
+                if (best := best_line(np.array([p["d"] for p in points]), np.array([p["y"] for p in points]), tolerance)) is not None:
+                    found.append((i, *best))
+            at, slope, n = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(slope, pa.float64()), pa.array(n, pa.int64())], [track, "slope", "inliers"])
+
+    return o.mapInArrow(fit, f"{track} {kind}, slope double, inliers bigint")
+
+
+def best_line(d: np.ndarray, y: np.ndarray, tolerance: float, at_once: int = 1 << 22) -> tuple[float, int] | None:
+    """(slope, inliers) of points in order; None without two days. Lines are tested in blocks of at
+    most at_once residuals, so memory does not grow with the pairs."""
+    a, b = np.triu_indices(len(d), 1)
+    apart = d[a] != d[b]
+    a, b = a[apart], b[apart]
+    if not len(a):
+        return None
+    slopes = (y[b] - y[a]) / (d[b] - d[a])
+    counts = np.empty(len(a), np.int64)
+    step = max(1, at_once // len(d))
+    for k in range(0, len(a), step):
+        part = slice(k, k + step)
+        counts[part] = (np.abs(y[None] - y[a[part], None] - slopes[part, None] * (d[None] - d[a[part], None])) < tolerance).sum(1)
+    k = int(np.argmax(counts))
+    near = np.abs(y - y[a[k]] - slopes[k] * (d - d[a[k]])) < tolerance
+    x, v = d[near], y[near]
+    n = len(x)
+    spread = n * (x * x).sum() - x.sum() ** 2
+    return float((n * (x * v).sum() - x.sum() * v.sum()) / spread if spread > 0 else slopes[k]), n
 
 
 def ransac_slope(days: Iterable[float], areas: Iterable[float], rounds: int = 200, tolerance: float = 0.5, seed: int = 42) -> float:
@@ -122,15 +147,30 @@ def track_score(distance: Column, iou: Column, most: float) -> Column:
     return 0.7 * iou + 0.3 * (1 - distance / most)
 
 
-def assign_tracks(epochs: list[DataFrame], most: float = 150.0, least_iou: float = 0.1, certain: float = 50.0) -> DataFrame:
+def _cell_overlap(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """pairs(site_id, t_site_id, ..) plus iou, by the cells that both have."""
+    shape = cells.select("site_id", "row", "col").distinct()
+    sizes = shape.groupBy("site_id").agg(F.count("*").alias("n"))
+    wanted = pairs.select("site_id", "t_site_id").distinct()
+    mine = wanted.join(shape, "site_id")
+    theirs = shape.select(F.col("site_id").alias("t_site_id"), "row", "col")
+    both = mine.join(theirs, ["t_site_id", "row", "col"]).groupBy("site_id", "t_site_id").agg(F.count("*").alias("inter"))
+    rows = pairs.join(both, ["site_id", "t_site_id"], "left").join(sizes, "site_id", "left")
+    rows = rows.join(sizes.select(F.col("site_id").alias("t_site_id"), F.col("n").alias("t_n")), "t_site_id", "left")
+    inter = F.coalesce("inter", F.lit(0))
+    return rows.withColumn("iou", F.coalesce(F.try_divide(inter, F.col("n") + F.col("t_n") - inter), F.lit(0.0))).drop("inter", "n", "t_n")
+
+
+def assign_tracks(epochs: list[DataFrame], most: float = 150.0, least_iou: float = 0.1, certain: float = 50.0, cells: DataFrame | None = None) -> DataFrame:
     """(track_id, epoch, site_id) over epochs of boxes(site_id, cx, cy, x1, y1, x2, y2), in order.
 
     Each site takes the best live track within most metres whose latest box overlaps by
     least_iou or whose centre is nearer than certain; others begin new tracks, numbered in order
-    of epoch and site. The loop is over epochs, which are few; within one, candidates come from a
-    range join and are matched one to one."""
+    of epoch and site. cells(site_id, row, col) give the sites' own shapes, whose overlap then counts
+    in place of their boxes'. The loop is over epochs, which are few; within one, candidates come
+    from a range join and are matched one to one."""
     from ..functions.geometry import box_iou
-    from .components import reliable
+    from .components import rank_rows, reliable
 
     live, out, count = None, None, 0
     box = ("x1", "y1", "x2", "y2")
@@ -139,17 +179,19 @@ def assign_tracks(epochs: list[DataFrame], most: float = 150.0, least_iou: float
         if live is None:
             matched = sites.select("site_id", F.lit(None).cast("long").alias("track_no"))
         else:
-            old = live.withColumnsRenamed({c: f"t_{c}" for c in ("cx", "cy", *box)})
+            old = live.withColumnsRenamed({c: f"t_{c}" for c in ("site_id", "cx", "cy", *box)})
             iou = box_iou(tuple(F.col(c) for c in box), tuple(F.col(f"t_{c}") for c in box))
             pairs = near_pairs(sites, old, ("cx", "cy"), ("t_cx", "t_cy"), most).withColumn("iou", iou)
+            if cells is not None:
+                pairs = _cell_overlap(pairs.drop("iou"), cells)
             pairs = pairs.where((F.col("iou") >= least_iou) | (F.col("distance") < certain)).withColumn("score", track_score(F.col("distance"), F.col("iou"), most))
             found = greedy_match(pairs.withColumn("epoch", F.lit(e)), ["epoch"], "site_id", "track_no", "score").select("site_id", "track_no")
             matched = sites.select("site_id").join(found, "site_id", "left")
-        fresh = matched.where("track_no is null").select("site_id").withColumn("track_no", F.row_number().over(Window.orderBy("site_id")).cast("long") + count)
+        fresh = rank_rows(matched.where("track_no is null").select("site_id"), "track_no", "site_id").withColumn("track_no", F.col("track_no") + 1 + count)
         now = reliable(matched.where("track_no is not null").union(fresh).join(sites, "site_id"))
         count = max(count, now.agg(F.max("track_no")).head()[0] or 0)
         seen = now.select("track_no", F.lit(e).alias("epoch"), "site_id")
         out = seen if out is None else out.union(seen)
-        latest = now.drop("site_id")
+        latest = now
         live = latest if live is None else reliable(latest.unionByName(live.join(latest.select("track_no"), "track_no", "left_anti")))
     return out.select(F.format_string("TRACK_%04d", "track_no").alias("track_id"), "epoch", "site_id")

@@ -70,6 +70,23 @@ SITES_SQL = """site AS (
     p_partkey % 4 AS equipment_count, (p_partkey % 97) / 97.0::DOUBLE AS confidence, (p_partkey % 89) / 89.0::DOUBLE AS water_proximity FROM part)"""
 
 
+def site_squares(spark, sf_dir, pixel: float = 10.0) -> DataFrame:
+    """Outlines of the sites: squares in the shape of an L, one row of 1 to 7 and one column of 1 to
+    4, from the square that holds the site's point."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("site"), "p_size")
+    at = sites(spark, sf_dir).select("site", F.floor(F.col("y") / pixel).alias("r"), F.floor(F.col("x") / pixel).alias("c")).join(p, "site")
+    wide, tall = F.sequence(F.lit(0), (F.col("p_size") % 7).cast("int")), F.sequence(F.lit(0), (F.col("p_size") % 4).cast("int"))
+    steps = F.concat(F.transform(wide, lambda i: F.struct(F.lit(0).alias("i"), i.alias("j"))), F.transform(tall, lambda i: F.struct(i.alias("i"), F.lit(0).alias("j"))))
+    return at.select("site", "r", "c", F.inline(F.array_distinct(steps))).select("site", (F.col("r") + F.col("i")).alias("row"), (F.col("c") + F.col("j")).alias("col"))
+
+
+def squares_sql(pixel: int = 10) -> str:
+    """The two bars of each L as boxes."""
+    x, y = f"floor(x / {pixel}) * {pixel}", f"floor(y / {pixel}) * {pixel}"
+    return f"""bar AS (SELECT site, {x} AS bx1, {y} AS by1, {x} + {pixel} * (1 + p_size % 7) AS bx2, {y} + {pixel} AS by2 FROM site JOIN part ON p_partkey = site
+  UNION ALL SELECT site, {x}, {y}, {x} + {pixel}, {y} + {pixel} * (1 + p_size % 4) FROM site JOIN part ON p_partkey = site)"""
+
+
 def machines(spark, sf_dir) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     names = ("excavator", "truck", "water_pump", "settling_pond", "pit")

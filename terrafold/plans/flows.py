@@ -46,13 +46,36 @@ def filter_band(px: DataFrame, keys: tuple[str, ...], value: str, kernel: Callab
     return filter_bands(px, keys, value, {value: kernel}, chunk, halo)
 
 
+def lee_filter(px: DataFrame, keys: tuple[str, ...], value: str, chunk: int = 256, size: int = 5) -> DataFrame:
+    """Speckle filter by chunks, against the variance of the whole image of each key: the chunks give
+    local means, and the images' variances come from an aggregate that is joined."""
+    own = px.groupBy(*keys).agg(F.var_pop(value).alias("__all")) if keys else px.agg(F.var_pop(value).alias("__all"))
+    kernels = {"__x": lambda x: x, "__mean": lambda x: grids.local_mean(x, size), "__square": lambda x: grids.local_square(x, size)}
+    rows = filter_bands(px, keys, value, kernels, chunk, size // 2)
+    rows = rows.join(own, list(keys)) if keys else rows.crossJoin(F.broadcast(own))  # one row
+    var = F.greatest(F.lit(0.0), F.col("__square") - F.col("__mean") * F.col("__mean"))
+    lee = F.col("__mean") + var / (var + F.col("__all") / 4 + 1e-10) * (F.col("__x") - F.col("__mean"))
+    return rows.select(*keys, "row", "col", lee.alias(value))
+
+
+def edges(px: DataFrame, keys: tuple[str, ...], value: str, chunk: int = 256, low: float = 50, high: float = 150) -> DataFrame:
+    """(keys.., row, col, edge 0 or 1) of a grey image in 0-255: thinned gradients by chunks; weak ones
+    count where their eight-connected region, in whatever chunks, holds a strong one."""
+    scene = F.concat_ws("|", F.lit("s"), *keys)
+    level = reliable(filter_band(px, keys, value, lambda x: grids.canny_levels(x, low, high), chunk, 2).withColumn("__s", scene))
+    found = components.chunk_labels(level.where(f"`{value}` > 0"), "__s", chunk, connect=8)
+    strong = found.groupBy("__s", "label").agg(F.max(value).alias("__top")).where("__top = 2").select("__s", "label")
+    kept = found.join(strong, ["__s", "label"], "left_semi").select("__s", "row", "col", F.lit(1.0).alias("edge"))
+    return level.join(kept, ["__s", "row", "col"], "left").select(*keys, "row", "col", F.coalesce("edge", F.lit(0.0)).alias("edge"))
+
+
 def radar_composite(scenes: DataFrame, bands: tuple[str, ...] = ("vv", "vh")) -> DataFrame:
     """Backscatter in dB, speckle filtered by scene, stretched, median over dates."""
     top = scenes.agg(*[F.max(b).alias(f"__top_{b}") for b in bands])
     rows = scenes.crossJoin(F.broadcast(top)).withColumns({b: B.sigma0_db(F.col(b), F.col(f"__top_{b}")) for b in bands})
     out = None
     for b in bands:
-        part = filter_band(rows.select("scene", "date", "row", "col", b), ("scene", "date"), b, grids.refined_lee)
+        part = lee_filter(rows.select("scene", "date", "row", "col", b), ("scene", "date"), b)
         out = part if out is None else out.join(part, ["scene", "date", "row", "col"])
     out = reliable(out)
     return pixels.composite(pixels.stretch(out, list(bands)), ["row", "col"], list(bands))
@@ -68,7 +91,7 @@ def drone_mask(image: DataFrame, factor: int, block: int = 50, least_pixels: int
     small regions before the coarse grid takes blocks of which at least 0.3 is set."""
     grey = image.select("row", "col", B.grey(F.col("red"), F.col("green"), F.col("blue"), B.GREY_MASKS).alias("v"))
     entropy = filter_band(grey, (), "v", lambda x: grids.local_entropy(x, 5, eps=1e-12)).withColumnRenamed("v", "entropy")
-    edge = filter_band(grey, (), "v", lambda x: grids.canny(x * 255), halo=8).withColumnRenamed("v", "edge")
+    edge = edges(grey.withColumn("v", F.col("v") * 255), (), "v")
     dense = pixels.block_mean(edge, block, "edge").drop("edge")
     rows = image.join(entropy, ["row", "col"]).join(dense, ["row", "col"])
     vote = B.mining_vote(B.bare_soil(F.col("red"), F.col("green"), F.col("blue")), F.col("entropy"), F.col("density")).cast("double")
@@ -103,17 +126,56 @@ def mosaic_predictions(tile_scores: DataFrame, size: int, floor: float = 1e-6) -
     return tiles.mosaic(rows, ["row", "col"])
 
 
-def detect_sites(prob: DataFrame, pixel_m: float, water: DataFrame | None = None, equipment: DataFrame | None = None, threshold: float = 0.5, least_area: float = 50.0, prefix: str = "SAT") -> DataFrame:
-    """Ranked sites of each date from prob(date, row, col, p): threshold, opening 3x3, closing 5x5,
-    regions, mean probability, water proximity, activity by the equipment boxes (x1, y1, x2, y2, in
-    metres) within a site's box, score, rank, tier and id."""
+def drone_features(image: DataFrame, block: int = 50) -> DataFrame:
+    """Features of a drone image (row, col, red, green, blue in 0-1): the bands, grey, hue, saturation
+    and value, texture entropy, edges and their density in blocks, and bare ground."""
+    rgb = [F.col(c) for c in ("red", "green", "blue")]
+    rows = reliable(image.select("row", "col", "red", "green", "blue", B.grey(*rgb).alias("grey"), *[c.alias(n) for c, n in zip(B.hsv(*rgb), ("hue", "saturation", "value"))], B.bare_soil(*rgb).cast("int").alias("bare")))
+    grey = rows.select("row", "col", F.col("grey").alias("v"))
+    entropy = filter_band(grey, (), "v", lambda x: grids.local_entropy(x, 5)).withColumnRenamed("v", "entropy")
+    dense = pixels.block_mean(edges(grey.withColumn("v", F.col("v") * 255), (), "v"), block, "edge", name="edge_density")
+    return rows.join(entropy, ["row", "col"]).join(dense, ["row", "col"])
+
+
+def spectral_pseudo_label(optical: DataFrame, size: int = 3, chunk: int = 256) -> DataFrame:
+    """(row, col, mask) of bare and bright pixels, closed and then opened: a stand-in for labels. Without
+    a near-infrared column the index is taken of green against red."""
+    nir = F.col("nir") if "nir" in optical.columns else F.col("green")
+    index, bright = B.ndvi(nir, F.col("red")), B.brightness(F.col("blue"), F.col("green"), F.col("red"))
+    on = optical.select("row", "col", F.coalesce(B.spectral_mine(index, bright), F.lit(False)).cast("double").alias("v"))
+    clean = filter_band(on, (), "v", lambda x: grids.opening(grids.closing(x, size), size), chunk, 4 * (size // 2))
+    return clean.select("row", "col", F.col("v").cast("int").alias("mask"))
+
+
+def site_cells(prob: DataFrame, threshold: float = 0.5, chunk: int = 256) -> DataFrame:
+    """(date, row, col, label) of the regions of prob(date, row, col, p): threshold, opening 3x3,
+    closing 5x5, four-connected regions."""
     binary = prob.select("date", "row", "col", (F.coalesce("p", F.lit(0.0)) >= threshold).cast("double").alias("v"))
-    mask = filter_band(binary, ("date",), "v", lambda x: grids.closing(grids.opening(x, 3), 5), halo=6)
-    cells = reliable(components.chunk_labels(mask.where("v > 0"), "date", 256))
+    mask = filter_band(binary, ("date",), "v", lambda x: grids.closing(grids.opening(x, 3), 5), chunk, 6)
+    return components.chunk_labels(mask.where("v > 0").select("date", "row", "col"), "date", chunk)
+
+
+def detect_sites(
+    prob: DataFrame, pixel_m: float, water: DataFrame | None = None, equipment: DataFrame | None = None, threshold: float = 0.5, least_area: float = 50.0, prefix: str = "SAT",
+    weights: dict[str, float] | None = None,
+) -> DataFrame:
+    """Ranked sites of each date from prob(date, row, col, p): regions, mean probability, water
+    proximity, activity by the equipment boxes (x1, y1, x2, y2, in metres) within a site's outline,
+    score, rank, tier and id."""
+    return sites_and_cells(prob, pixel_m, water, equipment, threshold, least_area, prefix, weights)[0]
+
+
+def sites_and_cells(
+    prob: DataFrame, pixel_m: float, water: DataFrame | None = None, equipment: DataFrame | None = None, threshold: float = 0.5, least_area: float = 50.0, prefix: str = "SAT",
+    weights: dict[str, float] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """detect_sites, and (site_id, row, col) of the squares that make up each site."""
+    cells = reliable(site_cells(prob, threshold))
     sites = components.regions(cells.join(prob, ["date", "row", "col"], "left"), "date", pixel_m * pixel_m, "p", least_area)
     sites = sites.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     number = F.dense_rank().over(Window.partitionBy("date").orderBy("label")) - 1
     sites = reliable(sites.withColumn("site_id", S.site_id(prefix, F.col("date"), number.cast("int"))))
+    own = reliable(cells.join(sites.select("date", "label", "site_id"), ["date", "label"]).select("site_id", "row", "col"))
     if water is not None:
         at = sites.select("site_id", F.round("row_mean").cast("int").alias("row"), F.round("col_mean").cast("int").alias("col"))
         near = components.water_proximity(at.select("row", "col").distinct(), water.select("row", "col"), [], pixel_m)
@@ -123,37 +185,44 @@ def detect_sites(prob: DataFrame, pixel_m: float, water: DataFrame | None = None
     box = {"sx1": "col_min", "sy1": "row_min", "sx2": "col_max", "sy2": "row_max"}
     boxed = sites.withColumns({k: (F.col(v) + (1 if k.endswith("2") else 0)) * pixel_m for k, v in box.items()})
     if equipment is not None:
-        n = spatial.boxes_within(boxed.select("site_id", *box), equipment, "site_id", max(1000.0, 20 * pixel_m))
+        n = spatial.boxes_within_cells(boxed.select("site_id"), own, equipment, "site_id", pixel_m)
         boxed = boxed.join(n.withColumnRenamed("n", "equipment_count"), "site_id").withColumn("activity", S.activity_from_count(F.col("equipment_count"), F.col("confidence")))
     else:
         boxed = boxed.withColumns({"equipment_count": F.lit(0).cast("long"), "activity": S.activity_from_count(F.lit(None).cast("long"), F.col("confidence"))})
-    ranked = S.priority(boxed, "date", "site_id")
+    ranked = S.priority(boxed, "date", "site_id", weights=weights)
     centre = {"cx": (F.col("col_mean") + 0.5) * pixel_m, "cy": (F.col("row_mean") + 0.5) * pixel_m}
-    return ranked.withColumns({"area_ha": S.hectares(F.col("area_m2")), "confidence_tier": S.tier(F.col("confidence")), **centre})
+    return ranked.withColumns({"area_ha": S.hectares(F.col("area_m2")), "confidence_tier": S.tier(F.col("confidence")), **centre}), own
 
 
-def fuse(sites: DataFrame, detections: DataFrame, radius: float = 30.0, pair_m: float = 100.0, tolerance: float = 20.0) -> DataFrame:
+def fuse(
+    sites: DataFrame, detections: DataFrame, radius: float = 30.0, pair_m: float = 100.0, tolerance: float = 20.0, cells: DataFrame | None = None, pixel_m: float = 10.0,
+    weights: dict[str, float] | None = None,
+) -> DataFrame:
     """Sites with the detections (x, y, class_name) of the drone near them, which are first moved
-    by the offset that most control pairs agree on; then fused activity, confidence and rank."""
-    d = detections.withColumn("__d", F.monotonically_increasing_id())
-    d = reliable(d)
+    by the offset that most control pairs agree on; then fused activity, confidence and rank. With
+    cells(site_id, row, col) the radius counts from a site's outline, else from its centre."""
+    d = reliable(components.rank_rows(detections.select("x", "y", "class_name"), "__d", "x", "y", "class_name"))
     pairs = spatial.nearest(d.select("__d", "x", "y"), sites.select("site_id", "cx", "cy"), "__d", "site_id", ("x", "y"), ("cx", "cy"), pair_m)
     offset = spatial.offset_consensus(pairs.select(F.col("__d").alias("pair_id"), (F.col("cx") - F.col("x")).alias("sdx"), (F.col("cy") - F.col("y")).alias("sdy")), tolerance)
     moved = d.crossJoin(F.broadcast(offset)).select("class_name", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))  # one row of offset
     own = sites.drop("priority_score", "priority_rank")
-    near = spatial.equipment_near(own, moved, "site_id", ("cx", "cy"), ("x", "y"), radius)
+    if cells is None:
+        near = spatial.equipment_near(own, moved, "site_id", ("cx", "cy"), ("x", "y"), radius)
+    else:
+        near = spatial.equipment_near_cells(own, cells, moved, "site_id", ("x", "y"), pixel_m, radius)
     a, i, t, c = (F.col(n) for n in ("active_equipment_count", "infrastructure_count", "equipment_total", "confidence"))
     near = near.withColumns({"activity_fused": S.activity_fused(a, i, c), "confidence_fused": S.confidence_fused(c, t, a)})
-    ranked = S.priority(near, "date", "site_id", equipment="active_equipment_count", confidence="confidence_fused", activity="activity_fused", scores=S.ACTIVITY_FUSED)
+    ranked = S.priority(near, "date", "site_id", equipment="active_equipment_count", confidence="confidence_fused", activity="activity_fused", scores=S.ACTIVITY_FUSED, weights=weights)
     return ranked.withColumnsRenamed({"priority_score": "priority_score_fused", "priority_rank": "priority_rank_fused"})
 
 
-def change_report(sites: DataFrame, compat: bool = False) -> DataFrame:
+def change_report(sites: DataFrame, compat: bool = False, cells: DataFrame | None = None) -> DataFrame:
     """Tracks over the dates of sites(site_id, date yyyymmdd, cx, cy, sx1.., area_ha, ..): first and
-    last date, areas, growth in hectares a month, status."""
+    last date, areas, growth in hectares a month, status. Shapes are those of cells(site_id, row,
+    col), or the sites' boxes."""
     dates = [r[0] for r in sites.select("date").distinct().orderBy("date").collect()]  # one an epoch
     rows = sites.withColumns({"x1": F.col("sx1"), "y1": F.col("sy1"), "x2": F.col("sx2"), "y2": F.col("sy2")})
-    assigned = tracks.assign_tracks([rows.where(F.col("date") == d) for d in dates]).select("track_id", "site_id")
+    assigned = tracks.assign_tracks([rows.where(F.col("date") == d) for d in dates], cells=cells).select("track_id", "site_id")
     o = rows.join(assigned, "site_id").withColumn("day", F.datediff(F.to_date("date", "yyyyMMdd"), F.lit("2000-01-01").cast("date")))
     get = lambda *names: F.coalesce(*[F.col(n) for n in names if n in rows.columns])
     o = reliable(o.select("track_id", "date", "day", "area_ha", get("confidence_fused", "confidence").alias("confidence"), get("activity_fused", "activity").alias("activity"), get("equipment_total", "equipment_count").alias("equipment")))

@@ -102,14 +102,14 @@ def temporal_stats(spark, sf_dir):
     return f.select("user_id", "n", *[F.round(c, 6).alias(c) for c in f.columns[2:]])
 
 
-@query("bare_soil", f"""WITH {A.BANDS_SQL}, q AS (SELECT *, floor(red * 255) AS r, floor(green * 255) AS g, floor(blue * 255) AS b FROM bands WHERE red IS NOT NULL),
+@query("bare_soil", f"""WITH {A.BANDS_SQL}, q AS (SELECT *, floor(red * 255) AS r, floor(green * 255) AS g, floor(blue * 255) AS b FROM bands),
 h AS (SELECT *, greatest(r, g, b) AS t, least(r, g, b) AS l FROM q),
 k AS (SELECT *, CASE WHEN t = l THEN 0 WHEN t = r THEN 60 * (g - b) / (t - l) WHEN t = g THEN 120 + 60 * (b - r) / (t - l) ELSE 240 + 60 * (r - g) / (t - l) END AS h0 FROM h),
 m AS (SELECT *, CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END AS hue, CASE WHEN t = 0 THEN 0 ELSE (t - l) / t END AS sat, t / 255 AS val FROM k)
-SELECT l_orderkey, l_linenumber, (((red > 100.0 / 255 AND green > 80.0 / 255 AND red / (green + 1e-8) BETWEEN 0.8 AND 1.5) OR (hue BETWEEN 20 AND 60 AND sat < 0.55 AND val > 0.25 AND val < 0.9) OR {_nd('nir', 'red')} < 0.2))::INTEGER AS bare FROM m""")
+SELECT l_orderkey, l_linenumber, CASE WHEN red IS NOT NULL THEN (((red > 100.0 / 255 AND green > 80.0 / 255 AND red / (green + 1e-8) BETWEEN 0.8 AND 1.5) OR (hue BETWEEN 20 AND 60 AND sat < 0.55 AND val > 0.25 AND val < 0.9) OR {_nd('nir', 'red')} < 0.2))::INTEGER END::DOUBLE AS bare FROM m""")
 def bare_soil(spark, sf_dir):
-    b = A.bands(spark, sf_dir).where("red is not null")
-    return b.select("l_orderkey", "l_linenumber", B.bare_soil(F.col("red"), F.col("green"), F.col("blue"), F.col("nir")).cast("int").alias("bare"))
+    bare = F.when(F.col("red").isNotNull(), B.bare_soil(F.col("red"), F.col("green"), F.col("blue"), F.col("nir")).cast("int")).cast("double")
+    return A.bands(spark, sf_dir).select("l_orderkey", "l_linenumber", bare.alias("bare"))
 
 
 @query("mining_vote", f"""WITH {A.BANDS_SQL} SELECT l_orderkey, l_linenumber, (((blue > 0.5)::INTEGER + (green * 4 > 2)::INTEGER + (nir > 0.3)::INTEGER) >= 2)::INTEGER AS mining FROM bands""")
@@ -198,11 +198,38 @@ def morph_open_close(spark, sf_dir):
     return _unpacked(out, "mask").withColumn("mask", F.col("mask").cast("int"))
 
 
-@query("edge_density", None)
+_CLAMP = "least(7, greatest(0, {0}))"
+_T = "0.41421356237309503"
+
+
+@query("edge_density", f"""WITH RECURSIVE {A.PIXELS_SQL}, off AS (SELECT a.i AS di, b.i AS dj FROM generate_series(-1, 1) a(i), generate_series(-1, 1) b(i)),
+g AS (SELECT p.vec_id, p.row, p.col, sum(dj * (2 - abs(di)) * (q.v + 0.5) * 255) AS gx, sum(di * (2 - abs(dj)) * (q.v + 0.5) * 255) AS gy
+  FROM px p, off JOIN px q ON q.vec_id = p.vec_id AND q.row = {_CLAMP.format('p.row + di')} AND q.col = {_CLAMP.format('p.col + dj')} GROUP BY ALL),
+m AS (SELECT *, abs(gx) + abs(gy) AS m FROM g),
+d AS (SELECT *, CASE WHEN abs(gy) <= {_T} * abs(gx) THEN 0 WHEN abs(gx) <= {_T} * abs(gy) THEN 1 ELSE 1 END AS dr,
+  CASE WHEN abs(gy) <= {_T} * abs(gx) THEN 1 WHEN abs(gx) <= {_T} * abs(gy) THEN 0 WHEN gx * gy >= 0 THEN 1 ELSE -1 END AS dc FROM m),
+t AS (SELECT d.vec_id, d.row, d.col, d.m, d.m > coalesce(a.m, 0) AND d.m >= coalesce(b.m, 0) AS thin FROM d
+  LEFT JOIN m a ON a.vec_id = d.vec_id AND a.row = d.row - dr AND a.col = d.col - dc LEFT JOIN m b ON b.vec_id = d.vec_id AND b.row = d.row + dr AND b.col = d.col + dc),
+w AS (SELECT vec_id, row, col, m > 150 AS strong FROM t WHERE thin AND m > 50),
+e AS (SELECT vec_id, row, col FROM w WHERE strong
+  UNION SELECT w.vec_id, w.row, w.col FROM e JOIN w ON w.vec_id = e.vec_id AND abs(w.row - e.row) <= 1 AND abs(w.col - e.col) <= 1),
+x AS (SELECT px.vec_id, px.row, px.col, (e.row IS NOT NULL)::INTEGER::DOUBLE AS edge FROM px LEFT JOIN e USING (vec_id, row, col))
+SELECT *, avg(edge) OVER (PARTITION BY vec_id, row // 4, col // 4) AS density FROM x""")
 def edge_density(spark, sf_dir):
-    """Canny edges and their share in 4x4 blocks; it has no counterpart in SQL."""
-    out = grids.map_chunks(A.patches(spark, sf_dir), {"edge": lambda x: grids.canny((x + 0.5) * 255)})
-    return pixels.block_mean(_unpacked(out, "edge"), 4, "edge", ("vec_id",))
+    """Canny edges, by chunks smaller than the images, and their share in 4x4 blocks."""
+    from .flows import edges
+
+    px = A.patch_pixels(spark, sf_dir).withColumn("v", (F.col("v") + 0.5) * 255)
+    return pixels.block_mean(edges(px, ("vec_id",), "v", 4), 4, "edge", ("vec_id",))
+
+
+@query("focal_lee_chunked", f"""WITH {A.PIXELS_SQL}, {_window_sql(_REFLECT)}, s AS (SELECT vec_id, row, col, v, avg(u) AS m, greatest(0, avg(u * u) - avg(u) * avg(u)) AS w FROM n GROUP BY ALL), g AS (SELECT vec_id, var_pop(v) / 4 AS noise FROM px GROUP BY 1)
+SELECT vec_id, row, col, round(m + w / (w + noise + 1e-10) * (v - m), 6) AS lee FROM s JOIN g USING (vec_id)""")
+def focal_lee_chunked(spark, sf_dir):
+    """The same filter by chunks of a quarter of the image, against the whole image's variance."""
+    from .flows import lee_filter
+
+    return lee_filter(A.patch_pixels(spark, sf_dir), ("vec_id",), "v", 4).select("vec_id", "row", "col", F.round("v", 6).alias("lee"))
 
 
 _FLOOD = """set_px AS (SELECT vec_id, row, col, v, row * 2147483648 + col AS k FROM px WHERE v >= 0.05),
@@ -221,8 +248,8 @@ def components_rank(spark, sf_dir):
     """Threshold, regions, zonal confidence, tier, score and rank: the flagship."""
     from ..functions.scoring import activity_from_count, priority
 
-    set_px = A.patch_pixels(spark, sf_dir).where("v >= 0.05")
-    cells = components.chunk_labels(set_px, "vec_id").join(set_px.withColumn("v", F.col("v") * 2), ["vec_id", "row", "col"])
+    set_px = A.patch_pixels(spark, sf_dir).where("v >= 0.05").withColumn("v", F.col("v") * 2)
+    cells = components.chunk_labels(set_px, "vec_id")
     r = components.regions(cells, "vec_id", 100.0, "v", 200.0)
     r = r.withColumns({"equipment_count": F.lit(0), "activity": activity_from_count(F.lit(None), F.col("confidence")), "water_proximity": F.lit(None).cast("double")})
     r = priority(r, "vec_id", "label")
@@ -235,6 +262,27 @@ def components_chunked(spark, sf_dir):
     return cells.groupBy("vec_id", "label").agg(F.count("*").alias("n"))
 
 
+_VERTEX = """win AS (SELECT vec_id, label, vr, vc, count(*) AS n, count(*) FILTER (WHERE (vr - row + vc - col) % 2 = 0) AS even
+  FROM (SELECT vec_id, label, k // 2147483648 AS row, k % 2147483648 AS col, k // 2147483648 + i AS vr, k % 2147483648 + j AS vc FROM label, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) GROUP BY ALL)"""
+
+
+@query("site_outlines", f"""WITH RECURSIVE {A.PIXELS_SQL}, {_FLOOD}, {_VERTEX},
+c AS (SELECT vec_id, label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND even IN (0, 2) THEN 2 ELSE 0 END) AS corners,
+  (sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND even IN (0, 2) THEN 2 ELSE 0 END) // 4) AS euler FROM win GROUP BY ALL),
+s AS (SELECT a.vec_id, a.label, count(*) AS cells FROM label a GROUP BY ALL)
+SELECT vec_id, label, (2 - euler)::BIGINT AS rings, corners::BIGINT AS corners, round(cells * 100.0, 6) AS area_m2 FROM c JOIN s USING (vec_id, label)""")
+def site_outlines(spark, sf_dir):
+    """Regions as polygons with holes: their rings, corners, and area by the shoelace rule."""
+    from ..functions.geometry import ring_area
+
+    cells = components.chunk_labels(A.patch_pixels(spark, sf_dir).where("v >= 0.05").drop("v"), "vec_id")
+    p = components.rings(cells, ["vec_id", "label"], (10.0, 0.0, 5000.0, 0.0, -10.0, 9000.0))
+    areas = F.transform("rings", ring_area)
+    corners = F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r) - 1)
+    holes = F.aggregate(F.slice(areas, 2, F.size("rings")), F.lit(0.0), lambda s, a: s + a)
+    return p.select("vec_id", "label", F.size("rings").cast("long").alias("rings"), corners.cast("long").alias("corners"), F.round(areas[0] - holes, 6).alias("area_m2"))
+
+
 @query("zonal_confidence", f"""WITH {A.PIXELS_SQL}, z AS (SELECT vec_id, ((row // 3) * 3 + col // 3)::BIGINT AS zone, row, col FROM px)
 SELECT vec_id, zone, round(avg(v), 6) AS confidence FROM z JOIN px USING (vec_id, row, col) GROUP BY ALL""")
 def zonal_confidence(spark, sf_dir):
@@ -293,13 +341,12 @@ def feature_stack_fill(spark, sf_dir):
     return b.select("l_orderkey", "l_linenumber", F.round(B.finite_features(F.col("red")), 6).alias("red"), F.round(B.finite_features(nir), 6).alias("nir"))
 
 
-@query("hue_saturation", f"""WITH {A.BANDS_SQL}, q AS (SELECT l_orderkey, l_linenumber, floor(red * 255) AS r, floor(green * 255) AS g, floor(blue * 255) AS b FROM bands WHERE red IS NOT NULL), h AS (SELECT *, greatest(r, g, b) AS t, least(r, g, b) AS l FROM q),
+@query("hue_saturation", f"""WITH {A.BANDS_SQL}, q AS (SELECT l_orderkey, l_linenumber, floor(red * 255) AS r, floor(green * 255) AS g, floor(blue * 255) AS b FROM bands), h AS (SELECT *, greatest(r, g, b) AS t, least(r, g, b) AS l FROM q),
 k AS (SELECT *, CASE WHEN t = l THEN 0 WHEN t = r THEN 60 * (g - b) / (t - l) WHEN t = g THEN 120 + 60 * (b - r) / (t - l) ELSE 240 + 60 * (r - g) / (t - l) END AS h0 FROM h)
-SELECT l_orderkey, l_linenumber, round(CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END, 5) AS hue, round(CASE WHEN t = 0 THEN 0 ELSE (t - l) / t END, 6) AS saturation, round(t / 255, 6) AS value FROM k""")
+SELECT l_orderkey, l_linenumber, CASE WHEN r IS NOT NULL THEN round(CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END, 5) END AS hue, CASE WHEN r IS NOT NULL THEN round(CASE WHEN t = 0 THEN 0 ELSE (t - l) / t END, 6) END AS saturation, CASE WHEN r IS NOT NULL THEN round(t / 255, 6) END AS value FROM k""")
 def hue_saturation(spark, sf_dir):
-    b = A.bands(spark, sf_dir).where("red is not null")
-    h, s, v = B.hsv(F.col("red"), F.col("green"), F.col("blue"))
-    return b.select("l_orderkey", "l_linenumber", F.round(h, 5).alias("hue"), F.round(s, 6).alias("saturation"), F.round(v, 6).alias("value"))
+    h, s, v = (F.when(F.col("red").isNotNull(), c) for c in B.hsv(F.col("red"), F.col("green"), F.col("blue")))
+    return A.bands(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(h, 5).alias("hue"), F.round(s, 6).alias("saturation"), F.round(v, 6).alias("value"))
 
 
 @query("grey_levels", f"WITH {A.BANDS_SQL} SELECT l_orderkey, l_linenumber, round(red * 0.299 + green * 0.587 + blue * 0.114, 11) AS features, round(red * 0.2989 + green * 0.587 + blue * 0.114, 11) AS masks FROM bands")
@@ -340,21 +387,38 @@ def mask_iou(spark, sf_dir):
     return components.mask_iou(px.join(other, ["vec_id", "row", "col"]), "a", "b", ["vec_id"]).withColumn("iou", F.round("iou", 6))
 
 
-@query("coregister", f"""WITH {A.PIXELS_SQL}, l AS (SELECT row, col, v FROM px WHERE vec_id = 0 AND row < 4 AND col < 4), r AS (SELECT row, col, v AS fine FROM px WHERE vec_id = 1)
-SELECT l.row, l.col, round(v, 6) AS v, round(fine, 6) AS fine FROM l LEFT JOIN r ON r.row = l.row * 2 AND r.col = l.col * 2""")
+@query("coregister", f"""WITH {A.PIXELS_SQL}, l AS (SELECT vec_id, row, col, v FROM px WHERE row < 4 AND col < 4), r AS (SELECT vec_id - 1 AS vec_id, row, col, v AS fine FROM px)
+SELECT l.vec_id, l.row, l.col, round(v, 6) AS v, round(fine, 6) AS fine FROM l LEFT JOIN r ON r.vec_id = l.vec_id AND r.row = l.row * 2 AND r.col = l.col * 2""")
 def coregister(spark, sf_dir):
+    """The upper left quarter of each patch as a coarse grid, over the next patch as one twice as fine."""
     px = A.patch_pixels(spark, sf_dir)
-    left = px.where("vec_id = 0 and row < 4 and col < 4").select("row", "col", "v")
-    right = px.where("vec_id = 1").select("row", "col", F.col("v").alias("fine"))
-    return pixels.coregister(left, right, 2.0).withColumns({c: F.round(c, 6) for c in ("v", "fine")})
-
-
-@query("detect_sites")
+    left = px.where("row < 4 and col < 4").select("vec_id", "row", "col", "v")
+    right = px.select((F.col("vec_id") - 1).alias("vec_id"), "row", "col", F.col("v").alias("fine"))
+    return pixels.coregister(left, right, 2.0, ("vec_id",)).withColumns({c: F.round(c, 6) for c in ("v", "fine")})
+
+
+def _morph_sql(source: str, out: str, k: int, least: int) -> str:
+    """Pixels of which `least` of the (2k + 1)^2 around are set."""
+    return f"""{out} AS (SELECT p.d, p.row, p.col, (count(q.o) FILTER (WHERE q.o = 1) >= {least})::INTEGER AS o FROM {source} p, generate_series(-{k}, {k}) a(di), generate_series(-{k}, {k}) b(dj)
+  LEFT JOIN {source} q ON q.d = p.d AND q.row = p.row + di AND q.col = p.col + dj GROUP BY ALL)"""
+
+
+@query("detect_sites", f"""WITH RECURSIVE {A.PIXELS_SQL},
+img AS (SELECT vec_id // 64 AS d, (vec_id % 16 // 4 * 8 + row)::INTEGER AS row, (vec_id % 4 * 8 + col)::INTEGER AS col, least(1.0, max(v * 4)) AS p FROM px GROUP BY ALL),
+m0 AS (SELECT d, row, col, (p >= 0.5)::INTEGER AS o FROM img), {_morph_sql('m0', 'm1', 1, 9)}, {_morph_sql('m1', 'm2', 1, 1)}, {_morph_sql('m2', 'm3', 2, 1)}, {_morph_sql('m3', 'm4', 2, 25)},
+cell AS (SELECT d, row, col, row * 2147483648 + col AS k FROM m4 WHERE o = 1),
+reach AS (SELECT d, k AS a, k AS b FROM cell UNION SELECT r.d, r.a, q.k FROM reach r JOIN cell p ON p.d = r.d AND p.k = r.b JOIN cell q ON q.d = p.d AND abs(q.row - p.row) + abs(q.col - p.col) = 1),
+lab AS (SELECT d, b AS k, min(a) AS label FROM reach GROUP BY ALL),
+reg AS (SELECT d, label, count(*) AS pixel_count, count(*) * 100.0 AS area_m2, avg(p) AS confidence FROM lab JOIN cell USING (d, k) JOIN img USING (d, row, col) GROUP BY ALL),
+sc AS (SELECT *, ln(1 + area_m2) AS la, min(ln(1 + area_m2)) OVER (PARTITION BY d) AS lo, max(ln(1 + area_m2)) OVER (PARTITION BY d) AS hi, dense_rank() OVER (PARTITION BY d ORDER BY label) - 1 AS no FROM reg),
+s AS (SELECT *, 'SAT_' || d || '_' || printf('%04d', no) AS site_id, round(0.3 * (CASE WHEN hi = lo THEN 1 ELSE (la - lo) / (hi - lo + 1e-8) END) + 0.25 / (1 + exp(1)) + 0.2 * 0.5 + 0.15 * confidence + 0.1 * (CASE WHEN confidence >= 0.6 THEN 0.7 ELSE 0.5 END), 6) AS priority_score FROM sc)
+SELECT d::VARCHAR AS date, site_id, pixel_count, round(area_m2 / 10000, 4) AS area_ha, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.7 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier, priority_score,
+  row_number() OVER (PARTITION BY d ORDER BY priority_score DESC, site_id)::INTEGER AS priority_rank FROM s""")
 def detect_sites(spark, sf_dir):
-    """The detection flow on sixteen patches side by side, one image a label."""
+    """The detection flow on images of 32 by 32 pixels, each of sixteen places for 64 patches."""
     from .flows import detect_sites as flow
 
-    px = A.patch_pixels(spark, sf_dir).join(A.read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").where("vec_id < 320")
-    at = F.col("vec_id") % 16
-    prob = px.groupBy(F.col("label").cast("string").alias("date"), (F.floor(at / 4) * 8 + F.col("row")).cast("int").alias("row"), (at % 4 * 8 + F.col("col")).cast("int").alias("col")).agg(F.least(F.lit(1.0), F.max(F.col("v") * 4)).alias("p"))
+    px = A.patch_pixels(spark, sf_dir)
+    row, col = F.floor(F.col("vec_id") % 16 / 4) * 8 + F.col("row"), F.col("vec_id") % 4 * 8 + F.col("col")
+    prob = px.groupBy(F.floor(F.col("vec_id") / 64).cast("string").alias("date"), row.cast("int").alias("row"), col.cast("int").alias("col")).agg(F.least(F.lit(1.0), F.max(F.col("v") * 4)).alias("p"))
     return flow(prob, 10.0).select("date", "site_id", "pixel_count", "area_ha", F.round("confidence", 6).alias("confidence"), "confidence_tier", "priority_score", "priority_rank")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import raster_queries, site_queries, table_queries
+from . import io_queries, raster_queries, site_queries, table_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (raster_queries, site_queries, table_queries):
+for _module in (io_queries, raster_queries, site_queries, table_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

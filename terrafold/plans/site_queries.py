@@ -64,14 +64,16 @@ def nearest_within(spark, sf_dir):
     return out.select("site", "machine", F.round("distance", 6).alias("distance"))
 
 
-_NEAR = """near AS (SELECT site, count(*) AS total, count(*) FILTER (WHERE class_name IN ('excavator', 'truck', 'water_pump')) AS active, count(*) FILTER (WHERE class_name IN ('settling_pond', 'pit')) AS infra,
-  string_agg(class_name, ',' ORDER BY class_name) AS types FROM site JOIN machine ON (x - mx) * (x - mx) + (y - my) * (y - my) <= 250000 GROUP BY 1)"""
+#: Machines within 500 m of a site's outline: of the nearer of its two bars.
+_NEAR = f"""{A.squares_sql()}, met AS (SELECT DISTINCT site, machine, class_name FROM bar JOIN machine ON greatest(0, bx1 - mx, mx - bx2) ** 2 + greatest(0, by1 - my, my - by2) ** 2 <= 250000),
+near AS (SELECT site, count(*) AS total, count(*) FILTER (WHERE class_name IN ('excavator', 'truck', 'water_pump')) AS active, count(*) FILTER (WHERE class_name IN ('settling_pond', 'pit')) AS infra,
+  string_agg(class_name, ',' ORDER BY class_name) AS types FROM met GROUP BY 1)"""
 
 
 @query("buffer_join", f"""WITH {A.SITES_SQL}, {A.MACHINES_SQL}, {_NEAR} SELECT site, coalesce(total, 0) AS equipment_total, coalesce(active, 0) AS active_equipment_count, coalesce(infra, 0) AS infrastructure_count, coalesce(types, '') AS equipment_types
 FROM site LEFT JOIN near USING (site)""")
 def buffer_join(spark, sf_dir):
-    out = spatial.equipment_near(A.sites(spark, sf_dir), A.machines(spark, sf_dir), "site", ("x", "y"), ("mx", "my"), 500.0)
+    out = spatial.equipment_near_cells(A.sites(spark, sf_dir), A.site_squares(spark, sf_dir), A.machines(spark, sf_dir), "site", ("mx", "my"), 10.0, 500.0)
     return out.select("site", "equipment_total", "active_equipment_count", "infrastructure_count", F.array_join("equipment_types", ",").alias("equipment_types"))
 
 
@@ -81,7 +83,7 @@ fused AS (SELECT *, CASE WHEN a >= 2 THEN 'ACTIVE' WHEN a = 1 OR (a = 0 AND i >=
 
 
 def _fused(spark, sf_dir):
-    s = spatial.equipment_near(A.sites(spark, sf_dir), A.machines(spark, sf_dir), "site", ("x", "y"), ("mx", "my"), 500.0)
+    s = spatial.equipment_near_cells(A.sites(spark, sf_dir), A.site_squares(spark, sf_dir), A.machines(spark, sf_dir), "site", ("mx", "my"), 10.0, 500.0)
     a, i, t, c = (F.col(n) for n in ("active_equipment_count", "infrastructure_count", "equipment_total", "confidence"))
     return s.withColumns({"activity_fused": S.activity_fused(a, i, c), "confidence_fused": S.confidence_fused(c, t, a)})
 
@@ -123,11 +125,17 @@ def date_summary(spark, sf_dir):
     return summarise(s.withColumn("site_id", S.site_id("SAT", F.col("date"), F.col("site"))))
 
 
-@query("detections_in_sites", f"""WITH {A.SITES_SQL}, {A.DETECTIONS_SQL}, s AS (SELECT site, x AS sx1, y AS sy1, x + 200 AS sx2, y + 200 AS sy2 FROM site)
-SELECT site, count(event_id) AS n, CASE WHEN count(event_id) > 0 THEN 'ACTIVE' ELSE 'INACTIVE' END AS activity FROM s LEFT JOIN det ON x1 >= sx1 AND y1 >= sy1 AND x2 <= sx2 AND y2 <= sy2 GROUP BY 1""")
+@query("centre_join", f"""WITH {A.SITES_SQL}, {A.MACHINES_SQL}, met AS (SELECT site, count(*) AS n FROM site JOIN machine ON (x - mx) ** 2 + (y - my) ** 2 <= 250000 GROUP BY 1)
+SELECT site, coalesce(n, 0) AS equipment_total FROM site LEFT JOIN met USING (site)""")
+def centre_join(spark, sf_dir):
+    return spatial.equipment_near(A.sites(spark, sf_dir), A.machines(spark, sf_dir), "site", ("x", "y"), ("mx", "my"), 500.0).select("site", "equipment_total")
+
+
+@query("detections_in_sites", f"""WITH {A.SITES_SQL}, {A.DETECTIONS_SQL}, {A.squares_sql(100)}
+, met AS (SELECT DISTINCT site, event_id FROM bar JOIN det ON x1 >= bx1 AND y1 >= by1 AND x2 <= bx2 AND y2 <= by2)
+SELECT site, count(event_id) AS n, CASE WHEN count(event_id) > 0 THEN 'ACTIVE' ELSE 'INACTIVE' END AS activity FROM site LEFT JOIN met USING (site) GROUP BY 1""")
 def detections_in_sites(spark, sf_dir):
-    s = A.sites(spark, sf_dir).select("site", F.col("x").alias("sx1"), F.col("y").alias("sy1"), (F.col("x") + 200).alias("sx2"), (F.col("y") + 200).alias("sy2"))
-    n = spatial.boxes_within(s, A.detections(spark, sf_dir), "site", 250.0)
+    n = spatial.boxes_within_cells(A.sites(spark, sf_dir), A.site_squares(spark, sf_dir, 100.0), A.detections(spark, sf_dir), "site", 100.0)
     return n.withColumn("activity", S.activity_from_count(F.col("n"), F.lit(0.0)))
 
 
@@ -150,19 +158,22 @@ def point_in_boundary(spark, sf_dir):
     return s.where(G.point_in_ring(F.col("x"), F.col("y"), ring)).select("site")
 
 
-@query("point_samples", f"""WITH {A.SITES_SQL}, {A.PIXELS_SQL} SELECT site, round(v, 6) AS v FROM site JOIN px ON vec_id = 0 AND row = least(7, greatest(0, trunc(y / 1200 - 0.2)::INTEGER)) AND col = least(7, greatest(0, trunc(x / 1200)::INTEGER))""")
+@query("point_samples", f"""WITH {A.SITES_SQL}, {A.PIXELS_SQL}, s AS (SELECT site, x, y, site % (SELECT count(*) FROM embeddings) AS vec_id FROM site)
+SELECT site, round(v, 6) AS v FROM s JOIN px ON px.vec_id = s.vec_id AND row = least(7, greatest(0, trunc(y / 1200 - 0.2)::INTEGER)) AND col = least(7, greatest(0, trunc(x / 1200)::INTEGER))""")
 def point_samples(spark, sf_dir):
     from ..operators.pixels import sample_at
 
-    s = A.sites(spark, sf_dir).select("site", (F.col("y") / 1200 - 0.2).alias("row"), (F.col("x") / 1200).alias("col"))
-    return sample_at(s, A.patch_pixels(spark, sf_dir).where("vec_id = 0").drop("vec_id"), 8, 8).select("site", F.round("v", 6).alias("v"))
+    px = A.patch_pixels(spark, sf_dir)
+    n = A.read(spark, sf_dir, "embeddings").count()
+    s = A.sites(spark, sf_dir).select("site", (F.col("site") % n).alias("vec_id"), (F.col("y") / 1200 - 0.2).alias("row"), (F.col("x") / 1200).alias("col"))
+    return sample_at(s, px, 8, 8, keys=("vec_id",)).select("site", F.round("v", 6).alias("v"))
 
 
-@query("offset_consensus", f"""WITH {A.SITES_SQL}, p AS (SELECT site AS pair_id, 12 + site % 13 AS sdx, -7 + site % 11 AS sdy FROM site WHERE site <= 300),
-n AS (SELECT a.pair_id, count(*) AS inliers, avg(b.sdx) AS dx, avg(b.sdy) AS dy FROM p a JOIN p b ON (a.sdx - b.sdx) ** 2 + (a.sdy - b.sdy) ** 2 <= 16 GROUP BY 1)
+@query("offset_consensus", f"""WITH {A.SITES_SQL}, p AS (SELECT site AS pair_id, 12 + site % 13 AS sdx, -7 + site % 11 AS sdy FROM site), u AS (SELECT sdx, sdy, count(*) AS k, min(pair_id) AS pair_id FROM p GROUP BY ALL),
+n AS (SELECT a.pair_id, sum(b.k)::BIGINT AS inliers, sum(b.k * b.sdx) / sum(b.k) AS dx, sum(b.k * b.sdy) / sum(b.k) AS dy FROM u a JOIN u b ON (a.sdx - b.sdx) ** 2 + (a.sdy - b.sdy) ** 2 <= 16 GROUP BY 1)
 SELECT round(dx, 6) AS dx, round(dy, 6) AS dy, inliers FROM n ORDER BY inliers DESC, pair_id LIMIT 1""")
 def offset_consensus(spark, sf_dir):
-    p = A.sites(spark, sf_dir).where("site <= 300").select(F.col("site").alias("pair_id"), (12.0 + F.col("site") % 13).alias("sdx"), (-7.0 + F.col("site") % 11).alias("sdy"))
+    p = A.sites(spark, sf_dir).select(F.col("site").alias("pair_id"), (12.0 + F.col("site") % 13).alias("sdx"), (-7.0 + F.col("site") % 11).alias("sdy"))
     return spatial.offset_consensus(p, 4.0).withColumns({"dx": F.round("dx", 6), "dy": F.round("dy", 6)})
 
 
@@ -203,22 +214,33 @@ def kalman_smooth(spark, sf_dir):
     return z.select("track", F.date_format("date", "yyyy-MM-dd").alias("date"), F.round("smoothed", 5).alias("smoothed"))
 
 
-@query("pairwise_robust_slope", f"""WITH {A.OBSERVATIONS_SQL}, o AS (SELECT track, date_diff('day', DATE '1992-01-01', date)::DOUBLE AS d, area AS y, row_number() OVER (PARTITION BY track ORDER BY date, area) AS i FROM obs WHERE year(date) = 1995),
+@query("pairwise_robust_slope", f"""WITH {A.OBSERVATIONS_SQL}, o AS (SELECT track, date_diff('day', DATE '1992-01-01', date)::DOUBLE AS d, area AS y, row_number() OVER (PARTITION BY track ORDER BY date, area) AS i FROM obs),
 l AS (SELECT a.track, a.i AS ia, b.i AS ib, a.d AS da, a.y AS ya, (b.y - a.y) / (b.d - a.d) AS m FROM o a JOIN o b ON a.track = b.track AND a.i < b.i AND a.d <> b.d),
 f AS (SELECT l.track, ia, ib, m, count(*) AS n, count(*) * sum(c.d * c.d) - sum(c.d) ** 2 AS sp, count(*) * sum(c.d * c.y) - sum(c.d) * sum(c.y) AS t FROM l JOIN o c ON c.track = l.track AND abs(c.y - ya - m * (c.d - da)) < 0.05 GROUP BY ALL)
-SELECT track, round(CASE WHEN sp > 0 THEN t / sp ELSE m END, 7) AS slope, n AS inliers FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY n DESC, ia, ib) AS k FROM f) WHERE k = 1""")
+SELECT track, round(CASE WHEN sp > 0 THEN t / sp ELSE m END, 7) + 0.0 AS slope, n AS inliers FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY n DESC, ia, ib) AS k FROM f) WHERE k = 1""")
 def pairwise_robust_slope(spark, sf_dir):
-    o = A.observations(spark, sf_dir).where("year(date) = 1995").withColumn("day", F.datediff("date", F.lit("1992-01-01").cast("date")))
-    return tracks.pairwise_slope(o, "track", "day", "area", 0.05).withColumn("slope", F.round("slope", 7))
+    o = A.observations(spark, sf_dir).withColumn("day", F.datediff("date", F.lit("1992-01-01").cast("date")))
+    return tracks.pairwise_slope(o, "track", "day", "area", 0.05).withColumn("slope", F.round("slope", 7) + 0.0)
 
 
-@query("track_status", f"""WITH {A.OBSERVATIONS_SQL}, t AS (SELECT track, min(date) AS f, max(date) AS l, count(*) AS n, arg_min(area, date) AS a0, arg_max(area, date) AS a1, arg_max(activity, date) AS act, max(equipment) AS me, avg(confidence) AS mc FROM obs GROUP BY 1)
+@query("track_status", f"""WITH {A.OBSERVATIONS_SQL}, o AS (SELECT track, date_diff('day', DATE '1992-01-01', date)::DOUBLE AS d, area AS y, row_number() OVER (PARTITION BY track ORDER BY date, area) AS i FROM obs),
+l AS (SELECT a.track, a.i AS ia, b.i AS ib, a.d AS da, a.y AS ya, (b.y - a.y) / (b.d - a.d) AS m FROM o a JOIN o b ON a.track = b.track AND a.i < b.i AND a.d <> b.d),
+f AS (SELECT l.track, ia, ib, m, count(*) AS n, count(*) * sum(c.d * c.d) - sum(c.d) ** 2 AS sp, count(*) * sum(c.d * c.y) - sum(c.d) * sum(c.y) AS t FROM l JOIN o c ON c.track = l.track AND abs(c.y - ya - m * (c.d - da)) < 0.05 GROUP BY ALL),
+g AS (SELECT track, round(CASE WHEN sp > 0 THEN t / sp ELSE m END, 7) * 30.44 AS rate FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY n DESC, ia, ib) AS k FROM f) WHERE k = 1),
+t AS (SELECT track, min(date) AS f, max(date) AS l, count(*) AS n, arg_min(area, date) AS a0, arg_max(area, date) AS a1, arg_max(activity, date) AS act, max(equipment) AS me, avg(confidence) AS mc FROM obs GROUP BY 1)
 SELECT track, strftime(f, '%Y-%m-%d') AS first_seen, strftime(l, '%Y-%m-%d') AS last_seen, n AS n_observations, act AS latest_activity, me AS max_equipment_count, round(mc, 6) AS mean_confidence,
-  CASE WHEN n < 2 THEN 'NEW' WHEN act IN ('ACTIVE', 'LIKELY_ACTIVE') AND a1 - a0 > 0.01 THEN 'EXPANDING' WHEN a1 - a0 > 0.05 THEN 'GROWN' WHEN a1 - a0 < -0.05 THEN 'REDUCED' WHEN act IN ('INACTIVE', 'INACTIVE_INFRASTRUCTURE') THEN 'STABLE_INACTIVE' ELSE 'STABLE' END AS status FROM t""")
+  CASE WHEN n < 2 THEN 'NEW' WHEN act IN ('ACTIVE', 'LIKELY_ACTIVE') AND coalesce(rate, 0) > 0.0001 THEN 'EXPANDING' WHEN a1 - a0 > 0.05 THEN 'GROWN' WHEN a1 - a0 < -0.05 THEN 'REDUCED' WHEN act IN ('INACTIVE', 'INACTIVE_INFRASTRUCTURE') THEN 'STABLE_INACTIVE' ELSE 'STABLE' END AS status
+FROM t LEFT JOIN g USING (track)""")
 def track_status(spark, sf_dir):
-    r = tracks.track_report(A.observations(spark, sf_dir), "track", "date", "area", "confidence", "activity", "equipment")
+    """Status by the robust line's rate; areas here grow little, so a hundredth of the usual rate makes
+    a track expanding."""
+    obs = A.observations(spark, sf_dir)
+    r = tracks.track_report(obs, "track", "date", "area", "confidence", "activity", "equipment")
+    o = obs.withColumn("day", F.datediff("date", F.lit("1992-01-01").cast("date")))
+    rate = tracks.pairwise_slope(o, "track", "day", "area", 0.05).select("track", (F.round("slope", 7) * tracks.DAYS_A_MONTH).alias("rate"))
+    r = r.join(rate, "track", "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
     change = F.element_at("area_series", -1) - F.col("area_initial_ha")
-    r = r.withColumn("status", tracks.track_status(F.col("n_observations"), F.col("latest_activity"), change, change))
+    r = r.withColumn("status", tracks.track_status(F.col("n_observations"), F.col("latest_activity"), F.col("rate") * 100, change))
     return r.select(
         "track", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"), "n_observations", "latest_activity", "max_equipment_count",
         F.round("mean_confidence", 6).alias("mean_confidence"), "status",
@@ -243,11 +265,17 @@ def track_assignment(spark, sf_dir):
     return tracks.assign_tracks(epochs)
 
 
-@query("object_match")
+@query("object_match", f"""WITH RECURSIVE {A.DETECTIONS_SQL}, r AS (SELECT x1, y1, event_id, x2 - x1 AS side, row_number() OVER (PARTITION BY x1, y1 ORDER BY event_id) AS i FROM det),
+k AS (SELECT x1, y1, i, [{{'id': event_id, 'side': side}}] AS seen, []::BIGINT[] AS used, event_id AS found, NULL::BIGINT AS truth FROM r WHERE i = 1
+  UNION ALL SELECT k.x1, k.y1, r.i, list_append(k.seen, {{'id': r.event_id, 'side': r.side}}), CASE WHEN t.truth IS NULL THEN k.used ELSE list_append(k.used, t.truth) END, r.event_id, t.truth
+  FROM k JOIN r ON r.i = k.i + 1 AND r.x1 = k.x1 AND r.y1 = k.y1,
+    LATERAL (SELECT list_filter(k.seen, lambda s: NOT list_contains(k.used, s.id) AND least(s.side, r.side) ** 2 / greatest(s.side, r.side) ** 2 >= 0.3)[1].id AS truth) t)
+SELECT found, truth FROM k WHERE truth IS NOT NULL""")
 def object_match(spark, sf_dir):
-    """Detections matched one to one with those of another class, in order, first fit."""
+    """Detections matched one to one with earlier ones that they overlap, in order, first fit. Boxes
+    stand on a lattice whose step is longer than their sides, so only those of one corner overlap."""
     p = spatial.box_pairs(A.detections(spark, sf_dir), "event_id", 64.0).where("iou >= 0.3")
-    return spatial.greedy_match(p.withColumn("g", F.lit(0)).withColumnsRenamed({"a": "truth", "b": "found"}), ["g"], "found", "truth", None).drop("g")
+    return spatial.greedy_match(p.withColumnsRenamed({"a": "truth", "b": "found"}), [], "found", "truth", None)
 
 
 @query("rasterised_points", f"""WITH {A.MACHINES_SQL}, p AS (SELECT my / 100 AS y, mx / 100 AS x FROM machine)

@@ -45,7 +45,8 @@ def ground_truth(spark: SparkSession, path: str, boundary: DataFrame | None = No
     for c in ("latitude", "longitude"):
         if c not in rows.columns:
             raise ValueError(f"{path} has no column {c}")
-    defaults = {"site_type": "mine", "active_status": "unknown", "size_m2": "0", "notes": "", "date": None}
+    # What absent columns of a ground-truth table hold.
+    defaults = {"site_type": "galamsey", "active_status": "unknown", "size_m2": "0", "notes": "", "date": None}
     for c, d in defaults.items():
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(d)) if c in rows.columns else F.lit(d))
     rows = rows.withColumns({c: F.expr(f"try_cast({c} as double)") for c in ("latitude", "longitude", "size_m2")}).where("latitude is not null and longitude is not null")
@@ -114,7 +115,7 @@ def safe_bands(files: DataFrame, bands: dict[str, int]) -> DataFrame:
 
 def landsat_scenes(files: DataFrame) -> DataFrame:
     """Bands 2-7 of LC0* scenes with the acquisition date from their name."""
-    scene, band = F.regexp_extract("name", r"^(LC0.*)_(?:SR_)?B([2-7])\.(?:TIF|tif)$", 1), F.regexp_extract("name", r"^(LC0.*)_(?:SR_)?B([2-7])\.(?:TIF|tif)$", 2)
+    scene, band = F.regexp_extract("name", r"^(LC0.*?)_(?:SR_)?B([2-7])\.(?:TIF|tif)$", 1), F.regexp_extract("name", r"^(LC0.*?)_(?:SR_)?B([2-7])\.(?:TIF|tif)$", 2)
     return files.select(scene.alias("scene"), F.substring(scene, 18, 8).alias("date"), band.try_cast("int").alias("band"), "path").where("scene <> ''")
 
 
@@ -123,9 +124,9 @@ def geolocation_grid(spark: SparkSession, path: str) -> DataFrame:
     that about 25 remain."""
     p = spark.read.format("xml").option("rowTag", "geolocationGridPoint").schema("line int, pixel int, latitude double, longitude double").load(path)
     n = p.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 25)).alias("n"))
-    from pyspark.sql import Window
+    from ..operators.components import rank_rows
 
-    numbered = p.withColumn("i", F.row_number().over(Window.orderBy("line", "pixel")) - 1)
+    numbered = rank_rows(p, "i", "line", "pixel")
     return numbered.crossJoin(F.broadcast(n)).where("i % n = 0").select("line", "pixel", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
 
 

@@ -11,6 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of a given name, on any file system that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
 def box_polygon(x1, y1, x2, y2) -> Column:
     """GeoJSON geometry of a box, closed, as a struct."""
     p = lambda x, y: F.array(x, y)

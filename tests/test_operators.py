@@ -310,3 +310,101 @@ def test_settings_read_their_sections(tmp_path):
     path.write_text("prioritization: {weights: {area: 0.5}}\nfusion: {ransac_max_iter: 7}\nvalidation: {spatial_cv_folds: 3, spatial_cv_buffer_km: 1.5}\ninference: {thresholds: {low: 0.1}}\n")
     s = files.load_settings(str(path))
     assert (s.weights, s.ransac_rounds, s.folds, s.block_m, s.thresholds) == ({"area": 0.5}, 7, 3, 1500.0, {"low": 0.1})
+
+
+def test_percentiles_of_ties_send_little(spark, monkeypatch):
+    """A million rows of few values: the search ends on ties and gathers next to nothing."""
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 3 == 0, 10.0).when(F.col("id") % 3 == 1, 11.0).otherwise((F.col("id") % 500).cast("double")).alias("v"))
+    held = []
+    real = F.collect_list
+    monkeypatch.setattr(F, "collect_list", lambda c: held.append(c) or real(c))
+    got = pixels.exact_percentiles(df, ["v"], (0.0, 0.02, 0.5, 0.98, 1.0))["v"]
+    v = df.toPandas().v.to_numpy()
+    assert np.allclose(got, np.percentile(v, [0, 2, 50, 98, 100]))
+    two = spark.range(200_000).select((10.0 + F.col("id") % 2).alias("v"))
+    held.clear()
+    assert pixels.exact_percentiles(two, ["v"], (0.02, 0.98), bracket=1000)["v"] == [10.0, 11.0] and not held
+
+
+@pytest.mark.parametrize("connect", [4, 8])
+def test_regions_across_chunks(spark, connect):
+    rng = np.random.default_rng(11)
+    grid = rng.random((40, 37)) < (0.6 if connect == 4 else 0.4)
+    df = spark.createDataFrame([("s", int(r), int(c), float(r * c)) for r, c in zip(*np.nonzero(grid))], "scene string, row int, col int, v double")
+    got = {(r.row, r.col): r.label for r in components.chunk_labels(df, "scene", 7, connect).collect()}
+    whole = {(r.row, r.col): r.label for r in components.chunk_labels(df, "scene", 1024, connect).collect()}
+    assert got == whole and len(got) == grid.sum()
+    near = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connect == 8 else [])
+    seen, want = set(), {}
+    for cell in sorted(got):
+        if cell in seen:
+            continue
+        todo, seen = [cell], seen | {cell}
+        while todo:
+            r, c = todo.pop()
+            want[r, c] = cell[0] * (1 << 31) + cell[1]
+            for i, j in near + [(-i, -j) for i, j in near]:
+                if (r + i, c + j) in got and (r + i, c + j) not in seen:
+                    seen.add((r + i, c + j))
+                    todo.append((r + i, c + j))
+    assert got == want
+
+
+def test_outlines_with_holes(spark):
+    rows = ["######", "#....#", "#.##.#", "#....#", "######"]
+    cells = [(1 if ch == "#" and not (r == 2 and c in (2, 3)) else 2, r, c) for r, line in enumerate(rows) for c, ch in enumerate(line) if ch == "#"]
+    df = spark.createDataFrame(cells, "label int, row int, col int")
+    got = {r.label: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in components.rings(df, ["label"], (2.0, 0.0, 100.0, 0.0, -2.0, 50.0)).collect()}
+    assert got[1] == [[(100, 50), (112, 50), (112, 40), (100, 40), (100, 50)], got[1][1]] and len(got[1][1]) == 5
+    assert len(got[2]) == 1 and set(got[2][0]) == {(104, 46), (108, 46), (108, 44), (104, 44)}
+    touch = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 2, 0), (1, 1, -1), (1, 0, -1), (1, 2, -1)], "label int, row int, col int")
+    rings = components.rings(touch, ["label"]).head().rings
+    assert [len(r) for r in rings] == [5, 5]  # a square of three with a hole
+
+
+def test_matching_by_rounds_is_the_greedy_scan(spark):
+    rng = np.random.default_rng(12)
+    rows = sorted({(int(g), int(n), int(o)) for g, n, o in zip(rng.integers(0, 2, 400), rng.integers(0, 40, 400), rng.integers(0, 40, 400))})
+    rows = [(g, n, o, float(rng.integers(0, 5))) for g, n, o in rows]
+    df = spark.createDataFrame(rows, "g int, n int, o int, s double")
+    for score in ("s", None):
+        used, done, want = set(), set(), []
+        for g, n, o, s in sorted(rows, key=lambda r: (r[0], r[1], -r[3] if score else 0, r[2])):
+            if (g, n) not in done and (g, o) not in used:
+                done.add((g, n))
+                used.add((g, o))
+                want.append((g, n, o))
+        assert sorted(tuple(r) for r in spatial.greedy_match(df, ["g"], "n", "o", score).collect()) == want
+    assert spatial.greedy_match(df.limit(0), ["g"], "n", "o", "s").count() == 0
+
+
+def test_tracks_follow_shapes(spark):
+    """Two boxes that overlap, whose cells do not: by shape they are two sites, by box one track."""
+    e = [spark.createDataFrame([(f"{k}", 70.0 * k, 0.0, 0.0, 0.0, 200.0, 200.0)], "site_id string, cx double, cy double, x1 double, y1 double, x2 double, y2 double") for k in (0, 1)]
+    cells = spark.createDataFrame([("0", 0, c) for c in range(20)] + [("1", 5, c) for c in range(20)], "site_id string, row int, col int")
+    tracks_of = lambda **k: len({r.track_id for r in tracks.assign_tracks(e, **k).collect()})
+    assert tracks_of() == 1 and tracks_of(cells=cells) == 2
+
+
+def test_numbers_without_gathering(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
+    got = sorted((r.k, r.n) for r in components.rank_rows(df, "n", "k").collect())
+    assert [n for _, n in got] == list(range(5000))
+    assert components.rank_rows(df.limit(0), "n", "k").count() == 0
+
+
+def test_shares_follow_their_beta(spark):
+    x = spark.range(20_000).select(splits.beta_share(F.col("id"), 0.4).alias("s")).toPandas().s
+    assert abs(x.mean() - 0.5) < 0.01 and abs(x.var() - 0.25 / 1.8) < 0.005  # variance 1 / (4 (2 a + 1))
+
+
+def test_rings_touched_everywhere(spark):
+    ring = [(0.5, 0.5), (3.5, 1.5), (1.5, 3.2), (0.5, 0.5)]
+    df = spark.createDataFrame([(1, [{"x": a, "y": b} for a, b in ring])], "k int, ring array<struct<x:double,y:double>>")
+    got = {(r.row, r.col) for r in components.rasterise_rings(df, "k", all_touched=True).collect()}
+    want = set()
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        for t in np.linspace(0, 1, 4001):
+            want.add((int(ay + t * (by - ay)), int(ax + t * (bx - ax))))
+    inner = {(r.row, r.col) for r in components.rasterise_rings(df, "k").collect()}
+    assert got == want | inner
