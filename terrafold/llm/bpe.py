@@ -318,10 +318,11 @@ def encode_texts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", texts:
     texts=False leaves text, ids and decoded out, for callers that need the digests alone.
     Null or empty text: no ids, digests of the empty string. Repeated rows give equal results.
     Other columns pass through unchanged, but for ones that bear a name of the results,
-    which are replaced. Whole texts are encoded, a bounded number of bytes at a time.
+    which are replaced. Whole texts are encoded, a bounded number of bytes at a time. An empty
+    table gives an empty table.
     """
     new = ([("ids", "array<int>"), ("decoded", "string")] if texts else []) + [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    names = {"ids", "decoded", *(n for n, _ in new)}
+    names = {n for n, _ in new}
     passed = [c for c in docs.columns if c not in names]
     kept = [c for c in passed if texts or c != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + [f"{n} {t}" for n, t in new])

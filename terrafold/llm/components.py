@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(a, b); label is the smallest node of its component.
 
     Each round takes the least label among neighbours and then the label's own label
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both, "edges")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels, both.b == labels.node)
             .groupBy(F.col("a").alias("node"))
@@ -38,4 +38,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = after.select("node", "label")
         if after.where("old <> label").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

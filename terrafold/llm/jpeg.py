@@ -345,10 +345,25 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select(*[f"`{c}`" for c in passed], "text").mapInArrow(run, schema)
 
 
+def _decode_each(files: list[bytes]):
+    """The frames of each file; None for a file that cannot be decoded."""
+    try:
+        return list(decode_dc(files))
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error):
+        if len(files) == 1:
+            return [None]
+        return [frames for data in files for frames in _decode_each([data])]
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """media(media, ...) without media, plus what is read back from the stored bytes: width,
-    height, frames, thumbnail (binary, the thumbnails' samples), thumbnail_hash (of the first
-    frame, hexadecimal), media_bytes and media_sha256. Null or empty media have no frames."""
+    height, frames, thumbnail (binary, the thumbnails' samples), thumbnail_hash (hexadecimal, one a
+    frame, joined by commas), media_bytes and media_sha256.
+
+    Null or empty media have no frames; of media that cannot be decoded, frames and thumbnail are
+    null too, and the others are not affected. Repeated rows give equal results. Other columns pass
+    through, but for ones named as the results, which are replaced. An empty table gives an empty
+    table."""
     new = ("width", "height", "frames", "thumbnail", "thumbnail_hash", "media_bytes", "media_sha256")
     passed = [c for c in media.columns if c != "media" and c not in new]
 
@@ -356,13 +371,16 @@ def media_features(media: DataFrame) -> DataFrame:
         for batch in pieces(batches, len(passed), 1 << 22):
             files = [x or b"" for x in batch.column(len(passed)).to_pylist()]
             rows = []
-            for data, frames in zip(files, decode_dc(files)):
+            for data, frames in zip(files, _decode_each(files)):
+                if frames is None:
+                    rows.append((None, None, None, None, None, len(data), hashlib.sha256(data).hexdigest()))
+                    continue
                 greys = [thumbnail(dc) for _, dc in frames]
                 first = frames[0][0] if frames else None
                 rows.append(
                     (
                         first.width if first else None, sum(f.height for f, _ in frames) if first else None, len(frames), b"".join(g.tobytes() for g in greys),
-                        f"{thumbnail_hash(greys[0]):016x}" if greys else None, len(data), hashlib.sha256(data).hexdigest(),
+                        ",".join(f"{thumbnail_hash(g):016x}" for g in greys) or None, len(data), hashlib.sha256(data).hexdigest(),
                     )
                 )
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string())

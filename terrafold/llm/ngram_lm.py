@@ -135,7 +135,7 @@ def score_texts(docs: DataFrame, order: int = 2, cutoffs: tuple[int, ...] = (1,
     kind = docs.schema["id"].dataType.simpleString()
     chunks = _chunks(docs)
     found = chunks.agg(F.count("*"), F.sum("total")).head()
-    bits = max(4, min(12, int(found[0]).bit_length() - 1))
+    bits = max(4, int(found[0]).bit_length() - 1)
     n_all = max(1, found[1] or 0)
     parts = 1 << bits
 
@@ -166,7 +166,7 @@ def score_texts(docs: DataFrame, order: int = 2, cutoffs: tuple[int, ...] = (1,
             grams = [_unpack(x.as_py()) for x in group.column("grams")]
             counts = [np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in group.column("counts")]
             table, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            sums = np.bincount(inverse, np.concatenate(counts), len(table)).astype(np.uint32)[inverse]
+            sums = np.bincount(inverse, np.concatenate(counts), len(table)).astype(np.uint64)[inverse]
             ends = np.cumsum([len(g) for g in grams])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -185,7 +185,7 @@ def score_texts(docs: DataFrame, order: int = 2, cutoffs: tuple[int, ...] = (1,
             if rows[0]["part"] != -1:
                 raise ValueError("counts without their chunk")
             dictionary, codes, sizes = _read(rows[0])
-            counts = [np.frombuffer(b"".join(zlib.decompress(r["counts"]) for r in rows[1:] if r["part"] // parts == n), np.uint32) for n in range(order)]
+            counts = [np.frombuffer(b"".join(zlib.decompress(r["counts"]) for r in rows[1:] if r["part"] // parts == n), np.uint64) for n in range(order)]
             place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             single = np.empty(len(dictionary), np.int64)
             single[np.argsort(dictionary)] = counts[0]

@@ -188,7 +188,7 @@ entries AS (
   SELECT * FROM (SELECT *, lead(dated) OVER (PARTITION BY list, key ORDER BY dated) AS until FROM entries) WHERE listed
 ), keys AS (
   SELECT page_id, fetched, array_to_string(string_split(host, '.')[i:], '.') AS key
-  FROM p, generate_series(1, 20) g(i) WHERE host <> '' AND i <= greatest(1, len(string_split(host, '.')) - 1)
+  FROM (SELECT *, unnest(range(1, 1 + greatest(1, len(string_split(host, '.')) - 1))) AS i FROM p WHERE host <> '')
   UNION SELECT page_id, fetched, host || '/' || seg FROM p WHERE host <> '' AND seg <> ''
 ), met AS (
   SELECT k.page_id, v.* FROM keys k JOIN valid v ON v.key = k.key AND k.fetched >= v.dated AND (v.until IS NULL OR k.fetched < v.until)

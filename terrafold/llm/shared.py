@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees. It is the cluster's spark.checkpoint.dir; only where
-    that is unset (local tests) a temporary folder of this machine is set instead."""
+    that is unset a local session, as in tests, gets a temporary folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="terrafold-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -295,6 +295,24 @@ def test_media_of_odd_texts(spark):
         assert r.n_bytes == len(raw) and bytes(r.thumbnail) == jpeg._payload(raw)
     assert got.media_sha256[5] == got.media_sha256[6] and got.media_sha256[0] == got.media_sha256[1]
     assert jpeg.media_features(jpeg.store_media(df.limit(0))).count() == 0
+    both = jpeg.media_features(jpeg.store_media(df)).toPandas().sort_values("doc_id")
+    assert both.media_sha256.tolist() == got.media_sha256.tolist() and both.width.tolist() == got.width.tolist()  # the clashing column is replaced
+
+
+def test_media_that_do_not_decode(spark):
+    good = jpeg.encode_payloads([jpeg._payload(b"some text")])[0]
+    broken = good[:-20] + bytes(18) + good[-2:]
+    df = spark.createDataFrame([(1, good), (2, broken), (3, b"no image"), (4, None), (5, good)], "doc_id long, media binary")
+    got = {r.doc_id: r for r in jpeg.media_features(df).collect()}
+    assert bytes(got[1].thumbnail) == jpeg._payload(b"some text") == bytes(got[5].thumbnail) and got[4].frames == 0
+    assert got[3].thumbnail is None and got[3].media_bytes == 8 and got[2].media_bytes == len(broken)
+
+
+def test_every_frame_has_its_hash(spark):
+    text = "a b " * 300_000
+    df = spark.createDataFrame([(1, text + "x" * 1000), (2, text + "y" * 1000)], "doc_id long, text string")
+    a, b = (r.thumbnail_hash.split(",") for r in jpeg.media_features(jpeg.store_media(df)).orderBy("doc_id").collect())
+    assert len(a) == len(b) == 3 and a[0] == b[0]
 
 
 # --- 5 BPE
