@@ -23,7 +23,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored as texts
+    without words; rows with a null doc_id are scored like others; repeated rows stay or go alike. An
+    empty table gives an empty table, and columns beyond COLUMNS are left out."""
     return classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
@@ -47,21 +49,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data and what discloses it replaced."""
+    """Texts with personal data and what discloses it replaced. A null text stays null, with 0
+    characters; no row goes, and repeated rows get equal texts. An empty table gives an empty one."""
     short_batches(spark)
     clean = sanitise(docs.select(*COLUMNS))
     return clean.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.coalesce(F.length("clean"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each whole pass over a document that the mix takes, and one for its parts."""
+    """One row for each whole pass over a document that the mix takes, and one for its parts. Null,
+    empty and wordless texts hold nothing to take, so their rows go; a null source is a source; rows
+    that repeat are rows of their own. An empty table gives an empty one."""
     short_batches(spark)
     taken = mixed_texts(docs.select(*COLUMNS))
     return taken.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row."""
+    """Token counts and digests of every row; null and empty texts have no tokens."""
     short_batches(spark)
     return encode_texts(docs.select("doc_id", "text"), texts=False)
 
