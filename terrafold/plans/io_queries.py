@@ -48,7 +48,7 @@ def _box():
 def geojson_source(spark, sf_dir):
     """Sites as one feature collection, read by the boundary source."""
     path = scratch(spark, "features")
-    sinks.write_text(spark, f"{path}/all.geojson", sinks.feature_collection(_boxes(spark, sf_dir), _box(), ["site", "date"], "date"))
+    sinks.write_feature_collection(spark, f"{path}/all.geojson", _boxes(spark, sf_dir), _box(), ["site", "date"], "date")
     f = files.geojson(spark, path).select(F.col("properties")["site"].cast("long").alias("site"), F.col("properties")["date"].alias("date"), F.col("rings")[0].alias("r"))
     end = lambda k, of: of(F.transform("r", lambda p: p[k]))
     return f.select("site", "date", end("x", F.array_min).alias("min_x"), end("x", F.array_max).alias("max_x"), end("y", F.array_min).alias("min_y"), end("y", F.array_max).alias("max_y"), F.size("r").cast("long").alias("points"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -24,11 +25,57 @@ def date_column(path: Column, compat: bool = False) -> Column:
     return F.when(found != "", found)
 
 
+_FEATURE = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+#: Longest first and last line of a collection with a feature a line; longer ones are whole documents.
+_EDGE = 1 << 16
+
+
+def _feature_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(feature_id, f) of the files whose first and last line are a collection without features and
+    whose other lines are a feature each, and the names of these files and of all others."""
+    object_ = F.regexp_replace("value", r"^\s*,|,\s*$", "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    short = F.when(F.length("value") <= _EDGE, F.col("value"))
+    # a feature on a line of its own; a document on one line is a collection, not a feature
+    whole = F.from_json(object_, "type string, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    feature = (whole["type"] == "Feature") & whole["__bad"].isNull()
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("m").alias("m0"), F.count_if(feature).alias("features"), F.min_by(short, "m").alias("first"), F.max_by(short, "m").alias("last"))
+    by_file: dict = {}
+    for r in sorted(blocks.collect(), key=lambda r: (r["file"], r["block"])):  # one a split
+        by_file.setdefault(r["file"], []).append(r)
+    by_line, other, starts = [], [], []
+    for file, found in by_file.items():
+        try:
+            edges = json.loads((found[0]["first"] or "") + (found[-1]["last"] or ""))
+        except ValueError:
+            edges = None
+        if not isinstance(edges, dict) or edges.get("features") != [] or sum(r["n"] - r["features"] for r in found) != 2:
+            other.append(file)
+            continue
+        by_line.append(file)
+        before = -1  # the first line
+        for r in found:
+            starts.append((file, r["block"], before - r["m0"]))
+            before += r["n"]
+    at = spark.createDataFrame(starts, "file string, block long, shift long")
+    rows = lines.join(F.broadcast(at), ["file", "block"]).where(feature)
+    return rows.select((F.col("m") + F.col("shift")).cast("int").alias("feature_id"), F.from_json(object_, _FEATURE).alias("f")), by_line, other
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """(feature_id, properties map, type, rings) of a FeatureCollection; of a multi-polygon each
-    polygon is a row. rings holds arrays of (x, y) structs. A missing file raises."""
-    raw = spark.read.option("multiLine", True).schema("features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>").json(path)
-    f = raw.select(F.posexplode("features").alias("feature_id", "f")).select("feature_id", "f.properties", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
+    polygon is a row. rings holds arrays of (x, y) structs. A missing file raises.
+
+    Files with a feature a line, as the sink and common tools write them, are read by splits; in any
+    other layout a file is parsed as a whole, in one task."""
+    read, by_line, other = _feature_lines(spark, path)
+    if other or not by_line:
+        raw = spark.read.option("multiLine", True).schema(f"features array<struct<{_FEATURE.replace(' map', ':map').replace(' struct', ':struct')}>>").json(path)
+        if by_line:
+            raw = raw.where(F.col("_metadata.file_path").isin(other))
+        raw = raw.select(F.posexplode("features").alias("feature_id", "f"))
+        read = read.unionByName(raw) if by_line else raw
+    f = read.select("feature_id", "f.properties", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
     one = F.when(F.col("type") == "Polygon", F.array(F.from_json("c", RINGS)))
     many = F.when(F.col("type") == "MultiPolygon", F.from_json("c", f"array<{RINGS}>"))
     point = F.when(F.col("type") == "Point", F.array(F.array(F.array(F.from_json("c", "array<double>")))))

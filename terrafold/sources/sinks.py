@@ -19,6 +19,29 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def write_document(spark: SparkSession, path: str, head: str, lines: DataFrame, tail: str, between: str = "") -> None:
+    """One text file of a given name and any size: head, the rows of lines(value) with between before
+    all but the first, tail. Executors write the rows; the driver's JVM copies their files into one
+    as a stream, so neither heap grows with the rows. Their order is that of the partitions."""
+    folder, name = path.rsplit("/", 1)
+    parts, hadoop, conf = f"{folder}/_{name}.parts", spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    lines.select(F.concat(F.lit(between), "value").alias("value")).write.mode("overwrite").option("compression", "none").text(parts)
+    place = hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    found = sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(hadoop.fs.Path(parts)) if s.getPath().getName().startswith("part-") and s.getLen() > 0)
+    out = fs.create(place, True)
+    out.write(bytearray(head.encode("utf-8")))
+    for i, (_, part) in enumerate(found):
+        rows = fs.open(part)
+        if i == 0:
+            rows.seek(len(between.encode("utf-8")))
+        hadoop.io.IOUtils.copyBytes(rows, out, conf, False)
+        rows.close()
+    out.write(bytearray(tail.encode("utf-8")))
+    out.close()
+    fs.delete(hadoop.fs.Path(parts), True)
+
+
 def box_polygon(x1, y1, x2, y2) -> Column:
     """GeoJSON geometry of a box, closed, as a struct."""
     p = lambda x, y: F.array(x, y)
@@ -49,6 +72,15 @@ def feature_collection(rows: DataFrame, geometry: Column, properties: list[str],
     return json.dumps({"type": "FeatureCollection", "metadata": meta, "features": found})
 
 
+def write_feature_collection(spark: SparkSession, path: str, rows: DataFrame, geometry: Column, properties: list[str], class_col: str | None = None) -> None:
+    """As feature_collection, but as a file of any number of features, each on a line of its own."""
+    meta = {"total_detections": rows.count()}
+    if class_col:
+        meta["classes"] = sorted(r[0] for r in rows.select(class_col).where(F.col(class_col).isNotNull()).distinct().collect())
+    head = json.dumps({"type": "FeatureCollection", "metadata": meta, "features": []})
+    write_document(spark, path, head.removesuffix("]}") + "\n", features(rows, geometry, properties), "]}\n", ",")
+
+
 def write_report(rows: DataFrame, path: str, order: list[Column], columns: list[str]) -> None:
     """One sorted CSV with a header; columns that are not there are left out."""
     rows.select(*[c for c in columns if c in rows.columns]).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -408,3 +408,22 @@ def test_rings_touched_everywhere(spark):
             want.add((int(ay + t * (by - ay)), int(ax + t * (bx - ax))))
     inner = {(r.row, r.col) for r in components.rasterise_rings(df, "k").collect()}
     assert got == want | inner
+
+
+def test_feature_collection_of_any_size(spark, tmp_path):
+    rows = spark.range(0, 500, 1, 4).select("id", (F.col("id") % 3).cast("string").alias("kind"), F.col("id").cast("double").alias("x"))
+    sinks.write_feature_collection(spark, f"{tmp_path}/f/all.geojson", rows, sinks.box_polygon("x", "x", F.col("x") + 1, F.col("x") + 2), ["id", "kind"], "kind")
+    assert [p.name for p in (tmp_path / "f").glob("[!.]*")] == ["all.geojson"]
+    whole = json.loads((tmp_path / "f" / "all.geojson").read_text())
+    assert whole["metadata"] == {"total_detections": 500, "classes": ["0", "1", "2"]} and [f["properties"]["id"] for f in whole["features"]] == list(range(500))
+    (tmp_path / "f" / "pretty.geojson").write_text(json.dumps({**whole, "features": whole["features"][:3]}, indent=1))
+    (tmp_path / "f" / "empty.geojson").write_text('{"type": "FeatureCollection", "features": [\n]}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+        got = files.geojson(spark, f"{tmp_path}/f").select("feature_id", F.col("properties")["id"].cast("int").alias("id"), F.col("rings")[0][2]["y"].alias("y")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == sorted([(i, i, i + 2.0) for i in range(500)] + [(i, i, i + 2.0) for i in range(3)])
+    sinks.write_feature_collection(spark, f"{tmp_path}/none.geojson", rows.limit(0), sinks.box_polygon("x", "x", "x", "x"), ["id"])
+    assert json.loads((tmp_path / "none.geojson").read_text())["features"] == [] and files.geojson(spark, f"{tmp_path}/none.geojson").count() == 0
