@@ -110,13 +110,10 @@ def probability_store(spark, sf_dir):
 @query("kml_placemarks", f"""WITH {A.SITES_SQL} SELECT 'site ' || site AS name, round(greatest(100.0, 0.0004 * 0.0002 * 111319.0 * 111319.0), 3) AS area_m2, round(x / 10000 + 0.0002, 7) AS lon, round(y / 10000 + 0.0001, 7) AS lat FROM site""")
 def kml_placemarks(spark, sf_dir):
     """Rectangles as a KML file, which is one document."""
-    rows = A.sites(spark, sf_dir).select("site", (F.col("x") / 10000).alias("x"), (F.col("y") / 10000).alias("y")).toLocalIterator()
-    marks = []
-    for r in rows:
-        ring = " ".join(f"{r.x + a!r},{r.y + b!r},0" for a, b in ((0, 0), (0.0004, 0), (0.0004, 0.0002), (0, 0.0002), (0, 0)))
-        marks.append(f"<Placemark><name>site {r.site}</name><Polygon><outerBoundaryIs><LinearRing><coordinates>{ring}</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>")
+    corner = lambda a, b: F.struct((F.col("x") / 10000 + a).alias("x"), (F.col("y") / 10000 + b).alias("y"))
+    ring = F.array(*[corner(a, b) for a, b in ((0.0, 0.0), (0.0004, 0.0), (0.0004, 0.0002), (0.0, 0.0002), (0.0, 0.0))])
     path = scratch(spark, "kml")
-    sinks.write_text(spark, f"{path}/doc.kml", f"<kml><Document><Folder>{''.join(marks)}</Folder></Document></kml>")
+    sinks.write_kml(spark, f"{path}/doc.kml", A.sites(spark, sf_dir), F.concat(F.lit("site "), F.col("site").cast("string")), ring)
     return files.placemarks(spark, path).select("name", F.round("area_m2", 3).alias("area_m2"), F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 

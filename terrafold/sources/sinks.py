@@ -81,6 +81,19 @@ def write_feature_collection(spark: SparkSession, path: str, rows: DataFrame, ge
     write_document(spark, path, head.removesuffix("]}") + "\n", features(rows, geometry, properties), "]}\n", ",")
 
 
+def placemark(name: Column, ring: Column) -> Column:
+    """KML of a named polygon; ring is an array of (x, y) structs, closed."""
+    text = F.replace(F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    points = F.array_join(F.transform(ring, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"), F.lit("0"))), " ")
+    outline = F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), points, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>"))
+    return F.concat(F.lit("<Placemark><name>"), text, F.lit("</name>"), outline, F.lit("</Placemark>"))
+
+
+def write_kml(spark: SparkSession, path: str, rows: DataFrame, name: Column, ring: Column) -> None:
+    """One KML document, a placemark a row."""
+    write_document(spark, path, "<kml><Document><Folder>\n", rows.select(placemark(name, ring).alias("value")), "</Folder></Document></kml>\n")
+
+
 def write_report(rows: DataFrame, path: str, order: list[Column], columns: list[str]) -> None:
     """One sorted CSV with a header; columns that are not there are left out."""
     rows.select(*[c for c in columns if c in rows.columns]).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

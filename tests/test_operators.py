@@ -427,3 +427,11 @@ def test_feature_collection_of_any_size(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted([(i, i, i + 2.0) for i in range(500)] + [(i, i, i + 2.0) for i in range(3)])
     sinks.write_feature_collection(spark, f"{tmp_path}/none.geojson", rows.limit(0), sinks.box_polygon("x", "x", "x", "x"), ["id"])
     assert json.loads((tmp_path / "none.geojson").read_text())["features"] == [] and files.geojson(spark, f"{tmp_path}/none.geojson").count() == 0
+
+
+def test_kml_of_any_size(spark, tmp_path):
+    at = lambda x, y: F.struct((F.col("id") + x).alias("x"), F.lit(y).alias("y"))
+    ring = F.array(at(0.0, 0.0), at(1.0, 0.0), at(1.0, 1.0), at(0.0, 0.0))
+    sinks.write_kml(spark, f"{tmp_path}/k/doc.kml", spark.range(0, 100, 1, 4), F.concat(F.lit("a & <b> "), F.col("id").cast("string")), ring)
+    got = files.placemarks(spark, f"{tmp_path}/k").select("name", F.col("ring")[1]["x"].alias("x"), F.size("ring").alias("n")).collect()
+    assert sorted(map(tuple, got)) == sorted((f"a & <b> {i}", i + 1.0, 4) for i in range(100))
