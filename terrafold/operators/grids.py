@@ -126,12 +126,15 @@ def dilate(x: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, (size, size)).any(axis=(2, 3))
 
 
-def opening(x: np.ndarray, size: int, border: str = "zero") -> np.ndarray:
-    return dilate(erode(x, size, border), size)
+def opening(x: np.ndarray, size: int, border: str = "zero", inside: np.ndarray | None = None) -> np.ndarray:
+    """inside: where the image has pixels; what it leaves open is never set, between the two steps either."""
+    inside = True if inside is None else inside
+    return dilate(erode(x, size, border) & inside, size) & inside
 
 
-def closing(x: np.ndarray, size: int, border: str = "zero") -> np.ndarray:
-    return erode(dilate(x, size), size, border)
+def closing(x: np.ndarray, size: int, border: str = "zero", inside: np.ndarray | None = None) -> np.ndarray:
+    inside = True if inside is None else inside
+    return erode(dilate(x, size) & inside, size, border) & inside
 
 
 def label4(x: np.ndarray) -> np.ndarray:
