@@ -322,7 +322,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", texts:
     table gives an empty table.
     """
     new = ([("ids", "array<int>"), ("decoded", "string")] if texts else []) + [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    names = {n for n, _ in new}
+    names = {n for n, _ in new} | {"ids", "decoded"}
     passed = [c for c in docs.columns if c not in names]
     kept = [c for c in passed if texts or c != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + [f"{n} {t}" for n, t in new])
