@@ -13,6 +13,7 @@ being built; merges have unique ranks, so this is read off the merge tree's two
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -304,13 +305,21 @@ _loaded: dict[tuple[str, int], WordBPE] = {}
 
 
 def loaded(path: str, cache_words: int = 200_000) -> WordBPE:
-    """One encoder a Python worker; its tables serve all the worker's tasks."""
+    """One encoder a Python worker, until unload."""
     key = (path, cache_words)
     if key not in _loaded:
         _loaded[key] = WordBPE(path, cache_words)
     return _loaded[key]
 
 
+def unload() -> None:
+    """Let go of the encoders: a Python worker serves other stages next, within the same limit."""
+    for encoder in _loaded.values():
+        encoder.forget()
+    _loaded.clear()
+    gc.collect()
+
+
 def encode_texts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", texts: bool = True, chunk_bytes: int = 1 << 21) -> DataFrame:
     """docs plus ids (array<int>), decoded (string), n_tokens, ids_sha256 and decoded_sha256.
 
@@ -338,7 +347,8 @@ def encode_texts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", texts:
                 cols += [pa.array([[int(i) for i in d[1].split()] for d in done], pa.list_(pa.int32())), pa.array([d[2] for d in done], pa.string())]
             cols += [pa.array([d[0] for d in done], pa.int64()), pa.array([sha(d[1]) for d in done], pa.string()), pa.array([sha(d[2]) for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, kept + [n for n, _ in new])
-        bpe.forget()
+        del bpe
+        unload()
         give_back()
 
     return docs.select(*[f"`{c}`" for c in passed]).mapInArrow(run, schema)

@@ -795,3 +795,10 @@ def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(2, t, "en", "s", 33), (2, t, "en", "s", 33), (1, t + " eight nine ten", "en", "s", 50), (None, t, "en", "s", 33), (5, "other words stand here in this text", "en", "s", 35), (5, "other words stand here in this text", "en", "s", 35), (6, None, "en", "s", 0)], DOCS)
     got = sorted((str(r.doc_id), r.text) for r in p.drop_near_duplicates(spark, df, SF).collect())
     assert [g[0] for g in got] == ["1", "2", "5", "6", "None"]
+
+
+def test_encoder_is_let_go_after_a_task(spark):
+    df = spark.createDataFrame([(1, "hello hello")], "doc_id long, text string")
+    left = lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(bpe._loaded)], pa.int64())], ["n"]) for _ in batches)
+    assert bpe.encode_texts(df.repartition(8)).count() == 1
+    assert {r["n"] for r in spark.range(0, 64, 1, 8).mapInArrow(left, "n long").collect()} == {0}
